@@ -85,7 +85,7 @@ def main(argv):
     import __spark_entry__ as entry
     from tillscope.session import local_session
 
-    spark = local_session()
+    spark = local_session(extra={"spark.ui.showConsoleProgress": "false"})
     con = duck(sf_dir)
     qs, sqls = entry.queries(), entry.oracle_sql()
     names = argv[2:] or list(qs)

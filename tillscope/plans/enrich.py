@@ -13,10 +13,11 @@ Two forms are offered:
 * ``enrich`` — the row-level frame the dashboard builds (one row per item and
   payment row), produced by exploding the weight after the join.
 
-Join strategy is left to Spark: catalog and stores are broadcast when their
+Join strategy: catalog and stores are left to Spark — broadcast when their
 measured size is under the broadcast threshold (static estimate or AQE run
-time statistics) and sort-merge joined otherwise; items ⟕ payments is a
-shuffle join on TRANSACTION_SET_ID.  Catalyst prunes every input to the
+time statistics), sort-merge joined otherwise; items ⟕ payments is always a
+shuffle hash join on TRANSACTION_SET_ID (AQE still splits skewed item-side
+partitions).  Catalyst prunes every input to the
 columns a query uses and pushes item filters into the item scan.
 """
 
@@ -57,7 +58,11 @@ def enrich_weighted(items: DataFrame, catalog: DataFrame, payments: DataFrame, s
     cat = _suffix_clashes(items, catalog, ["GTIN"])
     out = items.join(cat, "GTIN", "left")
     pay = _suffix_clashes(out, payment_weights(payments), ["TRANSACTION_SET_ID"])
-    out = out.join(pay, "TRANSACTION_SET_ID", "left")
+    # Payments grow with transactions and are never date-pruned, so this is
+    # a shuffle join at any size: the hint keeps AQE from broadcasting a
+    # side whose size tracks the fact table, and moves all per-row work
+    # after the scan into parallel post-shuffle tasks.
+    out = out.join(pay.hint("shuffle_hash"), "TRANSACTION_SET_ID", "left")
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
     out = out.join(_suffix_clashes(out, st, ["STORE_ID"]), "STORE_ID", "left")
     day = F.to_date(F.col("DATE_TIME"))
