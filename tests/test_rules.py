@@ -1,0 +1,194 @@
+"""Edge fixtures for the null, ordering and arithmetic rules."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from retail_fixture import item, rows_level, weighted
+from tillscope.functions import filters as flt
+from tillscope.functions.expr import distinct_with_null, week_label, wmean, wsum, zero_sum
+from tillscope.operators import brands, demographics, payments, products, stores
+
+D = dt.date
+
+
+def test_n1_distinct_counts_null_once(spark):
+    df = spark.createDataFrame([(1, 10), (1, 10), (1, None), (1, None), (1, 20)], "k int, v bigint")
+    assert df.groupBy("k").agg(distinct_with_null("v").alias("n")).first()["n"] == 3
+
+
+def test_n2_n3_all_null_sum_is_zero_mean_is_null(spark):
+    e = weighted(
+        spark,
+        [item("t1", 1, 1, "1", "2024-01-02 00:00:00", "A", price=None),
+         item("t1", 2, 1, "1", "2024-01-02 00:00:00", "A", price=None)],
+        catalog=[(1, "Packaged Beverages", "B1")],
+    )
+    w = products.weekly_sales(e).first()
+    assert w["weekly_sales"] == 0.0 and w["transaction_count"] == 2
+    perf = brands.brand_performance(brands.page_rows(e, e.sparkSession.createDataFrame([], "STORE_ID bigint, STORE_NAME string"))).first()
+    assert perf["total_sales"] == 0.0 and perf["avg_price"] is None
+
+
+def test_fuel_filters_null_and_case_rules(spark):
+    its = [
+        item("t", 1, 1, "1", "2024-01-02 00:00:00", "P1", nonscan="FUEL"),
+        item("t", 2, 2, "1", "2024-01-02 00:00:00", "P2", nonscan=None),
+        item("t", 3, 3, "1", "2024-01-02 00:00:00", "P3", nonscan="NONE"),
+        item("t", 4, 4, "1", "2024-01-02 00:00:00", "P4", nonscan="NONE"),
+        item("t", 5, 5, "1", "2024-01-02 00:00:00", "P5", nonscan="NONE"),
+    ]
+    cat = [(1, "FUEL", None), (2, "GAS SUPPLIES", None), (3, "fuel", None), (4, None, None), (5, "Packaged Beverages", "B")]
+    e = weighted(spark, its, catalog=cat)
+    f1 = {r.POS_DESCRIPTION for r in e.transform(flt.drop_fuel_code()).collect()}
+    assert f1 == {"P3", "P4", "P5"}  # N4: null NONSCAN_CATEGORY dropped
+    f2 = {r.POS_DESCRIPTION for r in e.transform(flt.drop_fuel_pattern()).collect()}
+    assert f2 == {"P3", "P4", "P5"}  # N5: null kept, 'fuel' kept (case-sensitive)
+    f8 = e.transform(flt.beverages_by_pattern()).count()
+    assert f8 == 0  # N10: 'Packaged Beverages' does not match BEVERAGE
+    f9 = {r.POS_DESCRIPTION for r in e.transform(flt.packaged_beverages()).collect()}
+    assert f9 == {"P5"}
+
+
+def test_n6_n7_exclusion_lists(spark):
+    df = spark.createDataFrame([("A",), ("B",), (None,)], "STORE_NAME string")
+    assert df.transform(flt.exclude_store_names([])).count() == 3
+    left = {r.STORE_NAME for r in df.transform(flt.exclude_store_names(["A"])).collect()}
+    assert left == {"B"}
+    cats = spark.createDataFrame([("X",), ("Y",), (None,)], "CATEGORY string")
+    kept = {r.CATEGORY for r in cats.transform(flt.exclude_categories(["X"])).collect()}
+    assert kept == {"Y", None}
+
+
+def test_f5_exclude_by_name_resolves_ids(spark):
+    st = spark.createDataFrame([(1, "North", "Rigby", "ID"), (2, "North", "Rigby", "ID"), (3, "South", None, "ID")],
+                               "STORE_ID bigint, STORE_NAME string, CITY string, STATE string")
+    its = spark.createDataFrame([("1",), ("2",), ("3",), ("9",), (None,)], "STORE_ID string")
+    kept = {r.STORE_ID for r in its.transform(flt.exclude_stores_by_name(st, ["North"])).collect()}
+    assert kept == {"3", "9"}  # both ids named North go; orphan id stays; null id dropped
+    assert its.transform(flt.exclude_stores_by_name(st, [])).count() == 5
+
+
+def test_n8_store_list_nulls_first(spark):
+    st = spark.createDataFrame([(1, "B", None, "ID"), (2, None, None, "ID"), (3, "A", None, "ID")],
+                               "STORE_ID bigint, STORE_NAME string, CITY string, STATE string")
+    assert [r.STORE_NAME for r in stores.store_list(st).collect()] == [None, "A", "B"]
+
+
+def test_n9_week_labels_mix_calendar_year_and_iso_week(spark):
+    df = spark.createDataFrame([(D(2021, 1, 3),), (D(2023, 1, 1),), (D(2024, 12, 30),)], "d date")
+    got = [r.l for r in df.select(week_label(F.year("d"), F.weekofyear("d")).alias("l")).collect()]
+    assert got == ["2021-W53", "2023-W52", "2024-W01"]
+
+
+def test_n11_split_tender_multiplies_rows_and_sums(spark):
+    its = [item("t1", 1, 1, "1", "2024-01-02 00:00:00", "A", price=2.0, qty=1.0),
+           item("t1", 2, 1, "1", "2024-01-02 00:00:00", "B", price=3.0, qty=1.0),
+           item("t2", 3, 1, "1", "2024-01-02 00:00:00", "A", price=5.0, qty=1.0),
+           item("t3", 4, 1, "1", "2024-01-02 00:00:00", "A", price=7.0, qty=1.0)]
+    pays = [("t1", "CASH"), ("t1", "CHANGE"), ("t2", "CASH"), ("t2", "CREDIT")]
+    rows = rows_level(spark, its, catalog=[(1, "SNACKS", "X")], payments=pays)
+    assert rows.count() == 2 * 2 + 2 + 1  # t3 has no payment row: kept once, PAYMENT_TYPE null
+    e = weighted(spark, its, catalog=[(1, "SNACKS", "X")], payments=pays)
+    # page 1: sums include the fan-out
+    tot = {r.POS_DESCRIPTION: r.total_sales for r in products.product_totals(e).collect()}
+    assert tot == {"A": 2 * 2 + 5 * 2 + 7, "B": 3 * 2}
+    # payments API: CHANGE counts as cash
+    cat = {(r.TRANSACTION_SET_ID, r.payment_category) for r in payments.payment_rows(e).collect()}
+    assert ("t1", "CASH") in cat and ("t2", "CREDIT") in cat
+    # page 3: only CASH is cash (P10); CHANGE rows fall out with F12
+    cmp_ = {r.payment_group: r for r in payments.payment_comparison(payments.page_rows(e)).collect()}
+    assert cmp_["CASH"].total_sales == 2 + 3 + 5 and cmp_["CASH"].transaction_count == 3
+    assert cmp_["CREDIT/DEBIT"].total_sales == 5 and cmp_["CREDIT/DEBIT"].avg_transaction == 5
+
+
+def test_weighted_aggregates_equal_row_level(spark):
+    its = [item(f"t{i % 4}", i, i % 3, str(i % 2), f"2024-01-0{1 + i % 5} 00:00:00", f"P{i % 3}",
+                price=None if i == 5 else float(i), qty=float(i % 4)) for i in range(1, 13)]
+    pays = [("t0", "CASH"), ("t0", "CASH"), ("t1", "CREDIT"), ("t1", "DEBIT"), ("t1", "DEBIT"), ("t2", "CASH")]
+    cat = [(0, "A", "b0"), (1, "B", "b1"), (2, None, "b2")]
+    e = weighted(spark, its, catalog=cat, payments=pays)
+    rows = rows_level(spark, its, catalog=cat, payments=pays)
+    keys = ["POS_DESCRIPTION", "payment_group"]
+
+    def norm(r):
+        return tuple(None if v is None else round(v, 6) for v in (r.s, r.m, r.q))
+
+    got = {(r.POS_DESCRIPTION, r.payment_group): norm(r) for r in payments.page_rows(e).groupBy(*keys)
+           .agg(wsum("total_sales").alias("s"), wmean("total_sales").alias("m"), wsum("UNIT_QUANTITY").alias("q"))
+           .collect()}
+    want = {(r.POS_DESCRIPTION, r.payment_group): norm(r) for r in payments.page_rows(rows).groupBy(*keys)
+            .agg(zero_sum("total_sales").alias("s"), F.avg("total_sales").alias("m"), zero_sum("UNIT_QUANTITY").alias("q"))
+            .collect()}
+    assert got == want and len(got) >= 4
+
+
+def test_n12_top_k_ties_break_on_name(spark):
+    df = spark.createDataFrame([("C", 10.0, 1.0), ("A", 10.0, 1.0), ("B", 10.0, 1.0), ("D", 1.0, 1.0)],
+                               "POS_DESCRIPTION string, total_sales double, total_units double")
+    assert [r.POS_DESCRIPTION for r in products.top_k(df, 2).collect()] == ["A", "B"]
+    ranked = products.ranked(products.top_k(df, 3)).collect()
+    assert [(r["rank"], r.POS_DESCRIPTION) for r in ranked] == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_n13_clashing_catalog_column_gets_suffix(spark):
+    from tillscope.plans.enrich import enrich_weighted
+    from retail_fixture import frames
+
+    its, _, pays, sts = frames(spark, [item("t", 1, 1, "1", "2024-01-02 00:00:00", "A")])
+    cat = spark.createDataFrame([(1, "C", "B", "catalog name")], "GTIN bigint, CATEGORY string, BRAND string, POS_DESCRIPTION string")
+    r = enrich_weighted(its, cat, pays, sts).first()
+    assert r["POS_DESCRIPTION"] == "A" and r["POS_DESCRIPTION_right"] == "catalog name"
+
+
+def test_n14_zero_totals(spark):
+    perf = spark.createDataFrame([("X", 0.0, 0.0, 0, None, None)],
+                                 "BRAND string, total_sales double, total_units double, transaction_count bigint, avg_price double, sales_per_transaction double")
+    r = brands.drop_impact(perf).first()
+    assert r.pct_sales == 0.0 and r.brands_removed == 1 and r.pct_brands == 100.0
+    empty = perf.limit(0)
+    k = brands.brand_kpis(empty).first()
+    assert (k.total_brands, k.avg_brand_sales, k.total_sales) == (0, 0.0, 0.0)
+    assert brands.drop_impact(empty).first().pct_brands == 0.0
+    long = spark.createDataFrame([("S1", "Total Population", 0.0), ("S2", "Total Population", 0.0)],
+                                 "Store string, Variable string, Value double")
+    pair = spark.createDataFrame([("S1", 1), ("S2", 2)], "Store string, position int")
+    assert {r.normalised for r in demographics.demographic_normalised(long, pair).collect()} == {0.0}
+
+
+def test_n17_date_range_inclusive(spark):
+    its = [item("t", i, 1, "1", d, "A") for i, d in enumerate(
+        ["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-10 23:59:00", "2024-01-11 00:00:00"])]
+    e = weighted(spark, its, catalog=[(1, "X", "Y")])
+    assert e.transform(flt.date_between((D(2024, 1, 2), D(2024, 1, 10)))).count() == 2
+    assert e.transform(flt.date_between(D(2024, 1, 11))).count() == 1
+    assert e.transform(flt.date_between(("2024-01-01",))).count() == 1
+
+
+def test_payment_selection_and_deltas(spark):
+    its = [item("t1", 1, 1, "1", "2024-01-02 00:00:00", "A", price=4.0),
+           item("t2", 2, 1, "1", "2024-01-02 00:00:00", "A", price=6.0)]
+    pays = [("t1", "CASH"), ("t2", "DEBIT")]
+    e = weighted(spark, its, catalog=[(1, "X", "Y")], payments=pays)
+    both = payments.payment_deltas(payments.payment_comparison(payments.page_rows(e))).first()
+    assert (both.delta_transactions, both.delta_sales, both.delta_avg_transaction) == (0, 2.0, 2.0)
+    no_cash = payments.payment_deltas(payments.payment_comparison(payments.page_rows(e, cash=False))).first()
+    assert no_cash.delta_transactions is None and no_cash.credit_transactions == 1
+    cash_only = payments.payment_deltas(payments.payment_comparison(payments.page_rows(e, credit=False))).first()
+    assert cash_only.delta_sales == -4.0
+    assert payments.page_rows(e, cash=False, credit=False).count() == 0
+
+
+def test_locations_null_city_shared_name_and_default_county(spark):
+    from retail_fixture import frames
+
+    its, _, _, _ = frames(spark, [item("t", i, 1, str(s), "2024-01-02 00:00:00", "A") for i, s in enumerate([1, 2, 3, 4, 5])])
+    st = spark.createDataFrame(
+        [(1, "Alpha", "Idaho Falls", "ID"), (2, "Alpha", "Rigby", "ID"), (3, "Beta", None, "ID"),
+         (4, None, "American Falls", "ID"), (5, "Gamma", "idaho city", "ID")],
+        "STORE_ID bigint, STORE_NAME string, CITY string, STATE string")
+    loc = {r.Store: r for r in demographics.store_locations(its, st).collect()}
+    assert set(loc) == {"Alpha", "Beta", "Gamma"}  # null name dropped
+    assert loc["Alpha"].STORE_ID == "2" and loc["Alpha"].county == "065"  # later id wins; Rigby
+    assert loc["Beta"].county == "065"  # null city
+    assert loc["Gamma"].county == "019" and loc["Gamma"].state == "16"  # upper-cased match

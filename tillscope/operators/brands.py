@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import distinct_with_null, money, week_label, wmean, wsum
+from tillscope.functions.expr import distinct_with_null, exact_mean, exact_sum, money, week_label, wmean, wsum
 
 MIN_SALES = 500
 MIN_TRANSACTIONS = 50
@@ -84,8 +84,8 @@ def brand_kpis(perf: DataFrame, min_sales: float = MIN_SALES, min_transactions:
     return perf.agg(
         F.count(F.lit(1)).alias("total_brands"),
         F.count_if(weak_condition(min_sales, min_transactions)).alias("underperforming_brands"),
-        F.coalesce(F.avg("total_sales"), F.lit(0.0)).alias("avg_brand_sales"),
-        F.coalesce(F.sum("total_sales"), F.lit(0.0)).alias("total_sales"),
+        F.coalesce(exact_mean("total_sales"), F.lit(0.0)).alias("avg_brand_sales"),
+        exact_sum("total_sales").alias("total_sales"),
     )
 
 
@@ -94,9 +94,9 @@ def drop_impact(perf: DataFrame, min_sales: float = MIN_SALES, min_transactions:
     (0 unless the total is positive), brands_removed, pct_brands (0 without brands)."""
     weak = weak_condition(min_sales, min_transactions)
     agg = perf.agg(
-        F.coalesce(F.sum(F.when(weak, F.col("total_sales"))), F.lit(0.0)).alias("lost_sales"),
+        exact_sum(F.when(weak, F.col("total_sales"))).alias("lost_sales"),
         F.coalesce(F.sum(F.when(weak, F.col("transaction_count"))), F.lit(0)).alias("lost_transactions"),
-        F.coalesce(F.sum("total_sales"), F.lit(0.0)).alias("total_brand_sales"),
+        exact_sum("total_sales").alias("total_brand_sales"),
         F.count_if(weak).alias("brands_removed"),
         F.count(F.lit(1)).alias("total_brands"),
     )

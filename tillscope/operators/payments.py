@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import distinct_with_null, money, payment_category, payment_group, week_label, wmean, wsum
+from tillscope.functions.expr import MONEY, distinct_with_null, money, payment_category, payment_group, week_label, wmean, wsum
 
 GROUPS = ["CASH", "CREDIT/DEBIT"]
 DAILY_TARGET = 5000.0
@@ -116,7 +116,9 @@ def payment_share(comparison: DataFrame) -> DataFrame:
     return comparison.select(
         "payment_group",
         "total_sales",
-        F.try_divide(F.col("total_sales"), F.sum("total_sales").over(Window.partitionBy())).alias("share"),
+        F.try_divide(
+            F.col("total_sales"), F.sum(F.col("total_sales").cast(MONEY)).over(Window.partitionBy()).cast("double")
+        ).alias("share"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import distinct_with_null, money, week_label, wsum
+from tillscope.functions.expr import distinct_with_null, exact_sum, money, week_label, wsum
 
 WEEK_KEYS = ["year", "week", "POS_DESCRIPTION", "CATEGORY"]
 
@@ -72,8 +72,8 @@ def product_totals(frame: DataFrame, from_weekly: bool = False) -> DataFrame:
     """
     if from_weekly:
         return frame.groupBy("POS_DESCRIPTION").agg(
-            F.coalesce(F.sum("weekly_sales"), F.lit(0.0)).alias("total_sales"),
-            F.coalesce(F.sum("units_sold"), F.lit(0.0)).alias("total_units"),
+            exact_sum("weekly_sales").alias("total_sales"),
+            exact_sum("units_sold").alias("total_units"),
         )
     return frame.groupBy("POS_DESCRIPTION").agg(
         wsum("total_sales").alias("total_sales"),

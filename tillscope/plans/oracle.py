@@ -82,6 +82,17 @@ def _census_cte() -> str:
 
 _BASE = [_ITEMS, _MASTER, _PAYMENTS, _STORES, _ENRICHED]
 
+
+def _sum(x: str) -> str:
+    """Exact sum of an amount (DECIMAL accumulation), 0 when empty, as DOUBLE."""
+    return f"CAST(coalesce(sum(CAST({x} AS DECIMAL(38, 6))), 0) AS DOUBLE)"
+
+
+def _avg(x: str) -> str:
+    """Mean of an amount with an exact sum; NULL when no value."""
+    return f"(CAST(sum(CAST({x} AS DECIMAL(38, 6))) AS DOUBLE) / count({x}))"
+
+
 _DISTINCT_ITEMS = "(count(DISTINCT TRANSACTION_ITEM_ID) + max(CASE WHEN TRANSACTION_ITEM_ID IS NULL THEN 1 ELSE 0 END))"
 
 
@@ -95,22 +106,26 @@ def _wl(y: str = "year", w: str = "week") -> str:
 
 _PAGE1 = """page1 AS (
   SELECT * FROM enriched WHERE NONSCAN_CATEGORY <> 'FUEL')"""
-_WEEKLY1 = """weekly1 AS (
+_WEEKLY1 = f"""weekly1 AS (
   SELECT year, week, POS_DESCRIPTION, CATEGORY,
-         coalesce(sum(total_sales), 0) AS weekly_sales, coalesce(sum(UNIT_QUANTITY), 0) AS units_sold
+         {_sum('total_sales')} AS weekly_sales, {_sum('UNIT_QUANTITY')} AS units_sold
   FROM page1 GROUP BY ALL)"""
-_TOP5 = """top5 AS (
-  SELECT POS_DESCRIPTION, coalesce(sum(weekly_sales), 0) AS total_sales, coalesce(sum(units_sold), 0) AS total_units
+_TOP5 = f"""top5 AS (
+  SELECT POS_DESCRIPTION, {_sum('weekly_sales')} AS total_sales, {_sum('units_sold')} AS total_units
   FROM weekly1 GROUP BY POS_DESCRIPTION
   ORDER BY round(total_sales, 2) DESC NULLS FIRST, POS_DESCRIPTION ASC NULLS FIRST LIMIT 5)"""
 
 _PAGE2 = """page2 AS (
   SELECT * FROM enriched WHERE CATEGORY = 'Packaged Beverages' AND BRAND IS NOT NULL)"""
 _PERF = f"""perf AS (
-  SELECT BRAND, coalesce(sum(total_sales), 0) AS total_sales, coalesce(sum(UNIT_QUANTITY), 0) AS total_units,
-         {_DISTINCT_ITEMS} AS transaction_count, avg(UNIT_PRICE) AS avg_price
+  SELECT BRAND, {_sum('total_sales')} AS total_sales, {_sum('UNIT_QUANTITY')} AS total_units,
+         {_DISTINCT_ITEMS} AS transaction_count, {_avg('UNIT_PRICE')} AS avg_price
   FROM page2 GROUP BY BRAND)"""
-_WEAK = "(total_sales < 500 OR transaction_count < 50)"
+def _weak(min_sales: int = 500, min_transactions: int = 50) -> str:
+    return f"(total_sales < {min_sales} OR transaction_count < {min_transactions})"
+
+
+_WEAK = _weak()
 
 
 def _page3(excluded: list[str] | None = None, cash: bool = True, credit: bool = True) -> str:
@@ -132,8 +147,8 @@ def _page3(excluded: list[str] | None = None, cash: bool = True, credit: bool =
 
 _CMP = f"""cmp AS (
   SELECT payment_group, {_DISTINCT_ITEMS} AS transaction_count,
-         coalesce(sum(total_sales), 0) AS total_sales, avg(total_sales) AS avg_transaction,
-         coalesce(sum(UNIT_QUANTITY), 0) AS total_items, avg(UNIT_QUANTITY) AS avg_items_per_transaction
+         {_sum('total_sales')} AS total_sales, {_avg('total_sales')} AS avg_transaction,
+         {_sum('UNIT_QUANTITY')} AS total_items, {_avg('UNIT_QUANTITY')} AS avg_items_per_transaction
   FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_group)"""
 
 _CMP_SELECT = """SELECT payment_group, transaction_count, round(total_sales, 2) AS total_sales,
@@ -194,15 +209,15 @@ def statements() -> dict[str, str]:
     q["enriched"] = _with() + "SELECT * FROM enriched"
 
     q["weekly_sales"] = _with() + f"""SELECT year, week, POS_DESCRIPTION, CATEGORY,
-       round(coalesce(sum(total_sales), 0), 2) AS weekly_sales,
-       round(coalesce(sum(UNIT_QUANTITY), 0), 2) AS units_sold,
+       round({_sum('total_sales')}, 2) AS weekly_sales,
+       round({_sum('UNIT_QUANTITY')}, 2) AS units_sold,
        {_DISTINCT_ITEMS} AS transaction_count
 FROM enriched WHERE NOT regexp_matches(CATEGORY, 'FUEL|GAS') OR CATEGORY IS NULL
 GROUP BY year, week, POS_DESCRIPTION, CATEGORY"""
 
     q["weekly_sales_page"] = _with() + f"""SELECT year, week, POS_DESCRIPTION, CATEGORY,
-       round(coalesce(sum(total_sales), 0), 2) AS weekly_sales,
-       round(coalesce(sum(UNIT_QUANTITY), 0), 2) AS units_sold
+       round({_sum('total_sales')}, 2) AS weekly_sales,
+       round({_sum('UNIT_QUANTITY')}, 2) AS units_sold
 FROM enriched
 WHERE NONSCAN_CATEGORY <> 'FUEL'
   AND NOT (STORE_ID IN (SELECT CAST(STORE_ID AS VARCHAR) FROM stores WHERE STORE_NAME IN {excl_sql}))
@@ -232,9 +247,9 @@ FROM (SELECT max(weekly_sales) AS m FROM weekly1 WHERE POS_DESCRIPTION IN (SELEC
 
     q["category_list"] = _with(_PAGE1) + "SELECT DISTINCT CATEGORY FROM page1 WHERE CATEGORY IS NOT NULL"
 
-    q["beverage_brands"] = _with() + f"""SELECT BRAND, round(coalesce(sum(total_sales), 0), 2) AS total_sales,
-       round(coalesce(sum(UNIT_QUANTITY), 0), 2) AS units_sold,
-       {_DISTINCT_ITEMS} AS transaction_count, round(avg(UNIT_PRICE), 4) AS avg_price
+    q["beverage_brands"] = _with() + f"""SELECT BRAND, round({_sum('total_sales')}, 2) AS total_sales,
+       round({_sum('UNIT_QUANTITY')}, 2) AS units_sold,
+       {_DISTINCT_ITEMS} AS transaction_count, round({_avg('UNIT_PRICE')}, 4) AS avg_price
 FROM enriched WHERE regexp_matches(CATEGORY, 'BEVERAGE|DRINK|SODA|WATER') AND BRAND IS NOT NULL
 GROUP BY BRAND"""
 
@@ -249,8 +264,8 @@ FROM perf WHERE {_WEAK}"""
 
     q["brand_kpis"] = _with(_PAGE2, _PERF) + f"""SELECT count(*) AS total_brands,
        count(*) FILTER (WHERE {_WEAK}) AS underperforming_brands,
-       round(coalesce(avg(total_sales), 0), 4) AS avg_brand_sales,
-       round(coalesce(sum(total_sales), 0), 2) AS total_sales
+       round(coalesce({_avg('total_sales')}, 0), 4) AS avg_brand_sales,
+       round({_sum('total_sales')}, 2) AS total_sales
 FROM perf"""
 
     q["brand_drop_impact"] = _with(_PAGE2, _PERF) + f"""SELECT round(lost_sales, 2) AS lost_sales, lost_transactions,
@@ -258,16 +273,20 @@ FROM perf"""
        round(CASE WHEN total_brand_sales > 0 THEN lost_sales / total_brand_sales * 100 ELSE 0.0 END, 4) AS pct_sales,
        brands_removed,
        round(CASE WHEN total_brands > 0 THEN brands_removed / total_brands * 100 ELSE 0.0 END, 4) AS pct_brands
-FROM (SELECT coalesce(sum(total_sales) FILTER (WHERE {_WEAK}), 0) AS lost_sales,
+FROM (SELECT {_sum('CASE WHEN ' + _WEAK + ' THEN total_sales END')} AS lost_sales,
              CAST(coalesce(sum(transaction_count) FILTER (WHERE {_WEAK}), 0) AS BIGINT) AS lost_transactions,
-             coalesce(sum(total_sales), 0) AS total_brand_sales,
+             {_sum('total_sales')} AS total_brand_sales,
              count(*) FILTER (WHERE {_WEAK}) AS brands_removed, count(*) AS total_brands
       FROM perf) x"""
 
+    tight = _weak(10000, 300)
+    q["brand_underperforming_tight"] = q["brand_underperforming"].replace(_WEAK, tight)
+    q["brand_drop_impact_tight"] = q["brand_drop_impact"].replace(_WEAK, tight)
+
     q["brand_trend"] = _with(
         _PAGE2, _PERF,
         "top10 AS (SELECT BRAND FROM perf ORDER BY round(total_sales, 2) DESC NULLS FIRST, BRAND ASC NULLS FIRST LIMIT 10)",
-    ) + f"""SELECT year, week, BRAND, round(coalesce(sum(total_sales), 0), 2) AS weekly_sales, {_wl()} AS week_label
+    ) + f"""SELECT year, week, BRAND, round({_sum('total_sales')}, 2) AS weekly_sales, {_wl()} AS week_label
 FROM page2 WHERE BRAND IN (SELECT BRAND FROM top10) GROUP BY year, week, BRAND"""
 
     q["store_exclusion_by_name"] = _with(_page3(excl, cash=True, credit=False), _CMP) + _CMP_SELECT + (
@@ -295,7 +314,7 @@ FROM enriched WHERE PAYMENT_TYPE IN ('CASH', 'CHANGE', 'CREDIT', 'DEBIT')"""
 FROM cmp"""
 
     q["payment_share"] = _with(_page3(), _CMP) + """SELECT payment_group, round(total_sales, 2) AS total_sales,
-       round(total_sales / sum(total_sales) OVER (), 6) AS share
+       round(total_sales / CAST(sum(CAST(total_sales AS DECIMAL(38, 6))) OVER () AS DOUBLE), 6) AS share
 FROM cmp"""
 
     q["payment_top_products"] = _with(_page3()) + f"""SELECT * FROM (
@@ -303,7 +322,7 @@ FROM cmp"""
          CAST(row_number() OVER (PARTITION BY payment_group
               ORDER BY purchase_count DESC NULLS FIRST, POS_DESCRIPTION ASC NULLS FIRST) AS BIGINT) AS rank
   FROM (SELECT payment_group, POS_DESCRIPTION, {_DISTINCT_ITEMS} AS purchase_count,
-               coalesce(sum(total_sales), 0) AS total_sales
+               {_sum('total_sales')} AS total_sales
         FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_group, POS_DESCRIPTION) a
 ) r WHERE rank <= 10"""
 
@@ -312,22 +331,22 @@ FROM cmp"""
          transactions,
          CAST(row_number() OVER (PARTITION BY payment_group
               ORDER BY round(total_sales, 2) DESC NULLS FIRST, POS_DESCRIPTION ASC NULLS FIRST) AS BIGINT) AS rank
-  FROM (SELECT payment_group, POS_DESCRIPTION, coalesce(sum(total_sales), 0) AS total_sales,
-               coalesce(sum(UNIT_QUANTITY), 0) AS units_sold, {_DISTINCT_ITEMS} AS transactions
+  FROM (SELECT payment_group, POS_DESCRIPTION, {_sum('total_sales')} AS total_sales,
+               {_sum('UNIT_QUANTITY')} AS units_sold, {_DISTINCT_ITEMS} AS transactions
         FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_group, POS_DESCRIPTION) a
 ) r WHERE rank <= 20"""
 
     q["payment_weekly"] = _with(_page3()) + f"""SELECT year, week, payment_group,
-       round(coalesce(sum(total_sales), 0), 2) AS weekly_sales, {_DISTINCT_ITEMS} AS transaction_count,
+       round({_sum('total_sales')}, 2) AS weekly_sales, {_DISTINCT_ITEMS} AS transaction_count,
        {_wl()} AS week_label, round(5000.0 * 7, 2) AS weekly_target
 FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY year, week, payment_group"""
 
-    q["payment_daily_max"] = _with(_page3()) + """SELECT round(m, 2) AS max_daily_sales,
+    q["payment_daily_max"] = _with(_page3()) + f"""SELECT round(m, 2) AS max_daily_sales,
        round(CASE WHEN m IS NOT NULL AND m <> 0 THEN m ELSE 10000.0 END, 2) AS target_max
-FROM (SELECT max(s) AS m FROM (SELECT coalesce(sum(total_sales), 0) AS s FROM page3 GROUP BY date, payment_group) d) x"""
+FROM (SELECT max(s) AS m FROM (SELECT {_sum('total_sales')} AS s FROM page3 GROUP BY date, payment_group) d) x"""
 
     q["category_breakdown"] = _with(_page3()) + f"""SELECT payment_group, CATEGORY,
-       round(coalesce(sum(total_sales), 0), 2) AS total_sales, {_DISTINCT_ITEMS} AS transactions
+       round({_sum('total_sales')}, 2) AS total_sales, {_DISTINCT_ITEMS} AS transactions
 FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_group, CATEGORY"""
 
     demo = _demo_ctes()

@@ -23,6 +23,10 @@ from tillscope.sources import fixtures
 # Parameters of the keys that exercise the exclusion filters.
 EXCLUDED_STORE_NAMES = ["Supplier#000000001", "Supplier#000000002"]
 EXCLUDED_CATEGORIES = ["STANDARD"]
+# Slider positions (within the page's ranges) at which some brands fall
+# under the thresholds at sf0.01; the page defaults flag none there.
+TIGHT_MIN_SALES = 10000
+TIGHT_MIN_TRANSACTIONS = 300
 
 
 def _finish(df: DataFrame, money: tuple = (), ratio: tuple = (), share: tuple = ()) -> DataFrame:
@@ -134,6 +138,18 @@ def q_brand_underperforming(spark, sf_dir):
     return _finish(brands.underperforming(perf), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
 
 
+def q_brand_underperforming_tight(spark, sf_dir):
+    _, perf = _brand_perf(spark, sf_dir)
+    weak = brands.underperforming(perf, TIGHT_MIN_SALES, TIGHT_MIN_TRANSACTIONS)
+    return _finish(weak, money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+
+
+def q_brand_drop_impact_tight(spark, sf_dir):
+    _, perf = _brand_perf(spark, sf_dir)
+    impact = brands.drop_impact(perf, TIGHT_MIN_SALES, TIGHT_MIN_TRANSACTIONS)
+    return _finish(impact, money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+
+
 def q_brand_kpis(spark, sf_dir):
     _, perf = _brand_perf(spark, sf_dir)
     return _finish(brands.brand_kpis(perf), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
@@ -267,8 +283,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "beverage_brands": q_beverage_brands,
     "brand_performance": q_brand_performance,
     "brand_underperforming": q_brand_underperforming,
+    "brand_underperforming_tight": q_brand_underperforming_tight,
     "brand_kpis": q_brand_kpis,
     "brand_drop_impact": q_brand_drop_impact,
+    "brand_drop_impact_tight": q_brand_drop_impact_tight,
     "brand_trend": q_brand_trend,
     "store_exclusion_by_name": q_store_exclusion_by_name,
     "payment_comparison": q_payment_comparison,
