@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tillscope.operators import brands, demographics, payments, products, stores
 from tillscope.plans.enrich import enrich_weighted_tables, expand_weight
+from tillscope.plans.reuse import frames_for
 from tillscope.sources import fixtures
 
 # Parameters of the keys that exercise the exclusion filters.
@@ -46,9 +47,13 @@ def _finish(df: DataFrame, money: tuple = (), ratio: tuple = (), share: tuple =
     return df.select(*cols)
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> fixtures.RetailTables:
+    return frames_for(spark, f"tables:{sf_dir}", lambda: fixtures.load(spark, sf_dir))
+
+
 def _base(spark: SparkSession, sf_dir: str):
-    t = fixtures.load(spark, sf_dir)
-    return t, enrich_weighted_tables(t)
+    t = _tables(spark, sf_dir)
+    return t, frames_for(spark, f"enriched:{sf_dir}", lambda: enrich_weighted_tables(t))
 
 
 def q_enriched(spark, sf_dir):
@@ -94,22 +99,22 @@ def q_product_target(spark, sf_dir):
 
 
 def q_date_bounds(spark, sf_dir):
-    t = fixtures.load(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return stores.item_date_bounds(t.items)
 
 
 def q_store_list(spark, sf_dir):
-    t = fixtures.load(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return _finish(stores.store_list(t.stores))
 
 
 def q_store_names(spark, sf_dir):
-    t = fixtures.load(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return stores.store_names(t.items, t.stores)
 
 
 def q_category_list(spark, sf_dir):
-    t = fixtures.load(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return products.category_list(t.items, t.catalog)
 
 
@@ -220,7 +225,7 @@ def q_category_breakdown(spark, sf_dir):
 
 
 def _demo(spark, sf_dir):
-    t = fixtures.load(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     loc = demographics.store_locations(t.items, t.stores)
     prof = demographics.census_profiles(loc, t.census)
     return loc, prof, demographics.demographics_long(prof)

@@ -12,7 +12,7 @@ mapping as SQL text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,23 +159,33 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class RetailTables:
-    """The four retail inputs plus census, as lazy DataFrames."""
+    """The four retail inputs plus census, as lazy DataFrames built on first use."""
 
-    items: DataFrame
-    catalog: DataFrame
-    payments: DataFrame
-    stores: DataFrame
-    census: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return transaction_items(self._spark, self._dir)
+
+    @cached_property
+    def catalog(self) -> DataFrame:
+        return master_catalog(self._spark, self._dir)
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return payments(self._spark, self._dir)
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        return stores(self._spark, self._dir)
+
+    @cached_property
+    def census(self) -> DataFrame:
+        return census(self._spark, self._dir)
 
 
 def load(spark: SparkSession, sf_dir: str) -> RetailTables:
     """All role tables for one scale-factor directory."""
-    return RetailTables(
-        items=transaction_items(spark, sf_dir),
-        catalog=master_catalog(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        stores=stores(spark, sf_dir),
-        census=census(spark, sf_dir),
-    )
+    return RetailTables(spark, sf_dir)
