@@ -88,3 +88,20 @@ def test_enriched_rows_equal_items_times_payment_multiplicity(spark):
     expected = (t.items.join(mult, "TRANSACTION_SET_ID", "left")
                 .agg(F.sum(F.coalesce("count", F.lit(1)))).first()[0])
     assert reports.q_enriched(spark, SF_SMALL).count() == expected
+
+
+def test_checked_broadcast_both_sides_of_the_limit(spark):
+    from tillscope.plans.joins import checked_broadcast
+
+    t = fixtures.load(spark, SF_SMALL)
+    small = checked_broadcast(t.stores, max_bytes=64 * 1024 * 1024)
+    big = checked_broadcast(t.stores, max_bytes=10)
+
+    def hinted(df):
+        return "Hint broadcast" in df._jdf.queryExecution().logical().toString()
+
+    assert hinted(small) and not hinted(big)
+    j_small = t.items.join(small.select(F.col("STORE_ID").cast("string").alias("STORE_ID")), "STORE_ID", "left")
+    assert "BroadcastHashJoin" in _plan(j_small)
+    j_big = t.items.join(big.select(F.col("STORE_ID").cast("string").alias("STORE_ID")), "STORE_ID", "left")
+    assert j_small.count() == j_big.count()

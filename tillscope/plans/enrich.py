@@ -13,11 +13,10 @@ Two forms are offered:
 * ``enrich`` — the row-level frame the dashboard builds (one row per item and
   payment row), produced by exploding the weight after the join.
 
-Join strategy: catalog and stores are left to Spark — broadcast when their
-measured size is under the broadcast threshold (static estimate or AQE run
-time statistics), sort-merge joined otherwise; items ⟕ payments is always a
-shuffle hash join on TRANSACTION_SET_ID (AQE still splits skewed item-side
-partitions).  Catalyst prunes every input to the
+Join strategy: catalog and stores are broadcast only after their size is
+measured to be under a limit (``plans.joins.checked_broadcast``) and are
+sort-merge joined otherwise; items ⟕ payments is always a shuffle hash join
+on TRANSACTION_SET_ID (AQE still splits skewed item-side partitions).  Catalyst prunes every input to the
 columns a query uses and pushes item filters into the item scan.
 """
 
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.expr import WEIGHT
+from tillscope.plans.joins import checked_broadcast
 from tillscope.sources.fixtures import RetailTables
 
 
@@ -48,15 +48,20 @@ def payment_weights(payments: DataFrame) -> DataFrame:
     return payments.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE").agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
-def enrich_weighted(items: DataFrame, catalog: DataFrame, payments: DataFrame, stores: DataFrame) -> DataFrame:
+def enrich_weighted(
+    items: DataFrame, catalog: DataFrame, payments: DataFrame, stores: DataFrame, check_sizes: bool = True
+) -> DataFrame:
     """Items ⟕ catalog ⟕ payment weights ⟕ stores, plus derived columns.
 
     Columns: every item column, catalog columns, PAYMENT_TYPE, STORE_NAME,
     CITY, STATE, ``datetime``, ``date``, ``total_sales``, ``week`` (ISO),
     ``year`` (calendar, N9) and ``payment_weight`` (1 when no payment row).
+    ``check_sizes`` runs one count per dimension to decide its broadcast;
+    with False the choice is left to Spark's estimates.
     """
+    sized = checked_broadcast if check_sizes else (lambda d: d)
     cat = _suffix_clashes(items, catalog, ["GTIN"])
-    out = items.join(cat, "GTIN", "left")
+    out = items.join(sized(cat), "GTIN", "left")
     pay = _suffix_clashes(out, payment_weights(payments), ["TRANSACTION_SET_ID"])
     # Payments grow with transactions and are never date-pruned, so this is
     # a shuffle join at any size: the hint keeps AQE from broadcasting a
@@ -64,7 +69,7 @@ def enrich_weighted(items: DataFrame, catalog: DataFrame, payments: DataFrame, s
     # after the scan into parallel post-shuffle tasks.
     out = out.join(pay.hint("shuffle_hash"), "TRANSACTION_SET_ID", "left")
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
-    out = out.join(_suffix_clashes(out, st, ["STORE_ID"]), "STORE_ID", "left")
+    out = out.join(sized(_suffix_clashes(out, st, ["STORE_ID"])), "STORE_ID", "left")
     day = F.to_date(F.col("DATE_TIME"))
     return out.select(
         *items.columns,
