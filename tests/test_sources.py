@@ -79,3 +79,13 @@ def test_census_responses_cells_and_whole_county_default(spark, scratch):
         p = prof[s]
         assert not p.census_ok
         assert p.B01001_001E == 27000.0 and p.B01002_001E == 35.5 and p.B08303_001E == 22.5
+
+
+def test_cluster_conf_scales_with_input():
+    from tillscope.session import cluster_conf
+
+    small = cluster_conf(10 * 1024 ** 3, executors=10, cores_per_executor=4)
+    big = cluster_conf(100 * 1024 ** 4, executors=1000, cores_per_executor=8, executor_memory_gb=32)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120  # 3 waves of 40 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 102400  # one per GiB of 100 TiB
+    assert int(big["spark.tillscope.broadcastMaxBytes"]) == 512 * 1024 ** 2

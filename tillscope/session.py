@@ -49,3 +49,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tillscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 executor_memory_gb: float = 16.0) -> dict[str, str]:
+    """Settings sized for a cluster run over ``input_bytes`` of Parquet input.
+
+    * File splits of 512 MiB: about 200,000 scan tasks for 100 TiB, large
+      enough to amortise task start-up, small enough to stay in memory.
+    * Initial shuffle partitions: one per GiB of input (the largest shuffle
+      is the column-pruned item side of the payment join, well under the
+      input size), at least 3 waves of the cluster's cores and at most
+      200,000 so that map × reduce block counts stay manageable.  AQE then
+      coalesces towards 256 MiB and splits skewed partitions.
+    * Broadcast limit: 1/64 of executor memory, at most 1 GiB — the cap that
+      ``plans.joins.checked_broadcast`` applies to measured sizes.
+    """
+    slots = max(1, executors * cores_per_executor)
+    partitions = min(200_000, max(3 * slots, -(-input_bytes // 1024 ** 3)))
+    broadcast = int(min(1024 ** 3, executor_memory_gb * 1024 ** 3 / 64))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+        "spark.tillscope.broadcastMaxBytes": str(broadcast),
+    }
