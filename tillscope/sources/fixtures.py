@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.sources import readers
 from tillscope.sources import schemas as S
 
 
@@ -129,8 +130,8 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer → one census row per county, every cell as response text.
+def census_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer → one census response text per county (the service's JSON layout).
 
     Measure number i (from 1) counts customers whose key is a multiple of i.
     Two cells carry the texts the census service uses for "no value": a
@@ -151,12 +152,19 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
             return F.when(F.col("county") == S.COUNTY_FALLS, F.lit(None).cast("string")).otherwise(F.col(code))
         return F.col(code)
 
-    return agg.select(
-        F.lit(S.STORE_STATE_FIPS).alias("state"),
-        "county",
-        *[cell(code).alias(code) for code in S.CENSUS_CODES],
-        F.lit(True).alias("complete"),
+    header = F.array(*[F.lit(h) for h in ["NAME", *S.CENSUS_CODES, "state", "county"]])
+    row = F.array(
+        F.concat(F.lit("County "), F.col("county")),
+        *[cell(code) for code in S.CENSUS_CODES],
+        F.lit(S.STORE_STATE_FIPS),
+        F.col("county"),
     )
+    return agg.select(F.to_json(F.array(header, row)).alias("value"))
+
+
+def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Census table parsed from the derived response texts, as landed files would be."""
+    return readers.parse_census_documents(census_documents(spark, sf_dir))
 
 
 class RetailTables:

@@ -44,18 +44,25 @@ def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_census_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Parse landed census responses, one JSON document per file.
+    """Parse landed census responses, one JSON document per file.
+
+    See ``parse_census_documents`` for the result.
+    """
+    return parse_census_documents(spark.read.text(path, wholetext=True))
+
+
+def parse_census_documents(docs: DataFrame, column: str = "value") -> DataFrame:
+    """Census response texts → one row per document.
 
     A response is an array of arrays of strings: a header row (NAME, the
     measure codes, ``state``, ``county``) then one data row.  The result has
-    one row per file: ``state``, ``county``, one string column per measure
-    code, and ``complete`` — false when the text is not such a document,
-    a code is missing from the header, or the data row is too short.  The
-    whole county then takes the default profile (see ``census_profiles``).
+    ``state``, ``county``, one string column per measure code, and
+    ``complete`` — false when the text is not such a document, a code is
+    missing from the header, or the data row is too short.  The whole county
+    then takes the default profile (see ``operators.demographics.census_profiles``).
     """
-    raw = spark.read.text(path, wholetext=True)
-    doc = F.from_json(F.col("value"), "array<array<string>>")
-    parsed = raw.select(
+    doc = F.from_json(F.col(column), "array<array<string>>")
+    parsed = docs.select(
         F.try_element_at(doc, F.lit(1)).alias("header"),
         F.try_element_at(doc, F.lit(2)).alias("row"),
     )
