@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
+from tillscope.plans.joins import checked_broadcast
 
 
 def store_list(stores: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def stores_seen(items: DataFrame, stores: DataFrame) -> DataFrame:
     """
     ids = items.select("STORE_ID").distinct()
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
-    return ids.join(st, "STORE_ID", "left").distinct()
+    return ids.join(checked_broadcast(st), "STORE_ID", "left").distinct()
 
 
 def store_names(items: DataFrame, stores: DataFrame) -> DataFrame:
