@@ -110,7 +110,7 @@ def q_store_list(spark, sf_dir):
 
 def q_store_names(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return stores.store_names(t.items, t.stores)
+    return frames_for(spark, f"store_names:{sf_dir}", lambda: stores.store_names(t.items, t.stores))
 
 
 def q_category_list(spark, sf_dir):
@@ -225,10 +225,13 @@ def q_category_breakdown(spark, sf_dir):
 
 
 def _demo(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    loc = demographics.store_locations(t.items, t.stores)
-    prof = demographics.census_profiles(loc, t.census)
-    return loc, prof, demographics.demographics_long(prof)
+    def build():
+        t = _tables(spark, sf_dir)
+        loc = demographics.store_locations(t.items, t.stores)
+        prof = demographics.census_profiles(loc, t.census)
+        return loc, prof, demographics.demographics_long(prof)
+
+    return frames_for(spark, f"demographics:{sf_dir}", build)
 
 
 def q_store_locations(spark, sf_dir):
