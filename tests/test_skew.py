@@ -69,3 +69,27 @@ def test_hot_transaction_exact_and_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_group_of_copies_in_the_catalog(spark):
+    """A third of the catalog rows are identical copies of one GTIN; results equal the raw fan-out."""
+    from retail_fixture import CATALOG, ITEMS, PAYMENTS, STORES
+    from tillscope.functions.expr import exact_sum
+
+    its = [item(f"t{i % 50}", i, i % 4, "1", "2024-01-02 00:00:00", f"P{i % 3}", price=float(1 + i % 7))
+           for i in range(300)]
+    cat = [(g, f"C{g}", "B") for g in range(4)] * 3 + [(0, "C0", "B")] * 6  # GTIN 0: 9 identical copies
+    pays = [(f"t{i}", "CASH") for i in range(0, 50, 2)] + [("t0", "CREDIT")]
+    sts = [(1, "S1", "Rigby", "ID")]
+    e = enrich_weighted(spark.createDataFrame(its, ITEMS), spark.createDataFrame(cat, CATALOG),
+                        spark.createDataFrame(pays, PAYMENTS), spark.createDataFrame(sts, STORES))
+    got = {r.CATEGORY: round(r.s, 2) for r in e.groupBy("CATEGORY").agg(
+        F.expr("cast(sum(cast(total_sales as decimal(38,6)) * payment_weight) as double)").alias("s")).collect()}
+    raw = (spark.createDataFrame(its, ITEMS).join(spark.createDataFrame(cat, CATALOG), "GTIN", "left")
+           .join(spark.createDataFrame(pays, PAYMENTS), "TRANSACTION_SET_ID", "left")
+           .withColumn("total_sales", F.col("UNIT_PRICE") * F.col("UNIT_QUANTITY")))
+    want = {r.CATEGORY: round(r.s, 2) for r in raw.groupBy("CATEGORY").agg(exact_sum("total_sales").alias("s")).collect()}
+    assert got == want
+    # the copies travel as a weight: the weighted frame has one row per item and payment type
+    assert e.count() == spark.createDataFrame(its, ITEMS).join(
+        spark.createDataFrame(pays, PAYMENTS).distinct(), "TRANSACTION_SET_ID", "left").count()

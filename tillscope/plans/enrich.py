@@ -14,7 +14,7 @@ Two forms are offered:
   payment row), produced by exploding the weight after the join.
 
 Join strategy: catalog and stores are broadcast only after their size is
-measured to be under a limit (``plans.joins.checked_broadcast``) and are
+measured to be under a limit (``plans.joins.prepare_dimension``) and are
 sort-merge joined otherwise; items ⟕ payments is always a shuffle hash join
 on TRANSACTION_SET_ID (AQE still splits skewed item-side partitions).  Catalyst prunes every input to the
 columns a query uses and pushes item filters into the item scan.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.expr import WEIGHT
-from tillscope.plans.joins import checked_broadcast
+from tillscope.plans.joins import prepare_dimension
 from tillscope.sources.fixtures import RetailTables
 
 
@@ -55,31 +55,41 @@ def enrich_weighted(
 
     Columns: every item column, catalog columns, PAYMENT_TYPE, STORE_NAME,
     CITY, STATE, ``datetime``, ``date``, ``total_sales``, ``week`` (ISO),
-    ``year`` (calendar, N9) and ``payment_weight`` (1 when no payment row).
-    ``check_sizes`` runs one count per dimension to decide its broadcast;
-    with False the choice is left to Spark's estimates.
+    ``year`` (calendar, N9) and ``payment_weight``: how many rows the
+    dashboard's join makes of this one — payment rows of the transaction
+    (1 when none) times identical copies of the catalog and store rows.
+    ``check_sizes`` runs one aggregate job per dimension (key uniqueness and
+    size; see ``plans.joins.prepare_dimension``); with False the dimensions
+    are always collapsed and the join strategy is left to Spark.
     """
-    sized = checked_broadcast if check_sizes else (lambda d: d)
-    cat = _suffix_clashes(items, catalog, ["GTIN"])
-    out = items.join(sized(cat), "GTIN", "left")
+    weights = []
+    cat, copies = prepare_dimension(_suffix_clashes(items, catalog, ["GTIN"]), "GTIN", "_catalog_copies", check_sizes)
+    out = items.join(cat, "GTIN", "left")
+    weights += ["_catalog_copies"] if copies else []
     pay = _suffix_clashes(out, payment_weights(payments), ["TRANSACTION_SET_ID"])
     # Payments grow with transactions and are never date-pruned, so this is
     # a shuffle join at any size: the hint keeps AQE from broadcasting a
     # side whose size tracks the fact table, and moves all per-row work
     # after the scan into parallel post-shuffle tasks.
     out = out.join(pay.hint("shuffle_hash"), "TRANSACTION_SET_ID", "left")
+    weights.append(WEIGHT)
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
-    out = out.join(sized(_suffix_clashes(out, st, ["STORE_ID"])), "STORE_ID", "left")
+    st, copies = prepare_dimension(_suffix_clashes(out, st, ["STORE_ID"]), "STORE_ID", "_store_copies", check_sizes)
+    out = out.join(st, "STORE_ID", "left")
+    weights += ["_store_copies"] if copies else []
+    weight = F.lit(1).cast("long")
+    for w in weights:
+        weight = weight * F.coalesce(F.col(w), F.lit(1)).cast("long")
     day = F.to_date(F.col("DATE_TIME"))
     return out.select(
         *items.columns,
-        *[c for c in out.columns if c not in items.columns and c != WEIGHT],
+        *[c for c in out.columns if c not in items.columns and c not in weights],
         F.col("DATE_TIME").cast("timestamp_ntz").alias("datetime"),
         day.alias("date"),
         (F.col("UNIT_PRICE") * F.col("UNIT_QUANTITY")).alias("total_sales"),
         F.weekofyear(day).alias("week"),
         F.year(day).alias("year"),
-        F.coalesce(F.col(WEIGHT), F.lit(1)).cast("long").alias(WEIGHT),
+        weight.alias(WEIGHT),
     )
 
 

@@ -45,3 +45,29 @@ def checked_broadcast(dim: DataFrame, max_bytes: int | None = None) -> DataFrame
     limit = max_bytes if max_bytes is not None else broadcast_limit(dim)
     rows = dim.count()
     return F.broadcast(dim) if rows * row_width(dim.schema) * _OVERHEAD <= limit else dim
+
+
+def prepare_dimension(dim: DataFrame, key: str, copies_col: str, check: bool = True) -> tuple[DataFrame, bool]:
+    """Ready a dimension for a left join on ``key``: collapse copies, size the broadcast.
+
+    One aggregate job measures the rows and whether ``key`` is unique.  A
+    dimension with repeated keys is reduced to one row per distinct row with
+    its count in ``copies_col`` (the join's fan-out then travels as a weight
+    instead of repeated rows, like the payment weight), and the side is
+    broadcast when its measured size is under the limit.  Returns the frame
+    and whether ``copies_col`` was added.  With ``check=False`` no job runs:
+    the dimension is always collapsed and the join left to Spark.
+    """
+    def collapse(d: DataFrame) -> DataFrame:
+        return d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias(copies_col))
+
+    if not check:
+        return collapse(dim), True
+    stats = dim.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.col(key)).alias("keyed"),
+        F.count_distinct(F.col(key)).alias("keys"),
+    ).first()
+    out, added = (collapse(dim), True) if stats["keyed"] != stats["keys"] else (dim, False)
+    fits = stats["rows"] * row_width(out.schema) * _OVERHEAD <= broadcast_limit(dim)
+    return (F.broadcast(out) if fits else out), added
