@@ -89,3 +89,22 @@ def test_cluster_conf_scales_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 120  # 3 waves of 40 cores
     assert int(big["spark.sql.shuffle.partitions"]) == 102400  # one per GiB of 100 TiB
     assert int(big["spark.tillscope.broadcastMaxBytes"]) == 512 * 1024 ** 2
+
+
+def test_load_retail_from_a_dashboard_data_folder(spark, scratch):
+    from tillscope.plans import pages
+    from tillscope.sources import fixtures
+
+    t = fixtures.load(spark, "/root/testdata/sf0.001")
+    t.items.write.parquet(os.path.join(scratch, readers.ITEMS_DIR))
+    t.catalog.write.parquet(os.path.join(scratch, readers.CATALOG_FILE))
+    t.payments.write.parquet(os.path.join(scratch, readers.PAYMENTS_FILE))
+    t.stores.write.parquet(os.path.join(scratch, readers.STORES_FILE))
+    cen = os.path.join(scratch, "census")
+    fixtures.census_documents(spark, "/root/testdata/sf0.001").coalesce(1).write.text(cen)
+    inputs = readers.load_retail(spark, scratch, census_dir=cen)
+    landed = pages.top_products_page(inputs)["top_products"].collect()
+    direct = pages.top_products_page(t)["top_products"].collect()
+    assert landed == direct
+    p4 = pages.demographics_page(inputs)
+    assert p4["long"].count() == 14 * p4["locations"].count()

@@ -16,13 +16,24 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Iterator, Sequence
+from typing import Protocol
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tillscope.operators import brands, demographics, payments, products, stores
 from tillscope.plans.enrich import enrich_weighted_tables
-from tillscope.sources.fixtures import RetailTables
+
+class RetailTables(Protocol):
+    """The inputs a page reads: ``sources.readers.load_retail`` for a data
+    folder, ``sources.fixtures.load`` for the driver tables.  ``census`` is
+    needed by page 4 only."""
+
+    items: DataFrame
+    catalog: DataFrame
+    payments: DataFrame
+    stores: DataFrame
+    census: DataFrame | None
 
 
 def top_products_page(

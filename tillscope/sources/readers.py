@@ -6,6 +6,8 @@ the columns and filters a later analysis needs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +86,38 @@ def parse_census_documents(docs: DataFrame, column: str = "value") -> DataFrame:
         *[cell(code).alias(code) for code in S.CENSUS_CODES],
         complete.alias("complete"),
     )
+
+
+# --- Fixed values: file layout of the dashboard's data folder -------------
+ITEMS_DIR = "transaction_items"
+CATALOG_FILE = "cstore_master_ctin.parquet"
+PAYMENTS_FILE = "cstore_payments.parquet"
+STORES_FILE = "cstore_stores.parquet"
+# --- end of fixed values --------------------------------------------------
+
+
+@dataclass(frozen=True)
+class RetailInputs:
+    """The retail inputs as lazy DataFrames (same attributes as the driver fixtures)."""
+
+    items: DataFrame
+    catalog: DataFrame
+    payments: DataFrame
+    stores: DataFrame
+    census: DataFrame | None = None
+
+
+def load_retail(spark: SparkSession, data_dir: str, census_dir: str | None = None) -> RetailInputs:
+    """All inputs of a data folder laid out as the dashboard expects.
+
+    ``census_dir`` holds landed census responses (one JSON text per file);
+    the demographics analyses need it.
+    """
+    base = data_dir.rstrip("/")
+    return RetailInputs(
+        items=read_transaction_items(spark, f"{base}/{ITEMS_DIR}"),
+        catalog=read_catalog(spark, f"{base}/{CATALOG_FILE}"),
+        payments=read_payments(spark, f"{base}/{PAYMENTS_FILE}"),
+        stores=read_stores(spark, f"{base}/{STORES_FILE}"),
+        census=read_census_responses(spark, census_dir) if census_dir else None,
+    )
