@@ -105,3 +105,19 @@ def test_checked_broadcast_both_sides_of_the_limit(spark):
     assert "BroadcastHashJoin" in _plan(j_small)
     j_big = t.items.join(big.select(F.col("STORE_ID").cast("string").alias("STORE_ID")), "STORE_ID", "left")
     assert j_small.count() == j_big.count()
+
+
+def test_bucketed_layout_joins_payments_without_exchange(spark, scratch):
+    from tillscope.plans.layout import bucket_inputs
+    from tillscope.plans.enrich import payment_weights
+
+    t = fixtures.load(spark, SF_SMALL)
+    b = bucket_inputs(spark, t, scratch, buckets=8, prefix="t_bucketed")
+    e = enrich_weighted(b.items, b.catalog, b.payments, b.stores)
+    plan = _plan(e)
+    # no exchange on TRANSACTION_SET_ID: the join and the weight aggregation use the buckets
+    assert "hashpartitioning(TRANSACTION_SET_ID" not in plan, plan
+    assert "ShuffledHashJoin" in plan or "SortMergeJoin" in plan
+    weighted_rows = sorted(tuple(r) for r in products.weekly_product_sales(e).collect())
+    plain = enrich_weighted(t.items, t.catalog, t.payments, t.stores)
+    assert weighted_rows == sorted(tuple(r) for r in products.weekly_product_sales(plain).collect())

@@ -1,0 +1,43 @@
+"""Storage layout for repeated analyses: items and payments bucketed by transaction.
+
+Every analysis joins items to payments on TRANSACTION_SET_ID, the one join
+between two tables that grow with the data.  Written once as tables bucketed
+(and sorted) by that key with the same bucket count, both sides arrive
+hash-partitioned: the payment-weight aggregation (grouped by transaction and
+type) and the items ⟕ payments join then run without any exchange, so the
+repeated dashboard queries shuffle only for their final aggregations.
+
+Tables are external (their files live at the given location, which on a
+cluster must be shared storage) and registered in the session catalog.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from tillscope.sources.readers import RetailInputs
+
+KEY = "TRANSACTION_SET_ID"
+
+
+def bucket_inputs(
+    spark: SparkSession, inputs, location: str, buckets: int, prefix: str = "tillscope"
+) -> RetailInputs:
+    """Write items and payments bucketed by transaction; return inputs reading them.
+
+    ``buckets`` should give item buckets of a few hundred MiB (for 100 TiB of
+    items, tens of thousands); both tables use the same count so their
+    buckets line up.  Catalog, stores and census are passed through.
+    """
+    base = location.rstrip("/")
+    for name, df in (("items", inputs.items), ("payments", inputs.payments)):
+        table = f"{prefix}_{name}"
+        (df.write.mode("overwrite").bucketBy(buckets, KEY).sortBy(KEY)
+         .option("path", f"{base}/{table}").saveAsTable(table))
+    return RetailInputs(
+        items=spark.table(f"{prefix}_items"),
+        catalog=inputs.catalog,
+        payments=spark.table(f"{prefix}_payments"),
+        stores=inputs.stores,
+        census=getattr(inputs, "census", None),
+    )
