@@ -45,3 +45,21 @@ def test_stream_matches_batch(spark, scratch):
         assert _latest(spark, "ws_test") == _batch_truth(t, items)
     finally:
         q.stop()
+
+
+def test_stream_file_sink_batches(spark, scratch):
+    t = fixtures.load(spark, SF_SMALL)
+    landing = os.path.join(scratch, "landing")
+    t.items.coalesce(1).write.parquet(os.path.join(landing, "part1"))
+    src = weekly.item_stream(spark, os.path.join(landing, "*"))
+    agg = weekly.weekly_sales_stream(src, t.catalog, t.payments, t.stores)
+    out = os.path.join(scratch, "out")
+    q = weekly.start_weekly_sales(agg, os.path.join(scratch, "ckpt"), sink="parquet", path=out, query_name="ws_file")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    written = spark.read.parquet(os.path.join(out, "batch=0"))
+    got = {(r.year, r.week, r.POS_DESCRIPTION, r.CATEGORY): (round(r.weekly_sales, 2), round(r.units_sold, 2))
+           for r in written.collect()}
+    assert got == _batch_truth(t, t.items)
