@@ -9,15 +9,18 @@ Two forms are offered:
   join, and sums/means weighted by ``payment_weight`` equal the sums/means
   over the raw fan-out (N11).  The raw fan-out is never materialised, so one
   transaction with very many payment rows cannot blow up a single join task;
-  only the (item-side) skew remains, which AQE splits.
+  only the (item-side) skew remains, which AQE splits.  Identical copies in
+  the catalog or store table are folded into the same weight.
 * ``enrich`` — the row-level frame the dashboard builds (one row per item and
   payment row), produced by exploding the weight after the join.
 
 Join strategy: catalog and stores are broadcast only after their size is
 measured to be under a limit (``plans.joins.prepare_dimension``) and are
 sort-merge joined otherwise; items ⟕ payments is always a shuffle hash join
-on TRANSACTION_SET_ID (AQE still splits skewed item-side partitions).  Catalyst prunes every input to the
-columns a query uses and pushes item filters into the item scan.
+on TRANSACTION_SET_ID (AQE still splits skewed item-side partitions), with
+no exchange at all when both inputs are bucketed (``plans.layout``).
+Catalyst prunes every input to the columns a query uses and pushes item
+filters into the item scan.
 """
 
 from __future__ import annotations

@@ -3,11 +3,13 @@
 Spark's own planner guesses a dimension's size from file sizes and, for a
 derived dimension, multiplies the sizes of its inputs, so a small derived
 table can miss the broadcast and cost a full shuffle of the fact side.
-``checked_broadcast`` measures the dimension instead: one count (a cheap,
-column-free scan of a small table), times the row width from the schema.
-Under the limit the side is broadcast; over it the join is left to Spark,
-which sort-merge joins it with AQE skew handling.  The size bound is thus
-proven for what is broadcast, and anything larger takes the shuffle path.
+``checked_broadcast`` and ``prepare_dimension`` measure the dimension
+instead: a row count (a cheap scan of a small table) times the row width
+from the schema.  Under the limit the side is broadcast; over it the join is
+left to Spark, which sort-merge joins it with AQE skew handling.  The size
+bound is thus proven for what is broadcast, and anything larger takes the
+shuffle path.  ``prepare_dimension`` also folds repeated dimension rows into
+a copy count, so a group of copies cannot multiply rows inside the join.
 """
 
 from __future__ import annotations
