@@ -113,7 +113,7 @@ def top_products(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def product_trend(weekly: DataFrame, top: DataFrame) -> DataFrame:
-    """The top products' weekly rows with a week label, in week order.
+    """A13 + P8 + T7: the top products' weekly rows with a week label, in week order.
 
     Rows stay per (product, category) as the dashboard keeps them.
     """

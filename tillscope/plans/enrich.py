@@ -54,7 +54,10 @@ def payment_weights(payments: DataFrame) -> DataFrame:
 def enrich_weighted(
     items: DataFrame, catalog: DataFrame, payments: DataFrame, stores: DataFrame, check_sizes: bool = True
 ) -> DataFrame:
-    """Items ⟕ catalog ⟕ payment weights ⟕ stores, plus derived columns.
+    """J1–J3 with P1–P7: items ⟕ catalog ⟕ payment weights ⟕ stores, plus derived columns.
+
+    P1 narrows payments and stores, P2 casts STORE_ID to string, P3–P7 add
+    ``datetime``, ``date``, ``total_sales``, ``week`` and ``year``.
 
     Columns: every item column, catalog columns, PAYMENT_TYPE, STORE_NAME,
     CITY, STATE, ``datetime``, ``date``, ``total_sales``, ``week`` (ISO),

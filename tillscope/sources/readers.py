@@ -15,28 +15,28 @@ from tillscope.sources import schemas as S
 
 
 def read_stores(spark: SparkSession, path: str) -> DataFrame:
-    """Store table (id, name, city, state)."""
+    """Store table (id, name, city, state)."""
     return S.require_columns(spark.read.parquet(path), S.STORE_COLUMNS, "stores")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Product master catalog (GTIN, category, brand)."""
+    """Product master catalog (GTIN, category, brand)."""
     return S.require_columns(spark.read.parquet(path), S.CATALOG_COLUMNS, "catalog")
 
 
 def read_payments(spark: SparkSession, path: str) -> DataFrame:
-    """Payment rows; a transaction may have several."""
+    """S3: payment rows; a transaction may have several."""
     return S.require_columns(spark.read.parquet(path), S.PAYMENT_COLUMNS, "payments")
 
 
 def read_transaction_items(spark: SparkSession, directory: str) -> DataFrame:
-    """Scan every Parquet file under ``directory`` (one logical table)."""
+    """Scan every Parquet file under ``directory`` (one logical table)."""
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(directory)
     return S.require_columns(df, S.ITEM_COLUMNS, "transaction_items")
 
 
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Flat sales CSV with a header, read against a declared schema."""
+    """Flat sales CSV with a header, read against a declared schema."""
     return spark.read.schema(S.SALES_CSV_SCHEMA).option("header", True).csv(path)
 
 
