@@ -67,6 +67,8 @@ def test_f5_exclude_by_name_resolves_ids(spark):
     kept = {r.STORE_ID for r in its.transform(flt.exclude_stores_by_name(st, ["North"])).collect()}
     assert kept == {"3", "9"}  # both ids named North go; orphan id stays; null id dropped
     assert its.transform(flt.exclude_stores_by_name(st, [])).count() == 5
+    # names that resolve to no id exclude nothing, null id included (empty ~is_in)
+    assert its.transform(flt.exclude_stores_by_name(st, ["Nowhere"])).count() == 5
 
 
 def test_n8_store_list_nulls_first(spark):

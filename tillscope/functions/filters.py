@@ -69,9 +69,11 @@ def date_between(date_range: tuple | None, column: str = "date") -> Transform:
 def exclude_stores_by_name(stores: DataFrame, names: Sequence[str] | None) -> Transform:
     """Resolve store names to ids on the store table, anti-join them.
 
-    The id list stays a DataFrame (no collect).  Spark sizes the resolved id
-    set at run time: broadcast when small, shuffle anti-join otherwise.
-    With a non-empty list a null ``STORE_ID`` is dropped, as ``~is_in`` does.
+    The id set stays a DataFrame (no collect); Spark sizes it at run time.
+    One probe (``limit(1)`` on the filtered store table) tells whether any id
+    was found: if none, nothing is excluded, null ids included (an empty
+    ``~is_in``, N6); otherwise a null ``STORE_ID`` is dropped as ``~is_in``
+    drops it (N7).
     """
     if not names:
         return _identity
@@ -80,6 +82,8 @@ def exclude_stores_by_name(stores: DataFrame, names: Sequence[str] | None) -> Tr
         .select(F.col("STORE_ID").cast("string").alias("STORE_ID"))
         .distinct()
     )
+    if not excluded.limit(1).count():
+        return _identity
     return lambda df: df.where(F.col("STORE_ID").isNotNull()).join(excluded, "STORE_ID", "left_anti")
 
 
