@@ -161,11 +161,26 @@ def single_store(long: DataFrame, store: str) -> DataFrame:
     return long.where(F.col("Store") == store).select("Variable", "Value")
 
 
+def first_store_rows(long: DataFrame, pair: DataFrame) -> DataFrame:
+    """F17 + P16 for the selected (position 1) store of a pair, without naming it."""
+    first = pair.where(F.col("position") == 1)
+    return _with_pair(long, first).select("Variable", "Value")
+
+
 def other_stores(locations: DataFrame, store: str) -> DataFrame:
     """F18 + T8: the store names other than ``store``, sorted."""
     return locations.where(F.col("Store") != store).select("Store").orderBy("Store")
 
 
+def compare_options(locations: DataFrame, pair: DataFrame) -> DataFrame:
+    """F18 + T8: the names offered for comparison — all but the selected store, sorted.
+
+    An anti-join with the (broadcast, one-row) selection.
+    """
+    first = F.broadcast(pair.where(F.col("position") == 1).select("Store"))
+    return locations.select("Store").join(first, "Store", "left_anti").orderBy("Store")
+
+
 def store_profile(profiles: DataFrame) -> DataFrame:
     """Store id, city, state, county and three headline measures, per store."""
     return profiles.select(

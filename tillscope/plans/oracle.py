@@ -279,6 +279,15 @@ FROM (SELECT {_sum('CASE WHEN ' + _WEAK + ' THEN total_sales END')} AS lost_sale
              count(*) FILTER (WHERE {_WEAK}) AS brands_removed, count(*) AS total_brands
       FROM perf) x"""
 
+    q["brand_ranking"] = _with(_PAGE2, _PERF) + """SELECT BRAND, round(total_sales, 2) AS total_sales,
+       round(total_units, 2) AS total_units, transaction_count,
+       round(total_sales / transaction_count, 4) AS sales_per_transaction
+FROM perf"""
+    q["brand_top15"] = _with(_PAGE2, _PERF) + """SELECT BRAND, round(total_sales, 2) AS total_sales,
+       round(total_units, 2) AS total_units, transaction_count, round(avg_price, 4) AS avg_price,
+       round(total_sales / transaction_count, 4) AS sales_per_transaction
+FROM perf ORDER BY round(total_sales, 2) DESC NULLS FIRST, BRAND ASC NULLS FIRST LIMIT 15"""
+
     tight = _weak(10000, 300)
     q["brand_underperforming_tight"] = q["brand_underperforming"].replace(_WEAK, tight)
     q["brand_drop_impact_tight"] = q["brand_drop_impact"].replace(_WEAK, tight)
@@ -376,6 +385,10 @@ WHERE Variable IN {_in_list(S.RADAR_MEASURES)}"""
        round(CASE WHEN sum(Value) OVER (PARTITION BY Store, family) = 0 THEN NULL
                   ELSE Value / sum(Value) OVER (PARTITION BY Store, family) END, 6) AS share
 FROM (SELECT *, {fam_case} AS family FROM long) x WHERE family IS NOT NULL"""
+    q["demographic_single_store"] = _with(*demo) + """SELECT Variable, round(Value, 4) AS Value
+FROM long WHERE Store = (SELECT Store FROM pair WHERE position = 1)"""
+    q["store_compare_options"] = _with(*demo) + """SELECT Store FROM locations
+WHERE Store <> (SELECT Store FROM pair WHERE position = 1)"""
     q["store_profile"] = _with(*demo) + """SELECT Store, STORE_ID, CITY, 'Idaho' AS state_name, county,
        round(B01001_001E, 4) AS population, round(B01002_001E, 4) AS median_age,
        round(B19013_001E, 4) AS median_income

@@ -155,6 +155,16 @@ def q_brand_drop_impact_tight(spark, sf_dir):
     return _finish(impact, money=_BRAND_MONEY, ratio=_BRAND_RATIO)
 
 
+def q_brand_ranking(spark, sf_dir):
+    _, perf = _brand_perf(spark, sf_dir)
+    return _finish(brands.ranking_view(perf), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+
+
+def q_brand_top15(spark, sf_dir):
+    _, perf = _brand_perf(spark, sf_dir)
+    return _finish(brands.top_brands(perf, 15), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+
+
 def q_brand_kpis(spark, sf_dir):
     _, perf = _brand_perf(spark, sf_dir)
     return _finish(brands.brand_kpis(perf), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
@@ -270,6 +280,16 @@ def q_demographic_family_share(spark, sf_dir):
     return _finish(demographics.family_share(long), ratio=("Value",), share=("share",))
 
 
+def q_demographic_single_store(spark, sf_dir):
+    loc, _, long = _demo(spark, sf_dir)
+    return _finish(demographics.first_store_rows(long, demographics.default_pair(loc)), ratio=("Value",))
+
+
+def q_store_compare_options(spark, sf_dir):
+    loc, _, _ = _demo(spark, sf_dir)
+    return demographics.compare_options(loc, demographics.default_pair(loc))
+
+
 def q_store_profile(spark, sf_dir):
     _, prof, _ = _demo(spark, sf_dir)
     return _finish(
@@ -292,6 +312,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "brand_performance": q_brand_performance,
     "brand_underperforming": q_brand_underperforming,
     "brand_underperforming_tight": q_brand_underperforming_tight,
+    "brand_ranking": q_brand_ranking,
+    "brand_top15": q_brand_top15,
     "brand_kpis": q_brand_kpis,
     "brand_drop_impact": q_brand_drop_impact,
     "brand_drop_impact_tight": q_brand_drop_impact_tight,
@@ -312,5 +334,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "demographic_delta": q_demographic_delta,
     "demographic_normalised": q_demographic_normalised,
     "demographic_family_share": q_demographic_family_share,
+    "demographic_single_store": q_demographic_single_store,
+    "store_compare_options": q_store_compare_options,
     "store_profile": q_store_profile,
 }
