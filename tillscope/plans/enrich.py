@@ -33,11 +33,11 @@ from tillscope.plans.joins import prepare_dimension
 from tillscope.sources.fixtures import RetailTables
 
 
-def _suffix_clashes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _suffix_clashes(left_columns: list[str], right: DataFrame, keys: list[str]) -> DataFrame:
     """Rename right-side columns that clash with left ones to ``<name>_right``."""
     out = right
     for name in right.columns:
-        if name not in keys and name in left.columns:
+        if name not in keys and name in left_columns:
             out = out.withColumnRenamed(name, f"{name}_right")
     return out
 
@@ -52,7 +52,12 @@ def payment_weights(payments: DataFrame) -> DataFrame:
 
 
 def enrich_weighted(
-    items: DataFrame, catalog: DataFrame, payments: DataFrame, stores: DataFrame, check_sizes: bool = True
+    items: DataFrame,
+    catalog: DataFrame,
+    payments: DataFrame,
+    stores: DataFrame,
+    check_sizes: bool = True,
+    catalog_first: bool = True,
 ) -> DataFrame:
     """J1–J3 with P1–P7: items ⟕ catalog ⟕ payment weights ⟕ stores, plus derived columns.
 
@@ -67,29 +72,47 @@ def enrich_weighted(
     ``check_sizes`` runs one aggregate job per dimension (key uniqueness and
     size; see ``plans.joins.prepare_dimension``); with False the dimensions
     are always collapsed and the join strategy is left to Spark.
+
+    ``catalog_first`` picks the join order (left joins on different keys
+    commute, so results are the same).  Catalog first suits analyses that
+    filter on catalog columns: the filter then shrinks the item shuffle of
+    the payment join.  Catalog last suits the others: the shuffle carries
+    the 8-byte GTIN instead of category and brand strings, and the catalog
+    lookup runs in the parallel post-shuffle tasks.
     """
     weights = []
-    cat, copies = prepare_dimension(_suffix_clashes(items, catalog, ["GTIN"]), "GTIN", "_catalog_copies", check_sizes)
-    out = items.join(cat, "GTIN", "left")
+    cat, copies = prepare_dimension(
+        _suffix_clashes(items.columns, catalog, ["GTIN"]), "GTIN", "_catalog_copies", check_sizes
+    )
     weights += ["_catalog_copies"] if copies else []
-    pay = _suffix_clashes(out, payment_weights(payments), ["TRANSACTION_SET_ID"])
+    cat_cols = [c for c in cat.columns if c != "GTIN" and c not in weights]
+    pay = _suffix_clashes(items.columns + cat_cols, payment_weights(payments), ["TRANSACTION_SET_ID"])
+    pay_cols = [c for c in pay.columns if c not in ("TRANSACTION_SET_ID", WEIGHT)]
+    weights.append(WEIGHT)
+    out = items.join(cat, "GTIN", "left") if catalog_first else items
     # Payments grow with transactions and are never date-pruned, so this is
     # a shuffle join at any size: the hint keeps AQE from broadcasting a
     # side whose size tracks the fact table, and moves all per-row work
     # after the scan into parallel post-shuffle tasks.
     out = out.join(pay.hint("shuffle_hash"), "TRANSACTION_SET_ID", "left")
-    weights.append(WEIGHT)
+    if not catalog_first:
+        out = out.join(cat, "GTIN", "left")
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
-    st, copies = prepare_dimension(_suffix_clashes(out, st, ["STORE_ID"]), "STORE_ID", "_store_copies", check_sizes)
-    out = out.join(st, "STORE_ID", "left")
+    st, copies = prepare_dimension(
+        _suffix_clashes(items.columns + cat_cols + pay_cols, st, ["STORE_ID"]), "STORE_ID", "_store_copies", check_sizes
+    )
     weights += ["_store_copies"] if copies else []
+    st_cols = [c for c in st.columns if c != "STORE_ID" and c not in weights]
+    out = out.join(st, "STORE_ID", "left")
     weight = F.lit(1).cast("long")
     for w in weights:
         weight = weight * F.coalesce(F.col(w), F.lit(1)).cast("long")
     day = F.to_date(F.col("DATE_TIME"))
     return out.select(
         *items.columns,
-        *[c for c in out.columns if c not in items.columns and c not in weights],
+        *cat_cols,
+        *pay_cols,
+        *st_cols,
         F.col("DATE_TIME").cast("timestamp_ntz").alias("datetime"),
         day.alias("date"),
         (F.col("UNIT_PRICE") * F.col("UNIT_QUANTITY")).alias("total_sales"),
@@ -99,8 +122,8 @@ def enrich_weighted(
     )
 
 
-def enrich_weighted_tables(t: RetailTables) -> DataFrame:
-    return enrich_weighted(t.items, t.catalog, t.payments, t.stores)
+def enrich_weighted_tables(t: RetailTables, catalog_first: bool = True) -> DataFrame:
+    return enrich_weighted(t.items, t.catalog, t.payments, t.stores, catalog_first=catalog_first)
 
 
 def expand_weight(weighted: DataFrame) -> DataFrame:

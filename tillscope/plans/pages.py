@@ -44,9 +44,8 @@ def top_products_page(
     k: int = 5,
 ) -> dict[str, DataFrame]:
     """Page 1 (§3.1): bounds, store list, categories, weekly sales, top k, trend, target."""
-    rows = products.page_rows(
-        enrich_weighted_tables(t), t.stores, date_range, excluded_store_names, excluded_categories
-    )
+    e = enrich_weighted_tables(t, catalog_first=bool(excluded_categories))
+    rows = products.page_rows(e, t.stores, date_range, excluded_store_names, excluded_categories)
     weekly = products.weekly_product_sales(rows)
     top = products.ranked(products.top_k(products.product_totals(weekly, from_weekly=True), k))
     return {
@@ -68,7 +67,7 @@ def brand_page(
     min_transactions: int = brands.MIN_TRANSACTIONS,
 ) -> dict[str, DataFrame]:
     """Page 2 (§3.2): performance ranking, KPIs, drop candidates and impact, top-n views, trend."""
-    rows = brands.page_rows(enrich_weighted_tables(t), t.stores, date_range, excluded_store_names)
+    rows = brands.page_rows(enrich_weighted_tables(t, catalog_first=True), t.stores, date_range, excluded_store_names)
     perf = brands.brand_performance(rows)
     return {
         "performance": perf,
@@ -90,7 +89,7 @@ def payments_page(
     credit: bool = True,
 ) -> dict[str, DataFrame]:
     """Page 3 (§3.3): comparison, deltas, shares, top products, weekly, daily max, breakdown."""
-    e = enrich_weighted_tables(t)
+    e = enrich_weighted_tables(t, catalog_first=False)
     rows = payments.page_rows(e, date_range, excluded_store_names, cash, credit)
     cmp_ = payments.payment_comparison(rows)
     return {

@@ -51,9 +51,12 @@ def _tables(spark: SparkSession, sf_dir: str) -> fixtures.RetailTables:
     return frames_for(spark, f"tables:{sf_dir}", lambda: fixtures.load(spark, sf_dir))
 
 
-def _base(spark: SparkSession, sf_dir: str):
+def _base(spark: SparkSession, sf_dir: str, catalog_first: bool = False):
+    """Tables and the weighted enriched frame; ``catalog_first`` for analyses
+    that filter on catalog columns (see ``plans.enrich.enrich_weighted``)."""
     t = _tables(spark, sf_dir)
-    return t, frames_for(spark, f"enriched:{sf_dir}", lambda: enrich_weighted_tables(t))
+    key = f"enriched:{sf_dir}:{'catalog_first' if catalog_first else 'catalog_last'}"
+    return t, frames_for(spark, key, lambda: enrich_weighted_tables(t, catalog_first=catalog_first))
 
 
 def q_enriched(spark, sf_dir):
@@ -62,12 +65,12 @@ def q_enriched(spark, sf_dir):
 
 
 def q_weekly_sales(spark, sf_dir):
-    _, e = _base(spark, sf_dir)
+    _, e = _base(spark, sf_dir, catalog_first=True)
     return _finish(products.weekly_sales(e), money=("weekly_sales", "units_sold"))
 
 
 def q_weekly_sales_page(spark, sf_dir):
-    t, e = _base(spark, sf_dir)
+    t, e = _base(spark, sf_dir, catalog_first=True)
     rows = products.page_rows(
         e, t.stores, excluded_store_names=EXCLUDED_STORE_NAMES, excluded_categories=EXCLUDED_CATEGORIES
     )
@@ -123,12 +126,12 @@ _BRAND_RATIO = ("avg_price", "sales_per_transaction", "avg_brand_sales", "pct_sa
 
 
 def q_beverage_brands(spark, sf_dir):
-    _, e = _base(spark, sf_dir)
+    _, e = _base(spark, sf_dir, catalog_first=True)
     return _finish(brands.beverage_brands(e), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
 
 
 def _brand_perf(spark, sf_dir):
-    t, e = _base(spark, sf_dir)
+    t, e = _base(spark, sf_dir, catalog_first=True)
     rows = brands.page_rows(e, t.stores)
     return rows, brands.brand_performance(rows)
 
