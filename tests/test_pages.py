@@ -43,3 +43,19 @@ def test_checkpointed_and_persisted_keep_results(spark):
     assert _rows(ck) == want
     # lineage is cut: the plan reads the checkpointed data, not the parquet scans
     assert "FileScan" not in ck._jdf.queryExecution().executedPlan().toString()
+
+
+def test_command_line_pages_write_downloads(spark, tmp_path):
+    import os
+
+    from tillscope.__main__ import parse, run
+
+    out = str(tmp_path)
+    paths = run(spark, parse(["brands", "--driver-tables", SF_SMALL, "--out", out,
+                              "--from", "1996-01-01", "--to", "1999-12-31", "--single-file"]))
+    assert paths == [os.path.join(out, "beverage_brand_analysis_1996-01-01_1999-12-31")]
+    back = spark.read.option("header", True).csv(paths[0])
+    assert back.count() > 0 and "BRAND" in back.columns
+    paths = run(spark, parse(["payments", "--driver-tables", SF_SMALL, "--out", out, "--no-cash"]))
+    assert [os.path.basename(p) for p in paths] == ["payment_comparison_summary", "category_breakdown"]
+    assert {r.payment_group for r in spark.read.option("header", True).csv(paths[0]).collect()} == {"CREDIT/DEBIT"}

@@ -45,12 +45,12 @@ def write_report_csv(
     return path
 
 
-def write_top_products(df: DataFrame, out_dir: str, date_range: tuple, **kw) -> str:
+def write_top_products(df: DataFrame, out_dir: str, date_range: tuple | None = None, **kw) -> str:
     """S9."""
     return write_report_csv(df, out_dir, "top_products", date_range, **kw)
 
 
-def write_brand_analysis(df: DataFrame, out_dir: str, date_range: tuple, **kw) -> str:
+def write_brand_analysis(df: DataFrame, out_dir: str, date_range: tuple | None = None, **kw) -> str:
     """S10."""
     return write_report_csv(df, out_dir, "beverage_brand_analysis", date_range, **kw)
 
