@@ -32,3 +32,10 @@ def test_entry_smoke(spark):
     assert df.columns == ["rank", "POS_DESCRIPTION", "label", "total_sales", "total_units"]
     assert 0 < len(rows) <= 5
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_schemas_are_stable_across_scale_factors(spark):
+    for name, q in entry.queries().items():
+        small = q(spark, SF_SMALL).schema.simpleString()
+        larger = q(spark, "/root/testdata/sf0.01").schema.simpleString()
+        assert small == larger, name
