@@ -59,3 +59,13 @@ def test_command_line_pages_write_downloads(spark, tmp_path):
     paths = run(spark, parse(["payments", "--driver-tables", SF_SMALL, "--out", out, "--no-cash"]))
     assert [os.path.basename(p) for p in paths] == ["payment_comparison_summary", "category_breakdown"]
     assert {r.payment_group for r in spark.read.option("header", True).csv(paths[0]).collect()} == {"CREDIT/DEBIT"}
+
+
+def test_frame_reuse_is_per_session(spark):
+    from tillscope.plans import reports
+
+    a = reports._base(spark, SF_SMALL)[1]
+    assert reports._base(spark, SF_SMALL)[1] is a
+    other = spark.newSession()
+    b = reports._base(other, SF_SMALL)[1]
+    assert b is not a and b.sparkSession is other

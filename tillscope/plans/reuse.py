@@ -22,17 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 TTL_SECONDS = 3600.0
 
 T = TypeVar("T")
-_FRAMES: dict[tuple[str, str], tuple[float, object]] = {}
+_FRAMES: dict[tuple[str, int, str], tuple[float, object]] = {}
 
 
 def frames_for(spark: SparkSession, key: str, build: Callable[[], T], ttl: float = TTL_SECONDS) -> T:
     """Return the frames built by ``build`` for ``key``, reusing them for ``ttl`` seconds.
 
-    Keyed by the Spark application, so a new session never sees frames of
-    a stopped one.  File listings are taken when a frame is built; after
-    ``ttl`` (or ``clear()``) new input files are picked up.
+    Keyed by the Spark application and session, so a new or stopped session
+    never sees frames bound to another one (cached frames keep their session
+    alive, so its id cannot be reused meanwhile).  File listings are taken
+    when a frame is built; after ``ttl`` (or ``clear()``) new input files are
+    picked up.
     """
-    slot = (spark.sparkContext.applicationId, key)
+    slot = (spark.sparkContext.applicationId, id(spark), key)
     now = time.monotonic()
     hit = _FRAMES.get(slot)
     if hit is not None and now - hit[0] < ttl:
