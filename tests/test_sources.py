@@ -108,3 +108,13 @@ def test_load_retail_from_a_dashboard_data_folder(spark, scratch):
     assert landed == direct
     p4 = pages.demographics_page(inputs)
     assert p4["long"].count() == 14 * p4["locations"].count()
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from tillscope.session import ensure_checkpoint_dir
+
+    before = spark.sparkContext.getCheckpointDir()
+    got = ensure_checkpoint_dir(spark)
+    assert before is None or got == before  # an existing setting is never replaced
+    assert spark.sparkContext.getCheckpointDir() is not None
+    assert ensure_checkpoint_dir(spark) == got
