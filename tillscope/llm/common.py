@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import os
+import pkgutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -78,3 +82,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: computed once, lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, by ``addPyFile`` from the shared folder, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    import tillscope
+    from tillscope.llm import files
+
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        for found in pkgutil.walk_packages(tillscope.__path__, "tillscope."):
+            path = found.name.replace(".", "/") + ("/__init__.py" if found.ispkg else ".py")
+            z.writestr(path, pkgutil.get_data("tillscope", path.removeprefix("tillscope/")) or b"")
+        z.writestr("tillscope/__init__.py", pkgutil.get_data("tillscope", "__init__.py") or b"")
+    path = fresh_folder(spark, "code") + "/tillscope.zip"
+    with files.create(path) as out:
+        out.write(body.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

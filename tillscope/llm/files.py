@@ -17,7 +17,7 @@ def create(address: str):
     """Output stream; its folder is made if need be."""
     store, path = opened(address)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def random_access(address: str):

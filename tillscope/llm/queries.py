@@ -6,13 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import byte_bpe, exact_dedup, packing, token_store
+from tillscope.llm import ann, byte_bpe, exact_dedup, language_id, packing, simhash, token_store, warc
 from tillscope.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+# The date of written records; results do not depend on it.
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=2)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate(table(spark, sf_dir, "pages"), WARC_DATE, min_bytes=0, keep="largest")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS, length=2048, end_id=1)
 
@@ -35,13 +58,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_language_id": op3_language_id,
+    "op4_hash_forest": op4_hash_forest,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_store": op8_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+# Base32 in SQL: 5 hexadecimal digits are 20 bits, or 4 characters of 5 bits.
+_DIGEST = """array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    1 + ((('0x' || substr(sha1(coalesce(html, '')), (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '')"""
+
 ORACLE_SQL = {
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_DIGEST} AS payload_digest,
+                          max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to FROM p""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
