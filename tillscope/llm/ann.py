@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     dealt = rows.withColumn("shard", spot(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     posed = asked.withColumn("block", spot(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def search(key, own: pd.DataFrame, posed: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, own: pd.DataFrame, posed: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
         if len(own) and len(posed):
             own = own.sort_values("vec_id")

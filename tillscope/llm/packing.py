@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, o
 
     placed = stored(rows.mapInArrow(place, schema + ", part long, open_ids binary"), "packed")
 
-    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["part", "n"])
         docs_ = [None if pd.isna(d) else int(d) for d in group["doc_id"]]
         pieces = zip(docs_, group["start"].tolist(), group["open_ids"].tolist(), group["doc_tokens"].tolist())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import ann, byte_bpe, exact_dedup, language_id, packing, simhash, token_store, warc
+from tillscope.llm import ann, byte_bpe, exact_dedup, language_id, packing, simhash, suffix_dedup, token_store, warc
 from tillscope.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_store": op8_token_store,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

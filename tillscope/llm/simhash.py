@@ -218,7 +218,7 @@ def links(fps: DataFrame, reach: int = 2, shard_size: int = SHARD_SIZE) -> DataF
                 yield pa.RecordBatch.from_pydict({"shard": np.full(len(dealt), shard, np.int32),
                                                   "fp": dealt.view(np.int64), "home": home})
 
-    def link(key, group: pd.DataFrame) -> pd.DataFrame:
+    def link(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a, b = shard_links(group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy(dtype=bool), reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 

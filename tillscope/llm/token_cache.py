@@ -25,12 +25,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries of one generation of a worker's dictionary of pieces.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 #: Pieces looked up at a time; new ones among them go to the library in one call.
 CALL_PIECES = 20_000
 #: Words given to the library in one call.
 CALL_WORDS = 500
 
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+_STEM = re.compile(r"[^\W\d_]+")
 _ODD = re.compile("[^\x00-ɏ]|[\x1c-\x1f]")
 _encoders: dict = {}
 
@@ -46,17 +48,19 @@ class _Known:
         self.ask, self.new, self.old = ask, {}, {}
 
     def joined(self, pieces: list[str]) -> bytes:
-        out = []
-        for at in range(0, len(pieces), CALL_PIECES):
-            part = pieces[at:at + CALL_PIECES]
-            got = list(map(self.new.get, part))
-            if None in got:
-                holes = [i for i, ids in enumerate(got) if ids is None]
-                self._learn({part[i] for i in holes})
-                for i in holes:
-                    got[i] = self.new[part[i]]
-            out.append(b"".join(got))
-        return b"".join(out)
+        if len(pieces) <= CALL_PIECES:
+            return b"".join(self.each(pieces))
+        return b"".join([b"".join(self.each(pieces[at:at + CALL_PIECES]))
+                         for at in range(0, len(pieces), CALL_PIECES)])
+
+    def each(self, pieces: list[str]) -> list[bytes]:
+        got = list(map(self.new.get, pieces))
+        if None in got:
+            holes = [i for i, ids in enumerate(got) if ids is None]
+            self._learn({pieces[i] for i in holes})
+            for i in holes:
+                got[i] = self.new[pieces[i]]
+        return got
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.new) > CACHE_ENTRIES:
@@ -103,25 +107,43 @@ class WordEncoder:
     """ids of ``word_bpe`` files: lower-cased words, white space dropped."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        from tokenizers.normalizers import Sequence
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         # for words already in lower case and NFC; new words are each asked for once
         self.words = Tokenizer.from_file(path)
-        self.words.normalizer = Sequence([])
+        self.words.normalizer = normalizers.Sequence([])
         self.words.model._resize_cache(0)
-        self.known = _Known(lambda words: _ask_words(self.words, words))
+        # for words of letters only, which the split pattern leaves whole
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.model._resize_cache(0)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.stems = _Known(lambda words: _ask_words(self.letters, words))
+        self.tails = _Known(lambda words: _ask_words(self.words, words))
+        self.known = _Known(self._ask)
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if _ODD.search(text) or not unicodedata.is_normalized("NFC", text) or (
-                self.special and self.special.search(text)):
+        if text.isascii():
+            odd = any(c in text for c in _CONTROLS)
+        else:
+            odd = _ODD.search(text) or not unicodedata.is_normalized("NFC", text)
+        if odd or (self.special and self.special.search(text)):
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         return self.known.joined(text.lower().split())
 
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """New words: the letters that a word begins with are one piece, the rest is tokenized by itself."""
+        cuts = [m.end() if (m := _STEM.match(w)) and m[0].isalpha() else 0 for w in words]
+        stems = self.stems.each([w[:k] for w, k in zip(words, cuts) if k])
+        tails = self.tails.each([w[k:] for w, k in zip(words, cuts) if k < len(w)])
+        stem, tail = iter(stems), iter(tails)
+        return [(next(stem) if k else b"") + (next(tail) if k < len(w) else b"") for w, k in zip(words, cuts)]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes → rank of a rank file (base64, space, rank on each line)."""

@@ -223,7 +223,7 @@ def rewrite(resolved: DataFrame, date: str, folder: str | None = None) -> DataFr
     """
     folder = folder or fresh_folder(resolved.sparkSession, "warc-deduplicated")
 
-    def write(key, group: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/{key[0].rpartition('/')[2].removesuffix('.warc.gz')}-{uuid.uuid4().hex[:12]}.warc.gz"
         group = group.sort_values("at").astype(object).where(lambda x: x.notna(), None)
         with files.random_access(key[0]) as source, files.create(path) as out:
