@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.llm import ann, byte_bpe, exact_dedup, language_id, packing, simhash, suffix_dedup, token_store, warc
+from tillscope.llm import ann, byte_bpe, exact_dedup, kneser_ney, language_id, packing, simhash, suffix_dedup, token_store, warc
 from tillscope.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,11 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WARC_DATE = "2024-01-01T00:00:00Z"
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted, plain_scan=True)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=2)
 
@@ -62,6 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op4_hash_forest": op4_hash_forest,
