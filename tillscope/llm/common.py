@@ -8,6 +8,7 @@ import pkgutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,22 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def semi_join(df: DataFrame, keep: DataFrame, **keys: tuple[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows of ``df``, all columns, whose keys are in ``keep``.
+
+    ``keys`` maps a column of ``keep`` to an exact column name of ``df`` and
+    what is done to that column to make the key.  Nulls match nulls.
+    """
+    names, plain = df.columns, by_position(df)
+    on = []
+    for key, (name, of) in keys.items():
+        on.append(of(plain[f"c{names.index(name)}"]).eqNullSafe(keep[key]))
+    condition = on[0]
+    for more in on[1:]:
+        condition = condition & more
+    return plain.join(keep, condition, "left_semi").toDF(*names)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,6 +190,27 @@ def _add(total: dict, lang: str, grams: list[np.ndarray], vectors: Vectors) -> N
         total[lang] = total[lang] + own if lang in total else own
 
 
+def language_of(text: Column, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS,
+                seed: int = SEED) -> Column:
+    """``struct(lang_pred, score)`` of a text column, by the rules of ``predict``."""
+    names = np.array([*prototypes, UNKNOWN], dtype=object)
+    matrix = np.stack([*prototypes.values()]) if prototypes else np.zeros((0, dimensions))
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vectors = _worker_vectors(dimensions, seed)
+        for part in parts:
+            own = text_vectors([t if isinstance(t, str) else "" for t in part], vectors)
+            norm = np.linalg.norm(own, axis=1)
+            best, score = np.full(len(own), len(matrix)), np.zeros(len(own))
+            if len(matrix) and len(own):
+                cosine = (own @ matrix.T) / np.where(norm > 0, norm, 1)[:, None]
+                best = np.where(norm > 0, cosine.argmax(axis=1), len(matrix))
+                score = np.where(norm > 0, cosine.max(axis=1).clip(0, 1), 0.0)
+            yield pd.DataFrame({"lang_pred": names[best], "score": score})
+
+    return F.pandas_udf(run, "lang_pred string, score double")(text)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
             dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row, from its whole text alone.
@@ -201,28 +223,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     * null and repeated ids are carried as they are, one row out per row in;
     * an empty table gives an empty result; other columns are ignored.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = np.array([*prototypes, UNKNOWN], dtype=object)
-    matrix = np.stack([*prototypes.values()]) if prototypes else np.zeros((0, dimensions))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = _worker_vectors(dimensions, seed)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                own = text_vectors([t.as_py() or "" for t in part.column("text")], vectors)
-                norm = np.linalg.norm(own, axis=1)
-                if len(matrix):
-                    cosine = (own @ matrix.T) / np.where(norm > 0, norm, 1)[:, None]
-                    best = np.where(norm > 0, cosine.argmax(axis=1), len(matrix))
-                    score = np.where(norm > 0, cosine.max(axis=1).clip(0, 1), 0.0)
-                else:
-                    best, score = np.zeros(len(own), int), np.zeros(len(own))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[best], pa.string()),
-                                                  pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
+    found = rows.select("doc_id", language_of(F.col("text"), prototypes, dimensions, seed).alias("found"))
+    return found.select("doc_id", "found.lang_pred", "found.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -33,10 +33,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import pick, stored, text_or_empty
+from tillscope.llm.common import by_position, pick, stored, text_or_empty
 
 LENGTH = 400
 #: Bytes of an anchor (a power of two) and of a symbol (divides the length, a multiple of 8).
@@ -348,7 +348,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     """What goes from each document that loses bytes: ``k, n_removed, n_spans, spans, kept``.
 
     ``k`` is ``row_key`` of the document, ``spans`` the removed byte ranges
-    (begin, end), ``kept`` the remaining bytes.
+    (begin, end), ``kept`` the remaining bytes (``as_text`` makes text of them).
     """
     keyed = _keyed(docs, id_col, text_col)
 
@@ -440,6 +440,30 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pick(docs, id=id_col, text=text_col).select("id", text_or_empty().alias("body")).withColumn("k", row_key())
 
 
+def as_text(kept: Column) -> Column:
+    """Text of remaining bytes; what a cut has left of a character is dropped."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in part], dtype=object)
+
+    return F.pandas_udf(run, "string")(kept)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                    hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """``docs``, all of its columns, with the repeated bytes gone from the texts.
+
+    Rows stay even if nothing is left of their text; a row that loses nothing is as it was.
+    """
+    names, plain = docs.columns, by_position(docs)
+    at, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    changed = repeats(docs, length, id_col, text_col, hot_bytes).select("k", as_text(F.col("kept")).alias("left"))
+    keyed = plain.withColumn("id", F.col(at)).withColumn("body", text_or_empty(text)).withColumn("k", row_key())
+    joined = keyed.join(changed, "k", "left").withColumn(text, F.coalesce("left", text))
+    return joined.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
                    hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
