@@ -13,10 +13,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tillscope.session import ensure_checkpoint_dir, local_session
+    from tillscope.session import local_session
 
-    s = local_session(cpus="*", shuffle_partitions=8, extra={"spark.ui.showConsoleProgress": "false"})
-    ensure_checkpoint_dir(s)
+    shared = "file://" + tempfile.mkdtemp(prefix="tillscope-shared-", dir="/tmp")
+    s = local_session(cpus="*", shuffle_partitions=8,
+                      extra={"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared})
     yield s
     s.stop()
 

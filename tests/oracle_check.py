@@ -42,7 +42,7 @@ def _norm(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, int):
-        return repr(float(v)) if False else str(v)
+        return str(v)
     return str(v)
 
 
@@ -56,7 +56,8 @@ def compare(spark, con, name: str, sf_dir: str, query, sql: str) -> dict:
     sdf = query(spark, sf_dir)
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
-    res = con.execute(sql)
+    con.execute(f"CREATE OR REPLACE TEMP VIEW checked AS {sql}")  # a statement must also work as a view
+    res = con.execute("SELECT * FROM checked")
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     t2 = time.time()

@@ -21,6 +21,6 @@ def test_fixture_sizes_match_the_documented_table(spark):
     assert (agg.rows, agg.items) == (6729, 4599)
     assert (agg.no_payment, agg.null_nonscan, agg.null_price) == (1200, 943, 356)
     pay = t.payments.agg(F.count(F.lit(1)), F.count_distinct("TRANSACTION_SET_ID")).first()
-    assert tuple(pay) == (1380, 1206)
-    assert t.stores.count() == 9
+    assert tuple(pay) == (1674, 1500)
+    assert t.stores.count() == 10
     assert e.transform(brands.flt.packaged_beverages()).count() == 1276

@@ -11,7 +11,8 @@ def _rows(df):
 
 def test_pages_build_and_cache_consistently(spark):
     t = fixtures.load(spark, SF_SMALL)
-    bundles = [pages.top_products_page(t), pages.brand_page(t), pages.payments_page(t), pages.demographics_page(t)]
+    bundles = [pages.top_products_page(t), pages.brand_page(t), pages.payments_page(t),
+               pages.demographics_page(t, "Supplier#000000001", "Supplier#000000002")]
     for page in bundles:
         plain = {k: _rows(v) for k, v in page.items()}
         with pages.page_session(page) as p:
@@ -61,6 +62,33 @@ def test_command_line_pages_write_downloads(spark, tmp_path):
     assert {r.payment_group for r in spark.read.option("header", True).csv(paths[0]).collect()} == {"CREDIT/DEBIT"}
 
 
+def test_command_line_open_range_and_selected_stores(spark, tmp_path):
+    import os
+
+    from tillscope.__main__ import parse, run
+
+    out = str(tmp_path)
+    (path,) = run(spark, parse(["top-products", "--driver-tables", SF_SMALL, "--out", out, "--to", "1996-12-31"]))
+    low = fixtures.load(spark, SF_SMALL).items.selectExpr("min(to_date(DATE_TIME))").first()[0]
+    assert os.path.basename(path) == f"top_products_{low}_1996-12-31"
+    assert spark.read.option("header", True).csv(path).columns == ["POS_DESCRIPTION", "total_sales", "total_units"]
+    (path,) = run(spark, parse(["demographics", "--driver-tables", SF_SMALL, "--out", out,
+                                "--first", "Supplier#000000003", "--second", "Supplier#000000001"]))
+    got = spark.read.option("header", True).csv(path)
+    assert {r.Store for r in got.collect()} == {"Supplier#000000003", "Supplier#000000001"} and got.count() == 28
+
+
+def test_single_store_page_and_shared_payment_rows(spark):
+    t = fixtures.load(spark, SF_SMALL)
+    page = pages.demographics_page(t)
+    assert "delta" not in page and page["single_store"].count() == 14
+    first = page["selected"].first().Store
+    assert page["selected"].count() == 14 and first not in {r.Store for r in page["compare_options"].collect()}
+    plain, shared = pages.payments_page(t), pages.payments_page(t, shared=True)
+    assert all(_rows(plain[k]) == _rows(shared[k]) for k in plain)
+    assert "FileScan" not in shared["weekly"]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_frame_reuse_is_per_session(spark):
     from tillscope.plans import reports
 

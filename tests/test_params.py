@@ -22,7 +22,7 @@ def con():
 
 
 def _same(sdf, con, sql):
-    res = con.execute(sql)
+    res = con.execute(oracle._settled(sql))
     d_cols = [d[0] for d in res.description]
     s_rows, s_cols = rows_of(sdf.columns, [tuple(r) for r in sdf.collect()])
     d_rows, d_cols = rows_of(d_cols, res.fetchall())

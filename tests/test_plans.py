@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from tillscope.operators import demographics, payments, products
 from tillscope.plans import reports
@@ -17,7 +16,7 @@ def _plan(df) -> str:
 
 
 def test_no_python_udfs_anywhere(spark):
-    for name, q in entry.queries().items():
+    for name, q in reports.QUERIES.items():
         plan = _plan(q(spark, SF_SMALL))
         for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
             assert node not in plan, (name, node)
@@ -31,9 +30,49 @@ def test_top_k_per_group_is_limited_before_shuffle(spark):
     assert "TakeOrderedAndProject" in _plan(reports.q_top_products(spark, SF_SMALL))
 
 
-def test_payment_join_is_a_shuffle_join(spark):
-    plan = _plan(reports.q_weekly_sales(spark, SF_SMALL))
-    assert "ShuffledHashJoin" in plan
+def test_payment_join_is_a_shuffle_join_beyond_the_broadcast_threshold(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1KB")
+    try:
+        t = fixtures.load(spark, SF_SMALL)
+        e = enrich_weighted(t.items, t.catalog, t.payments, t.stores)
+        join = [x for x in _plan(products.weekly_sales(e)).splitlines() if "TRANSACTION_SET_ID" in x and "Join" in x]
+        assert join and "SortMergeJoin" in join[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_trends_scan_the_items_once(spark):
+    for query in (reports.q_product_trend, reports.q_product_target, reports.q_brand_trend):
+        plan = _plan(query(spark, SF_SMALL))
+        assert plan.count("lineitem.parquet") == 1, plan
+        assert "WindowGroupLimit" in plan
+
+
+def test_plans_are_built_without_jobs(spark):
+    reports.q_enriched(spark, SF_SMALL)  # the dimensions are measured once
+    tracker = spark.sparkContext.statusTracker()
+    for query in (reports.q_demographic_pivot, reports.q_weekly_sales_page, reports.q_store_exclusion_by_name):
+        query(spark, SF_SMALL)
+        spark.sparkContext.setJobGroup("built", "plan only")
+        query(spark, SF_SMALL)
+        assert not tracker.getJobIdsForGroup("built")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_wide_text_column_counts_in_a_broadcast_side(spark):
+    from tillscope.plans.joins import prepare_dimension
+
+    wide = spark.range(1000).select(F.col("id").alias("GTIN"), F.repeat(F.lit("x"), 200).alias("CATEGORY"))
+
+    def hinted(limit):
+        spark.conf.set("spark.tillscope.broadcastMaxBytes", str(limit))
+        try:
+            return "Hint broadcast" in prepare_dimension(wide, "GTIN", "n")[0]._jdf.queryExecution().logical().toString()
+        finally:
+            spark.conf.unset("spark.tillscope.broadcastMaxBytes")
+
+    assert not hinted(300_000) and hinted(600_000)
 
 
 def test_item_filters_reach_the_scan(spark, scratch):
@@ -105,19 +144,3 @@ def test_checked_broadcast_both_sides_of_the_limit(spark):
     assert "BroadcastHashJoin" in _plan(j_small)
     j_big = t.items.join(big.select(F.col("STORE_ID").cast("string").alias("STORE_ID")), "STORE_ID", "left")
     assert j_small.count() == j_big.count()
-
-
-def test_bucketed_layout_joins_payments_without_exchange(spark, scratch):
-    from tillscope.plans.layout import bucket_inputs
-    from tillscope.plans.enrich import payment_weights
-
-    t = fixtures.load(spark, SF_SMALL)
-    b = bucket_inputs(spark, t, scratch, buckets=8, prefix="t_bucketed")
-    e = enrich_weighted(b.items, b.catalog, b.payments, b.stores)
-    plan = _plan(e)
-    # no exchange on TRANSACTION_SET_ID: the join and the weight aggregation use the buckets
-    assert "hashpartitioning(TRANSACTION_SET_ID" not in plan, plan
-    assert "ShuffledHashJoin" in plan or "SortMergeJoin" in plan
-    weighted_rows = sorted(tuple(r) for r in products.weekly_product_sales(e).collect())
-    plain = enrich_weighted(t.items, t.catalog, t.payments, t.stores)
-    assert weighted_rows == sorted(tuple(r) for r in products.weekly_product_sales(plain).collect())

@@ -1,6 +1,7 @@
 """Edge fixtures for the null, ordering and arithmetic rules."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -194,3 +195,24 @@ def test_locations_null_city_shared_name_and_default_county(spark):
     assert loc["Alpha"].STORE_ID == "2" and loc["Alpha"].county == "065"  # later id wins; Rigby
     assert loc["Beta"].county == "065"  # null city
     assert loc["Gamma"].county == "019" and loc["Gamma"].state == "16"  # upper-cased match
+
+
+def test_sums_keep_special_and_tiny_amounts(spark):
+    def sums(values):
+        its = [item(f"t{i}", i, 1, "1", "2024-01-02 00:00:00", "A", price=v) for i, v in enumerate(values)]
+        e = weighted(spark, its, catalog=[(1, "Packaged Beverages", "B1")])
+        stores_ = spark.createDataFrame([], "STORE_ID bigint, STORE_NAME string")
+        return brands.brand_performance(brands.page_rows(e, stores_)).first()
+
+    tiny = sums([4e-7] * 5)
+    assert abs(tiny.total_sales - 2e-6) < 1e-12 and abs(tiny.avg_price - 4e-7) < 1e-12
+    nan = sums([1.0, float("nan")])
+    assert math.isnan(nan.total_sales) and math.isnan(nan.avg_price)
+    assert sums([1.0, float("inf")]).total_sales == float("inf")
+    assert sums([1e33, 1.0]).total_sales == 1e33
+
+
+def test_date_range_with_an_open_end(spark):
+    df = spark.createDataFrame([(D(2024, 1, d),) for d in (1, 2, 3)], "date date")
+    assert df.transform(flt.date_between((None, "2024-01-02"))).count() == 2
+    assert df.transform(flt.date_between(("2024-01-02", None))).count() == 2

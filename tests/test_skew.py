@@ -74,7 +74,7 @@ def test_hot_transaction_exact_and_split(spark):
 def test_group_of_copies_in_the_catalog(spark):
     """A third of the catalog rows are identical copies of one GTIN; results equal the raw fan-out."""
     from retail_fixture import CATALOG, ITEMS, PAYMENTS, STORES
-    from tillscope.functions.expr import exact_sum
+    from tillscope.functions.expr import zero_sum
 
     its = [item(f"t{i % 50}", i, i % 4, "1", "2024-01-02 00:00:00", f"P{i % 3}", price=float(1 + i % 7))
            for i in range(300)]
@@ -84,12 +84,30 @@ def test_group_of_copies_in_the_catalog(spark):
     e = enrich_weighted(spark.createDataFrame(its, ITEMS), spark.createDataFrame(cat, CATALOG),
                         spark.createDataFrame(pays, PAYMENTS), spark.createDataFrame(sts, STORES))
     got = {r.CATEGORY: round(r.s, 2) for r in e.groupBy("CATEGORY").agg(
-        F.expr("cast(sum(cast(total_sales as decimal(38,6)) * payment_weight) as double)").alias("s")).collect()}
+        F.expr("sum(total_sales * payment_weight)").alias("s")).collect()}
     raw = (spark.createDataFrame(its, ITEMS).join(spark.createDataFrame(cat, CATALOG), "GTIN", "left")
            .join(spark.createDataFrame(pays, PAYMENTS), "TRANSACTION_SET_ID", "left")
            .withColumn("total_sales", F.col("UNIT_PRICE") * F.col("UNIT_QUANTITY")))
-    want = {r.CATEGORY: round(r.s, 2) for r in raw.groupBy("CATEGORY").agg(exact_sum("total_sales").alias("s")).collect()}
+    want = {r.CATEGORY: round(r.s, 2) for r in raw.groupBy("CATEGORY").agg(zero_sum("total_sales").alias("s")).collect()}
     assert got == want
     # the copies travel as a weight: the weighted frame has one row per item and payment type
     assert e.count() == spark.createDataFrame(its, ITEMS).join(
         spark.createDataFrame(pays, PAYMENTS).distinct(), "TRANSACTION_SET_ID", "left").count()
+
+
+def test_one_row_of_large_weight_is_repeated_in_blocks_over_tasks(spark):
+    from tillscope.plans import enrich
+
+    df = spark.sql("SELECT 'hot' AS TRANSACTION_SET_ID, 1 AS TRANSACTION_ITEM_ID, 95001L AS payment_weight "
+                   "UNION ALL SELECT 'b', 2, 1L UNION ALL SELECT 'c', 3, 0L")
+    for spread in (False, True):
+        got = {r.TRANSACTION_SET_ID: r["count"] for r in
+               enrich.expand_weight(df, spread).groupBy("TRANSACTION_SET_ID").count().collect()}
+        assert got == {"hot": 95001, "b": 1}
+    parts = enrich.expand_weight(df, True).where("TRANSACTION_SET_ID = 'hot'").select(F.spark_partition_id()).distinct()
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert parts.count() > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -18,25 +18,27 @@ def _write(path, text):
 def test_csv_to_parquet_and_sales_csv(spark, scratch):
     src = os.path.join(scratch, "sales_data.csv")
     _write(src, "date,store,product_name,category,quantity,sales_amount,payment_type\n"
-                "2024-01-01,Rigby,Coca Cola,Beverages,5,12.50,Credit\n"
-                "2024-01-02,Rigby,Chips,Snacks,1,2.25,Cash\n")
+                "2021-07-09,Elm Street,Pear Fizz,Fizzy,4,9.20,Debit\n"
+                "2021-07-11,Elm Street,Rope Candy,Sweets,3,1.80,Cash\n")
     n = sinks.csv_to_parquet(spark, src, os.path.join(scratch, "sales_data.parquet"))
     assert n == 2
     back = spark.read.parquet(os.path.join(scratch, "sales_data.parquet"))
-    assert back.where(F.col("product_name") == "Coca Cola").first()["sales_amount"] == 12.5
+    assert back.where(F.col("product_name") == "Pear Fizz").first()["sales_amount"] == 9.2
     typed = readers.read_sales_csv(spark, src)
     assert typed.schema == schemas.SALES_CSV_SCHEMA
-    assert typed.agg(F.sum("quantity")).first()[0] == 6
+    assert typed.agg(F.sum("quantity")).first()[0] == 7
     prod = os.path.join(scratch, "products.csv")
-    _write(prod, "product_id,product_name,category,brand,unit_price\n1,Coca Cola,Beverages,Coca-Cola Company,2.50\n")
-    assert readers.read_products_csv(spark, prod).first()["unit_price"] == 2.5
+    _write(prod, "product_id,product_name,category,brand,unit_price\n7,Pear Fizz,Fizzy,Orchard Works,3.10\n")
+    assert readers.read_products_csv(spark, prod).first()["unit_price"] == 3.1
 
 
 def test_report_csv_name_and_content(spark, scratch):
-    df = spark.createDataFrame([("A", 1.5)], "POS_DESCRIPTION string, total_sales double")
+    df = spark.createDataFrame([(1, "A", "A", 1.5, 2.0)],
+                               "rank int, POS_DESCRIPTION string, label string, total_sales double, total_units double")
     path = sinks.write_top_products(df, scratch, (dt.date(2023, 1, 1), dt.date(2023, 12, 31)), single_file=True)
     assert path.endswith("top_products_2023-01-01_2023-12-31")
     back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["POS_DESCRIPTION", "total_sales", "total_units"]
     assert back.collect()[0]["POS_DESCRIPTION"] == "A"
     assert sinks.write_payment_summary(df, scratch).endswith("payment_comparison_summary")
 
@@ -110,11 +112,34 @@ def test_load_retail_from_a_dashboard_data_folder(spark, scratch):
     assert p4["long"].count() == 14 * p4["locations"].count()
 
 
-def test_checkpoint_dir_comes_from_the_session(spark):
-    from tillscope.session import ensure_checkpoint_dir
-
-    before = spark.sparkContext.getCheckpointDir()
-    got = ensure_checkpoint_dir(spark)
-    assert before is None or got == before  # an existing setting is never replaced
-    assert spark.sparkContext.getCheckpointDir() is not None
-    assert ensure_checkpoint_dir(spark) == got
+def test_checkpoint_needs_the_sessions_folder(spark):
+    from tillscope.plans import reuse
+
+    assert reuse.can_checkpoint(spark)  # set in conftest, as a cluster would
+    assert reuse.landing_folder(spark).startswith(spark.sparkContext.getCheckpointDir().rstrip("/"))
+
+
+def test_keys_keep_their_file_type(spark, scratch):
+    from tillscope.plans.enrich import enrich_weighted
+
+    items = [("t1", "a", "00012", "007", dt.datetime(2024, 1, 2), "P", "NONE", 1.0, 1.0),
+             ("t1", "b", "12", "7", dt.datetime(2024, 1, 2), "Q", "NONE", 2.0, 1.0),
+             ("t2", "c", "X12", "8", dt.datetime(2024, 1, 2), "R", "NONE", 4.0, 1.0)]
+    spark.createDataFrame(items, "TRANSACTION_SET_ID string, TRANSACTION_ITEM_ID string, GTIN string, STORE_ID string, "
+                          "DATE_TIME timestamp_ntz, POS_DESCRIPTION string, NONSCAN_CATEGORY string, UNIT_PRICE double, "
+                          "UNIT_QUANTITY double").write.parquet(f"{scratch}/{readers.ITEMS_DIR}")
+    spark.createDataFrame([("00012", "padded", "B"), ("12", "plain", "B"), ("X12", "coded", "B")],
+                          "GTIN string, CATEGORY string, BRAND string").write.parquet(f"{scratch}/{readers.CATALOG_FILE}")
+    spark.createDataFrame([("t1", "CASH")], "TRANSACTION_SET_ID string, PAYMENT_TYPE string").write.parquet(
+        f"{scratch}/{readers.PAYMENTS_FILE}")
+    spark.createDataFrame([("007", "Bond", "Rigby", "ID"), ("7", "Seven", "Rigby", "ID")],
+                          "STORE_ID string, STORE_NAME string, CITY string, STATE string").write.parquet(
+        f"{scratch}/{readers.STORES_FILE}")
+    t = readers.load_retail(spark, scratch)
+    got = {r.POS_DESCRIPTION: (r.CATEGORY, r.STORE_NAME) for r in
+           enrich_weighted(t.items, t.catalog, t.payments, t.stores).collect()}
+    assert got == {"P": ("padded", "Bond"), "Q": ("plain", "Seven"), "R": ("coded", None)}
+    # a catalog with numbers as keys is compared as text
+    numbers = spark.createDataFrame([(12, "number", "B")], "GTIN bigint, CATEGORY string, BRAND string")
+    got = {r.POS_DESCRIPTION: r.CATEGORY for r in enrich_weighted(t.items, numbers, t.payments, t.stores).collect()}
+    assert got == {"P": None, "Q": "number", "R": None}

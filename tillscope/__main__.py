@@ -13,6 +13,7 @@ import argparse
 import sys
 
 from tillscope.plans import pages
+from tillscope.plans.reuse import can_checkpoint
 from tillscope.sources import fixtures, readers, sinks
 
 # Which table of a page is the dashboard's CSV download, and its writer.
@@ -21,7 +22,7 @@ DOWNLOADS = {
     "brands": [("performance", sinks.write_brand_analysis, True)],
     "payments": [("comparison", sinks.write_payment_summary, False),
                  ("category_breakdown", sinks.write_category_breakdown, False)],
-    "demographics": [("long", sinks.write_demographics, False)],
+    "demographics": [("selected", sinks.write_demographics, False)],
 }
 
 
@@ -33,8 +34,8 @@ def parse(argv: list[str]) -> argparse.Namespace:
     src.add_argument("--driver-tables", help="folder of the TPC-H style driver tables")
     ap.add_argument("--census", help="folder of landed census responses (page 4 with --data)")
     ap.add_argument("--out", required=True)
-    ap.add_argument("--from", dest="date_from")
-    ap.add_argument("--to", dest="date_to")
+    ap.add_argument("--from", dest="date_from", help="first day; open if left out")
+    ap.add_argument("--to", dest="date_to", help="last day; open if left out")
     ap.add_argument("--exclude-store", action="append", default=[])
     ap.add_argument("--exclude-category", action="append", default=[])
     ap.add_argument("--min-sales", type=float, default=500)
@@ -47,24 +48,33 @@ def parse(argv: list[str]) -> argparse.Namespace:
     return ap.parse_args(argv)
 
 
+def _named_range(page: dict, dates: tuple | None) -> tuple:
+    """The range that a download's name carries: open ends are the page's date bounds."""
+    low, high = dates or (None, None)
+    if low is None or high is None:
+        bounds = page["date_bounds"].first()
+        low, high = low or bounds["min_date"], high or bounds["max_date"]
+    return low, high
+
+
 def run(spark, args: argparse.Namespace) -> list[str]:
     if args.data:
         inputs = readers.load_retail(spark, args.data, census_dir=args.census)
     else:
         inputs = fixtures.load(spark, args.driver_tables)
-    dates = (args.date_from, args.date_to or args.date_from) if args.date_from else None
+    dates = (args.date_from, args.date_to) if args.date_from or args.date_to else None
     if args.page == "top-products":
         page = pages.top_products_page(inputs, dates, args.exclude_store, args.exclude_category)
     elif args.page == "brands":
         page = pages.brand_page(inputs, dates, args.exclude_store, args.min_sales, args.min_transactions)
     elif args.page == "payments":
-        page = pages.payments_page(inputs, dates, args.exclude_store, not args.no_cash, not args.no_credit)
+        page = pages.payments_page(inputs, dates, args.exclude_store, not args.no_cash, not args.no_credit, shared=can_checkpoint(spark))
     else:
         page = pages.demographics_page(inputs, args.first, args.second)
     written = []
     with pages.page_session(page) as p:
         for table, writer, dated in DOWNLOADS[args.page]:
-            extra = {"date_range": dates} if dated else {}
+            extra = {"date_range": _named_range(p, dates)} if dated else {}
             written.append(writer(p[table], args.out, single_file=args.single_file, **extra))
     return written
 

@@ -9,19 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillscope.sources import schemas as S
 
 # Column carrying payment multiplicity on the weighted enriched frame.
 WEIGHT = "payment_weight"
 
-# Amounts are accumulated exactly in this decimal type and returned as
-# double.  Exact sums do not depend on summation order, so a result is the
-# same whatever the partitioning, task order or retries of a run.
-MONEY = T.DecimalType(38, 6)
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -38,45 +31,35 @@ def distinct_with_null(c) -> Column:
     return F.count_distinct(c) + F.max(c.isNull().cast("long"))
 
 
-def exact_sum(c) -> Column:
-    """Exact sum of amounts (accumulated as DECIMAL), 0.0 for an all-null or empty group."""
-    return F.coalesce(F.sum(_col(c).cast(MONEY)), F.lit(0).cast(MONEY)).cast("double")
-
-
 def zero_sum(c) -> Column:
-    """Sum where an all-null or empty group gives 0, not null."""
-    return exact_sum(c)
+    """Sum of doubles where an all-null or empty group gives 0.0, not null."""
+    return F.coalesce(F.sum(_col(c)), F.lit(0.0))
 
 
 def wsum(c, weight: str = WEIGHT) -> Column:
-    """Sum over rows repeated ``weight`` times (payment fan-out), 0 if none; exact."""
-    return exact_sum(_col(c).cast(MONEY) * F.col(weight))
+    """Sum over rows repeated ``weight`` times (payment fan-out), 0.0 if none."""
+    return zero_sum(_col(c) * F.col(weight))
 
 
 def wmean(c, weight: str = WEIGHT) -> Column:
-    """Mean over rows repeated ``weight`` times; nulls skipped, null if none.
-
-    Exact weighted sum divided by the weighted count of non-null values.
-    """
+    """Mean over rows repeated ``weight`` times; nulls skipped, null if none."""
     c = _col(c)
-    num = F.sum(c.cast(MONEY) * F.col(weight)).cast("double")
-    return F.try_divide(num, F.sum(F.when(c.isNotNull(), F.col(weight))).cast("double"))
+    return F.try_divide(F.sum(c * F.col(weight)), F.sum(F.when(c.isNotNull(), F.col(weight))).cast("double"))
 
 
-def exact_mean(c) -> Column:
-    """Mean of amounts with an exact sum; null when no value."""
-    c = _col(c)
-    return F.try_divide(F.sum(c.cast(MONEY)).cast("double"), F.count(c).cast("double"))
-
+def settled(c, digits: int) -> Column:
+    """Round for output or ranking.
 
-def money(c) -> Column:
-    """Round an amount to cents: sums are compared and ranked at this precision."""
-    return F.round(_col(c), 2)
+    A sum of doubles depends on the order of its terms in its last bits.
+    Rounding to some more digits first removes that noise, so a value that
+    lies on a rounding tie goes the same way in every run.
+    """
+    return F.round(F.round(_col(c), digits + 4), digits)
 
 
-def ratio(c, digits: int = 4) -> Column:
-    """Round a mean or ratio for output."""
-    return F.round(_col(c), digits)
+def money(c) -> Column:
+    """An amount at cents: sums are compared and ranked at this precision."""
+    return settled(c, 2)
 
 
 def week_label(year="year", week="week") -> Column:

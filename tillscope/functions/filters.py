@@ -10,14 +10,18 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillscope.functions.expr import money
+
 Transform = Callable[[DataFrame], DataFrame]
 
+# Patterns, category and code must equal the dashboard's.
 FUEL_PATTERN = "FUEL|GAS"
 BEVERAGE_PATTERN = "BEVERAGE|DRINK|SODA|WATER"
 PACKAGED_BEVERAGES = "Packaged Beverages"
+FUEL_CODE = "FUEL"
 
 
 def _identity(df: DataFrame) -> DataFrame:
@@ -26,7 +30,7 @@ def _identity(df: DataFrame) -> DataFrame:
 
 def drop_fuel_code() -> Transform:
     """``NONSCAN_CATEGORY != 'FUEL'``; a null category is dropped too."""
-    return lambda df: df.where(F.col("NONSCAN_CATEGORY") != "FUEL")
+    return lambda df: df.where(F.col("NONSCAN_CATEGORY") != FUEL_CODE)
 
 
 def drop_fuel_pattern() -> Transform:
@@ -54,7 +58,7 @@ def date_between(date_range: tuple | None, column: str = "date") -> Transform:
     """inclusive date range on ``date`` (N17); ``None`` keeps all.
 
     A single date (or a one-element tuple) means that one day, as the
-    date picker normalises it.
+    date picker normalises it.  A bound that is ``None`` is open.
     """
     if date_range is None:
         return _identity
@@ -62,29 +66,33 @@ def date_between(date_range: tuple | None, column: str = "date") -> Transform:
         date_range = (date_range, date_range)
     elif len(date_range) == 1:
         date_range = (date_range[0], date_range[0])
-    lo, hi = _as_date(date_range[0]), _as_date(date_range[1])
-    return lambda df: df.where(F.col(column).between(F.lit(lo), F.lit(hi)))
+    lo, hi = (None if d is None else _as_date(d) for d in date_range)
+
+    def apply(df: DataFrame) -> DataFrame:
+        if lo is not None:
+            df = df.where(F.col(column) >= F.lit(lo))
+        return df if hi is None else df.where(F.col(column) <= F.lit(hi))
+
+    return apply
 
 
 def exclude_stores_by_name(stores: DataFrame, names: Sequence[str] | None) -> Transform:
     """Resolve store names to ids on the store table, anti-join them.
 
-    The id set stays a DataFrame (no collect); Spark sizes it at run time.
-    One probe (``limit(1)`` on the filtered store table) tells whether any id
-    was found: if none, nothing is excluded, null ids included (an empty
-    ``~is_in``, N6); otherwise a null ``STORE_ID`` is dropped as ``~is_in``
-    drops it (N7).
+    One plan, no job while it is built: if no id was found, nothing is
+    excluded, null ids included (an empty ``~is_in``, N6); otherwise a null
+    ``STORE_ID`` is dropped as ``~is_in`` drops it (N7).
     """
     if not names:
         return _identity
     excluded = (
         stores.where(F.col("STORE_NAME").isin(list(names)))
         .select(F.col("STORE_ID").cast("string").alias("STORE_ID"))
+        .where(F.col("STORE_ID").isNotNull())
         .distinct()
     )
-    if not excluded.limit(1).count():
-        return _identity
-    return lambda df: df.where(F.col("STORE_ID").isNotNull()).join(excluded, "STORE_ID", "left_anti")
+    found = excluded.agg(F.count(F.lit(1))).scalar()
+    return lambda df: df.join(excluded, "STORE_ID", "left_anti").where(F.col("STORE_ID").isNotNull() | (found == 0))
 
 
 def exclude_store_names(names: Sequence[str] | None) -> Transform:
@@ -136,11 +144,17 @@ def payment_selection(cash: bool = True, credit: bool = True) -> Transform:
     return lambda df: df.where(cond)
 
 
-def keep_members(top: DataFrame, key: str) -> Transform:
-    """Semi-join with a top-k result.
+def keep_largest(key: str, amount: str, k: int) -> Transform:
+    """Rows of the k keys with the largest total of ``amount``.
 
-    ``top`` comes from ``orderBy().limit(k)``, so its size is bounded by k
-    and broadcasting it is safe at any data size.
+    Totals are ranked at cents, nulls first (N8), ties by key (N12).  The rows
+    are an aggregate (one per key and period): a window totals each key's own
+    rows, and the rank filter is planned as a WindowGroupLimit, so each task
+    passes on the rows of k keys at most.
     """
-    members = F.broadcast(top.select(key))
-    return lambda df: df.join(members, key, "left_semi")
+    def apply(df: DataFrame) -> DataFrame:
+        order = Window.orderBy(money("_total").desc_nulls_first(), F.col(key).asc_nulls_first())
+        total = df.withColumn("_total", F.sum(amount).over(Window.partitionBy(key)))
+        return total.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= k).drop("_total", "_rank")
+
+    return apply

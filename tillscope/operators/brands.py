@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import distinct_with_null, exact_mean, exact_sum, money, week_label, wmean, wsum
+from tillscope.functions.expr import distinct_with_null, money, week_label, wmean, wsum, zero_sum
 
 MIN_SALES = 500
 MIN_TRANSACTIONS = 50
@@ -84,8 +84,8 @@ def brand_kpis(perf: DataFrame, min_sales: float = MIN_SALES, min_transactions:
     return perf.agg(
         F.count(F.lit(1)).alias("total_brands"),
         F.count_if(weak_condition(min_sales, min_transactions)).alias("underperforming_brands"),
-        F.coalesce(exact_mean("total_sales"), F.lit(0.0)).alias("avg_brand_sales"),
-        exact_sum("total_sales").alias("total_sales"),
+        F.coalesce(F.avg("total_sales"), F.lit(0.0)).alias("avg_brand_sales"),
+        zero_sum("total_sales").alias("total_sales"),
     )
 
 
@@ -94,9 +94,9 @@ def drop_impact(perf: DataFrame, min_sales: float = MIN_SALES, min_transactions:
     (0 unless the total is positive), brands_removed, pct_brands (0 without brands)."""
     weak = weak_condition(min_sales, min_transactions)
     agg = perf.agg(
-        exact_sum(F.when(weak, F.col("total_sales"))).alias("lost_sales"),
+        zero_sum(F.when(weak, F.col("total_sales"))).alias("lost_sales"),
         F.coalesce(F.sum(F.when(weak, F.col("transaction_count"))), F.lit(0)).alias("lost_transactions"),
-        exact_sum("total_sales").alias("total_brand_sales"),
+        zero_sum("total_sales").alias("total_brand_sales"),
         F.count_if(weak).alias("brands_removed"),
         F.count(F.lit(1)).alias("total_brands"),
     )
@@ -117,12 +117,15 @@ def top_brands(perf: DataFrame, n: int = 10) -> DataFrame:
     return perf.limit(n)
 
 
-def brand_trend(rows: DataFrame, perf: DataFrame, n: int = 10) -> DataFrame:
-    """Weekly sales of the top-n brands with a week label, in week order."""
+def brand_trend(rows: DataFrame, n: int = 10) -> DataFrame:
+    """Weekly sales of the top-n brands with a week label, in week order.
+
+    The brands' totals are sums of their weekly sums, so the rows are read
+    and aggregated once (see ``filters.keep_largest``).
+    """
+    weekly = rows.groupBy("year", "week", "BRAND").agg(wsum("total_sales").alias("weekly_sales"))
     return (
-        rows.transform(flt.keep_members(top_brands(perf, n), "BRAND"))
-        .groupBy("year", "week", "BRAND")
-        .agg(wsum("total_sales").alias("weekly_sales"))
+        weekly.transform(flt.keep_largest("BRAND", "weekly_sales", n))
         .withColumn("week_label", week_label())
-        .orderBy("year", "week")
+        .orderBy("year", "week", F.col("BRAND").asc_nulls_first())
     )

@@ -82,19 +82,24 @@ def demographics_long(profiles: DataFrame) -> DataFrame:
     return long.select("Store", labels[F.col("code")].alias("Variable"), F.col("Value").cast("double").alias("Value"))
 
 
-def default_pair(locations: DataFrame) -> DataFrame:
-    """The select boxes' defaults: the first two store names in sorted order.
+def default_pair(locations: DataFrame, stores: int = 2) -> DataFrame:
+    """The select boxes' defaults: the first (two) store names in sorted order.
 
-    Returns (Store, position) with positions 1 and 2; the limit bounds it to
-    two rows, so it is broadcast wherever it is joined.
+    Returns (Store, position) with positions from 1; the limit bounds it to
+    ``stores`` rows, so it is broadcast wherever it is joined.
     """
-    two = locations.select("Store").orderBy("Store").limit(2)
-    return two.withColumn("position", F.row_number().over(Window.orderBy("Store")))
+    first = locations.select("Store").orderBy("Store").limit(stores)
+    return first.withColumn("position", F.row_number().over(Window.orderBy("Store")))
 
 
-def pair_of(first: str, second: str, spark) -> DataFrame:
-    """A chosen (first, second) store pair as a two-row frame."""
-    return spark.createDataFrame([(first, 1), (second, 2)], "Store string, position int")
+def chosen(spark, names: Sequence[str], at: int = 1) -> DataFrame:
+    """Chosen stores as (Store, position), positions from ``at``."""
+    return spark.createDataFrame([(n, at + i) for i, n in enumerate(names)], "Store string, position int")
+
+
+def selected_rows(long: DataFrame, selection: DataFrame) -> DataFrame:
+    """The selected stores' rows of the long table, in the order of selection."""
+    return _with_pair(long, selection).orderBy("position", "Variable").select("Store", "Variable", "Value")
 
 
 def _with_pair(long: DataFrame, pair: DataFrame) -> DataFrame:
@@ -145,20 +150,11 @@ def demographic_normalised(long: DataFrame, pair: DataFrame) -> DataFrame:
     )
 
 
-def demographic_pivot(long: DataFrame, pair: DataFrame, store_names: Sequence[str] | None = None) -> DataFrame:
-    """R2: Variable plus one column per selected store.
-
-    Pass ``store_names`` to fix the columns without a discovery job;
-    otherwise Spark finds them among the (two) selected stores.
-    """
-    rows = _with_pair(long, pair)
-    names = list(store_names) if store_names else None
-    return rows.groupBy("Variable").pivot("Store", names).agg(F.max("Value"))
-
-
-def single_store(long: DataFrame, store: str) -> DataFrame:
-    """F17 + P16: one store's (Variable, Value) rows."""
-    return long.where(F.col("Store") == store).select("Variable", "Value")
+def demographic_pivot(long: DataFrame, pair: DataFrame, store_names: Sequence[str]) -> DataFrame:
+    """R2: Variable plus one column per selected store; the caller names the stores."""
+    return _with_pair(long, pair).groupBy("Variable").agg(
+        *(F.max(F.when(F.col("Store") == name, F.col("Value"))).alias(name) for name in store_names)
+    )
 
 
 def first_store_rows(long: DataFrame, pair: DataFrame) -> DataFrame:
@@ -167,11 +163,6 @@ def first_store_rows(long: DataFrame, pair: DataFrame) -> DataFrame:
     return _with_pair(long, first).select("Variable", "Value")
 
 
-def other_stores(locations: DataFrame, store: str) -> DataFrame:
-    """F18 + T8: the store names other than ``store``, sorted."""
-    return locations.where(F.col("Store") != store).select("Store").orderBy("Store")
-
-
 def compare_options(locations: DataFrame, pair: DataFrame) -> DataFrame:
     """F18 + T8: the names offered for comparison — all but the selected store, sorted.
 

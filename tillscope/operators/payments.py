@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import MONEY, distinct_with_null, money, payment_category, payment_group, week_label, wmean, wsum
+from tillscope.functions.expr import WEIGHT, distinct_with_null, money, payment_category, payment_group, week_label, wmean, wsum
 
 GROUPS = ["CASH", "CREDIT/DEBIT"]
 DAILY_TARGET = 5000.0
+# What the page's tables read of its rows.
+PAGE_COLUMNS = ["payment_group", "year", "week", "date", "POS_DESCRIPTION", "CATEGORY", "TRANSACTION_ITEM_ID",
+                "total_sales", "UNIT_QUANTITY", WEIGHT]
 
 
 def payment_rows(
@@ -116,9 +119,7 @@ def payment_share(comparison: DataFrame) -> DataFrame:
     return comparison.select(
         "payment_group",
         "total_sales",
-        F.try_divide(
-            F.col("total_sales"), F.sum(F.col("total_sales").cast(MONEY)).over(Window.partitionBy()).cast("double")
-        ).alias("share"),
+        F.try_divide(F.col("total_sales"), F.sum("total_sales").over(Window.partitionBy())).alias("share"),
     )
 
 
@@ -172,7 +173,7 @@ def weekly_by_group(rows: DataFrame, daily_target: float = DAILY_TARGET) -> Data
         )
         .withColumn("week_label", week_label())
         .withColumn("weekly_target", F.lit(daily_target) * 7)
-        .orderBy("year", "week")
+        .orderBy("year", "week", "payment_group")
     )
 
 
@@ -196,7 +197,11 @@ def category_breakdown(rows: DataFrame) -> DataFrame:
             wsum("total_sales").alias("total_sales"),
             distinct_with_null("TRANSACTION_ITEM_ID").alias("transactions"),
         )
-        .orderBy(F.col("payment_group").asc_nulls_first(), money("total_sales").desc_nulls_first())
+        .orderBy(
+            F.col("payment_group").asc_nulls_first(),
+            money("total_sales").desc_nulls_first(),
+            F.col("CATEGORY").asc_nulls_first(),
+        )
     )
 
 

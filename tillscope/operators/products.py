@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import distinct_with_null, exact_sum, money, week_label, wsum
+from tillscope.functions.expr import distinct_with_null, money, week_label, wsum, zero_sum
+from tillscope.plans.joins import left_join
 
 WEEK_KEYS = ["year", "week", "POS_DESCRIPTION", "CATEGORY"]
 
@@ -72,8 +73,8 @@ def product_totals(frame: DataFrame, from_weekly: bool = False) -> DataFrame:
     """
     if from_weekly:
         return frame.groupBy("POS_DESCRIPTION").agg(
-            exact_sum("weekly_sales").alias("total_sales"),
-            exact_sum("units_sold").alias("total_units"),
+            zero_sum("weekly_sales").alias("total_sales"),
+            zero_sum("units_sold").alias("total_units"),
         )
     return frame.groupBy("POS_DESCRIPTION").agg(
         wsum("total_sales").alias("total_sales"),
@@ -112,26 +113,28 @@ def top_products(rows: DataFrame, k: int = 5) -> DataFrame:
     return ranked(top_k(product_totals(rows), k))
 
 
-def product_trend(weekly: DataFrame, top: DataFrame) -> DataFrame:
-    """A13 + P8 + T7: the top products' weekly rows with a week label, in week order.
+def product_trend(weekly: DataFrame, k: int = 5) -> DataFrame:
+    """A13 + P8 + T7: the top k products' weekly rows with a week label, in week order.
 
-    Rows stay per (product, category) as the dashboard keeps them.
+    Rows stay per (product, category) as the dashboard keeps them.  The top
+    products are found on the weekly rows themselves, so the items are read
+    once (see ``filters.keep_largest``).
     """
     return (
-        weekly.transform(flt.keep_members(top, "POS_DESCRIPTION"))
+        weekly.transform(flt.keep_largest("POS_DESCRIPTION", "weekly_sales", k))
         .withColumn("week_label", week_label())
-        .orderBy("year", "week")
+        .orderBy("year", "week", F.col("POS_DESCRIPTION").asc_nulls_first(), F.col("CATEGORY").asc_nulls_first())
     )
 
 
-def product_target(weekly: DataFrame, top: DataFrame, factor: float = 0.7, fallback: float = 1000.0) -> DataFrame:
+def product_target(weekly: DataFrame, k: int = 5, factor: float = 0.7, fallback: float = 1000.0) -> DataFrame:
     """M2 + P19: highest weekly value among the top products and the default target.
 
     One row: ``max_weekly_sales``, ``target_default`` (factor × max, or the
     fallback when the max is null or zero) and ``target_max`` (the max, or
     10000 then).
     """
-    mx = weekly.transform(flt.keep_members(top, "POS_DESCRIPTION")).agg(F.max("weekly_sales").alias("m"))
+    mx = weekly.transform(flt.keep_largest("POS_DESCRIPTION", "weekly_sales", k)).agg(F.max("weekly_sales").alias("m"))
     has = F.col("m").isNotNull() & (F.col("m") != 0)
     return mx.select(
         F.col("m").alias("max_weekly_sales"),
@@ -150,7 +153,7 @@ def category_list(items: DataFrame, catalog: DataFrame) -> DataFrame:
     return (
         items.transform(flt.drop_fuel_code())
         .select("GTIN")
-        .join(catalog.select("GTIN", "CATEGORY"), "GTIN", "inner")
+        .transform(left_join, catalog.select("GTIN", "CATEGORY"), "GTIN")
         .transform(flt.category_present())
         .select("CATEGORY")
         .distinct()

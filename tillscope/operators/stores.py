@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.plans.joins import checked_broadcast
+from tillscope.plans.joins import checked_broadcast, left_join
 
 
 def store_list(stores: DataFrame) -> DataFrame:
@@ -48,3 +48,27 @@ def item_date_bounds(items: DataFrame, fuel_code_filter: bool = True) -> DataFra
     """
     rows = items.transform(flt.drop_fuel_code()) if fuel_code_filter else items
     return date_bounds(rows.select(F.to_date("DATE_TIME").alias("date")))
+
+
+def beverage_date_bounds(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """M1 on page-2 rows (F9), or on all rows when there are none.
+
+    Both pairs of bounds come from one pass over items ⟕ catalog.
+    """
+    day = F.to_date("DATE_TIME")
+    rows = left_join(items.select("GTIN", "DATE_TIME"), catalog.select("GTIN", "CATEGORY", "BRAND"), "GTIN")
+    own = (F.col("CATEGORY") == flt.PACKAGED_BEVERAGES) & F.col("BRAND").isNotNull()
+    both = rows.agg(
+        F.count_if(own).alias("n"),
+        F.min(F.when(own, day)).alias("own_min"), F.max(F.when(own, day)).alias("own_max"),
+        F.min(day).alias("all_min"), F.max(day).alias("all_max"),
+    )
+    return both.select(
+        F.when(F.col("n") > 0, F.col("own_min")).otherwise(F.col("all_min")).alias("min_date"),
+        F.when(F.col("n") > 0, F.col("own_max")).otherwise(F.col("all_max")).alias("max_date"),
+    )
+
+
+def time_bounds(items: DataFrame) -> DataFrame:
+    """M1 of the API: one row, the earliest and latest DATE_TIME of all items."""
+    return items.agg(F.min("DATE_TIME").alias("min_time"), F.max("DATE_TIME").alias("max_time"))

@@ -16,9 +16,9 @@ Two forms are offered:
 
 Join strategy: catalog and stores are broadcast only after their size is
 measured to be under a limit (``plans.joins.prepare_dimension``) and are
-sort-merge joined otherwise; items ⟕ payments is always a shuffle hash join
-on TRANSACTION_SET_ID (AQE still splits skewed item-side partitions), with
-no exchange at all when both inputs are bucketed (``plans.layout``).
+sort-merge joined otherwise; items ⟕ payments at scale is a shuffle join on
+TRANSACTION_SET_ID: sort-merge, which spills, or shuffle-hash where AQE finds
+the partitions small enough (it splits skewed item-side partitions too).
 Catalyst prunes every input to the columns a query uses and pushes item
 filters into the item scan.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.expr import WEIGHT
-from tillscope.plans.joins import prepare_dimension
+from tillscope.plans.joins import left_join, prepare_dimension
 from tillscope.sources.fixtures import RetailTables
 
 
@@ -89,21 +89,22 @@ def enrich_weighted(
     pay = _suffix_clashes(items.columns + cat_cols, payment_weights(payments), ["TRANSACTION_SET_ID"])
     pay_cols = [c for c in pay.columns if c not in ("TRANSACTION_SET_ID", WEIGHT)]
     weights.append(WEIGHT)
-    out = items.join(cat, "GTIN", "left") if catalog_first else items
-    # Payments grow with transactions and are never date-pruned, so this is
-    # a shuffle join at any size: the hint keeps AQE from broadcasting a
-    # side whose size tracks the fact table, and moves all per-row work
-    # after the scan into parallel post-shuffle tasks.
-    out = out.join(pay.hint("shuffle_hash"), "TRANSACTION_SET_ID", "left")
+    out = left_join(items, cat, "GTIN") if catalog_first else items
+    # Payments grow with transactions and are never date-pruned.  The strategy
+    # is left to Spark: a sort-merge join, which spills, unless the measured
+    # partitions are small enough for a hash table
+    # (spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold) or the whole
+    # side is under the broadcast threshold.
+    out = left_join(out, pay, "TRANSACTION_SET_ID")
     if not catalog_first:
-        out = out.join(cat, "GTIN", "left")
+        out = left_join(out, cat, "GTIN")
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
     st, copies = prepare_dimension(
         _suffix_clashes(items.columns + cat_cols + pay_cols, st, ["STORE_ID"]), "STORE_ID", "_store_copies", check_sizes
     )
     weights += ["_store_copies"] if copies else []
     st_cols = [c for c in st.columns if c != "STORE_ID" and c not in weights]
-    out = out.join(st, "STORE_ID", "left")
+    out = left_join(out, st, "STORE_ID")
     weight = F.lit(1).cast("long")
     for w in weights:
         weight = weight * F.coalesce(F.col(w), F.lit(1)).cast("long")
@@ -126,11 +127,25 @@ def enrich_weighted_tables(t: RetailTables, catalog_first: bool = True) -> DataF
     return enrich_weighted(t.items, t.catalog, t.payments, t.stores, catalog_first=catalog_first)
 
 
-def expand_weight(weighted: DataFrame) -> DataFrame:
-    """Repeat each row ``payment_weight`` times and drop the weight column."""
+# Copies of a row that one step of ``expand_weight`` makes.
+COPIES = 10_000
+
+
+def expand_weight(weighted: DataFrame, spread: bool = False) -> DataFrame:
+    """Repeat each row ``payment_weight`` times and drop the weight column.
+
+    Rows are repeated in blocks of at most ``COPIES``, so no array is as long as
+    a weight.  ``spread`` deals the blocks to tasks in between, for inputs with
+    weights so large that one task should not write all copies of a row; it
+    costs a shuffle of the blocks.
+    """
     cols = [c for c in weighted.columns if c != WEIGHT]
-    rep = F.explode(F.array_repeat(F.lit(1), F.col(WEIGHT).cast("int"))).alias("_rep")
-    return weighted.select(*cols, rep).drop("_rep")
+    last = F.expr(f"({WEIGHT} - 1) div {COPIES}")
+    blocks = weighted.where(F.col(WEIGHT) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block"))
+    if spread:
+        blocks = blocks.repartition(F.xxhash64("_block", *[c for c in cols if c in ("TRANSACTION_SET_ID", "TRANSACTION_ITEM_ID")]))
+    copies = F.least(F.lit(COPIES).cast("long"), F.col(WEIGHT) - F.col("_block") * COPIES).cast("int")
+    return blocks.select(*cols, F.explode(F.array_repeat(F.lit(1), copies)).alias("_rep")).drop("_rep")
 
 
 def enrich(items: DataFrame, catalog: DataFrame, payments: DataFrame, stores: DataFrame) -> DataFrame:

@@ -1,20 +1,19 @@
-"""Fact-to-dimension joins: broadcast behind a checked size, shuffle join beyond it.
+"""Fact-to-dimension joins: broadcast behind a measured size, shuffle join beyond it.
 
 Spark's own planner guesses a dimension's size from file sizes and, for a
 derived dimension, multiplies the sizes of its inputs, so a small derived
 table can miss the broadcast and cost a full shuffle of the fact side.
 ``checked_broadcast`` and ``prepare_dimension`` measure the dimension
-instead: a row count (a cheap scan of a small table) times the row width
-from the schema.  Under the limit the side is broadcast; over it the join is
-left to Spark, which sort-merge joins it with AQE skew handling.  The size
-bound is thus proven for what is broadcast, and anything larger takes the
-shuffle path.  ``prepare_dimension`` also folds repeated dimension rows into
-a copy count, so a group of copies cannot multiply rows inside the join.
+instead: one aggregate job counts its rows and adds up the bytes of its
+strings.  Under the limit the side is broadcast; over it the join is left to
+Spark, which sort-merge joins it with AQE skew handling.
+``prepare_dimension`` also folds repeated dimension rows into a copy count,
+so a group of copies cannot multiply rows inside the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +25,24 @@ CONF_KEY = "spark.tillscope.broadcastMaxBytes"
 _WIDTH = {
     T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
     T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
-    T.DecimalType: 16, T.StringType: 32,
+    T.DecimalType: 16,
 }
 # hash-relation and row-header overhead per broadcast row, as a factor
 _OVERHEAD = 2
 
 
-def row_width(schema: T.StructType) -> int:
-    """Estimated bytes per row of ``schema`` (strings counted at 32 bytes)."""
-    return 8 + sum(_WIDTH.get(type(f.dataType), 64) for f in schema.fields)
+def measured_bytes(schema: T.StructType) -> Column:
+    """Aggregate: bytes of all rows of ``schema``; strings and binaries by their real length."""
+    fixed, total = 8, F.lit(0)
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            fixed += 8
+            total = total + F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0))
+        elif type(f.dataType) in _WIDTH:
+            fixed += _WIDTH[type(f.dataType)]
+        else:  # arrays, maps, structs: by the length of their JSON text
+            total = total + F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))), F.lit(0))
+    return (total + F.count(F.lit(1)) * fixed) * _OVERHEAD
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -45,8 +53,16 @@ def broadcast_limit(df: DataFrame) -> int:
 def checked_broadcast(dim: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``broadcast(dim)`` when its measured size is under the limit, else ``dim`` unchanged."""
     limit = max_bytes if max_bytes is not None else broadcast_limit(dim)
-    rows = dim.count()
-    return F.broadcast(dim) if rows * row_width(dim.schema) * _OVERHEAD <= limit else dim
+    size = dim.agg(measured_bytes(dim.schema).alias("bytes")).first()["bytes"]
+    return F.broadcast(dim) if size <= limit else dim
+
+
+def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key``; keys of different types are compared as text."""
+    if left.schema[key].dataType == right.schema[key].dataType:
+        return left.join(right, key, "left")
+    text = right.withColumn("_key_text", F.col(key).cast("string")).drop(key)
+    return left.join(text, left[key].cast("string") == text["_key_text"], "left").drop("_key_text")
 
 
 def prepare_dimension(dim: DataFrame, key: str, copies_col: str, check: bool = True) -> tuple[DataFrame, bool]:
@@ -66,10 +82,10 @@ def prepare_dimension(dim: DataFrame, key: str, copies_col: str, check: bool = T
     if not check:
         return collapse(dim), True
     stats = dim.agg(
-        F.count(F.lit(1)).alias("rows"),
+        measured_bytes(dim.schema).alias("bytes"),
         F.count(F.col(key)).alias("keyed"),
         F.count_distinct(F.col(key)).alias("keys"),
     ).first()
     out, added = (collapse(dim), True) if stats["keyed"] != stats["keys"] else (dim, False)
-    fits = stats["rows"] * row_width(out.schema) * _OVERHEAD <= broadcast_limit(dim)
+    fits = stats["bytes"] <= broadcast_limit(dim)
     return (F.broadcast(out) if fits else out), added

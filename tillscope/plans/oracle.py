@@ -32,22 +32,22 @@ _MASTER = """master AS (
   FROM part)"""
 
 _PAYMENTS = """payments AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS TRANSACTION_SET_ID,
+  SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'UNMATCHED-' ELSE '' END || CAST(o_orderkey AS VARCHAR)
+           AS TRANSACTION_SET_ID,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'CASH' WHEN '2-HIGH' THEN 'CREDIT'
                               WHEN '3-MEDIUM' THEN 'DEBIT' ELSE 'EBT' END AS PAYMENT_TYPE
-  FROM orders WHERE o_orderpriority <> '5-LOW'
+  FROM orders
   UNION ALL
   SELECT CAST(o_orderkey AS VARCHAR),
          CASE o_orderstatus WHEN 'F' THEN 'CHANGE' ELSE 'CREDIT' END
   FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'P'))"""
 
 _STORES = """stores AS (
-  SELECT s_suppkey AS STORE_ID, s_name AS STORE_NAME,
+  SELECT CASE WHEN s_suppkey % 10 = 9 THEN -s_suppkey ELSE s_suppkey END AS STORE_ID, s_name AS STORE_NAME,
          CASE n_nationkey % 5 WHEN 0 THEN 'Idaho Falls' WHEN 1 THEN 'American Falls'
                               WHEN 2 THEN 'Rigby' WHEN 3 THEN NULL ELSE n_name END AS CITY,
          'ID' AS STATE
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey
-  WHERE s_suppkey % 10 <> 9)"""
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 _ENRICHED = """enriched AS (
   SELECT t.*, m.CATEGORY, m.BRAND, p.PAYMENT_TYPE, s.STORE_NAME, s.CITY, s.STATE,
@@ -84,13 +84,29 @@ _BASE = [_ITEMS, _MASTER, _PAYMENTS, _STORES, _ENRICHED]
 
 
 def _sum(x: str) -> str:
-    """Exact sum of an amount (DECIMAL accumulation), 0 when empty, as DOUBLE."""
-    return f"CAST(coalesce(sum(CAST({x} AS DECIMAL(38, 6))), 0) AS DOUBLE)"
+    """Sum of an amount, 0 when empty."""
+    return f"coalesce(sum({x}), 0)"
 
 
 def _avg(x: str) -> str:
-    """Mean of an amount with an exact sum; NULL when no value."""
-    return f"(CAST(sum(CAST({x} AS DECIMAL(38, 6))) AS DOUBLE) / count({x}))"
+    """Mean of an amount; NULL when no value."""
+    return f"avg({x})"
+
+
+def _settled(sql: str) -> str:
+    """``round(x, d)`` as ``round(round(x, d + 4), d)``, which removes the noise of summation order."""
+    out, at = "", 0
+    while (hit := sql.find("round(", at)) >= 0:
+        depth, end = 0, hit + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if not depth:
+                break
+            end += 1
+        inner, _, digits = sql[hit + 6:end].rpartition(",")
+        out += f"{sql[at:hit]}round(round({_settled(inner)}, {int(digits) + 4}), {int(digits)})"
+        at = end + 1
+    return out + sql[at:]
 
 
 _DISTINCT_ITEMS = "(count(DISTINCT TRANSACTION_ITEM_ID) + max(CASE WHEN TRANSACTION_ITEM_ID IS NULL THEN 1 ELSE 0 END))"
@@ -181,7 +197,7 @@ def _demo_ctes() -> list[str]:
         "profiles AS (\n  SELECT Store, STORE_ID, CITY, state, county, "
         + ", ".join(cols)
         + "\n  FROM (SELECT l.*, "
-        + ", ".join(f"c.{code}" for code in S.CENSUS_CODES).replace("c.", "c.")
+        + ", ".join(f"c.{code}" for code in S.CENSUS_CODES)
         + f", ({ok}) AS ok FROM locations l LEFT JOIN census c ON l.state = c.state AND l.county = c.county) c)"
     )
     # the inner select aliases census cells under their code names; the outer
@@ -323,7 +339,7 @@ FROM enriched WHERE PAYMENT_TYPE IN ('CASH', 'CHANGE', 'CREDIT', 'DEBIT')"""
 FROM cmp"""
 
     q["payment_share"] = _with(_page3(), _CMP) + """SELECT payment_group, round(total_sales, 2) AS total_sales,
-       round(total_sales / CAST(sum(CAST(total_sales AS DECIMAL(38, 6))) OVER () AS DOUBLE), 6) AS share
+       round(total_sales / sum(total_sales) OVER (), 6) AS share
 FROM cmp"""
 
     q["payment_top_products"] = _with(_page3()) + f"""SELECT * FROM (
@@ -361,9 +377,10 @@ FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_grou
     demo = _demo_ctes()
     q["store_locations"] = _with(*demo) + "SELECT Store, STORE_ID, CITY, state, county FROM locations"
     q["store_demographics"] = _with(*demo) + "SELECT Store, Variable, round(Value, 4) AS Value FROM long"
-    q["demographic_pivot"] = _with(
-        *demo, "pl AS (SELECT l.Variable, l.Store, round(l.Value, 4) AS Value FROM long l JOIN pair p ON l.Store = p.Store)"
-    ) + "PIVOT pl ON Store USING max(Value) GROUP BY Variable"
+    q["demographic_pivot"] = _with(*demo) + """SELECT Variable,
+       round(max(CASE WHEN l.Store = 'Supplier#000000001' THEN Value END), 4) AS "Supplier#000000001",
+       round(max(CASE WHEN l.Store = 'Supplier#000000002' THEN Value END), 4) AS "Supplier#000000002"
+FROM long l JOIN pair p ON l.Store = p.Store GROUP BY Variable"""
     q["demographic_delta"] = _with(*demo) + f"""SELECT Variable,
        max(CASE WHEN position = 1 THEN l.Store END) AS first_store,
        round(max(CASE WHEN position = 1 THEN Value END), 4) AS first_value,
@@ -393,4 +410,38 @@ WHERE Store <> (SELECT Store FROM pair WHERE position = 1)"""
        round(B01001_001E, 4) AS population, round(B01002_001E, 4) AS median_age,
        round(B19013_001E, 4) AS median_income
 FROM profiles"""
-    return q
+    kept = "STORE_ID IN ('1', '3', '4', '8') AND date BETWEEN DATE '1996-03-04' AND DATE '1999-08-29'"
+    q["weekly_sales_filtered"] = q["weekly_sales"].replace(
+        "WHERE NOT regexp_matches(CATEGORY, 'FUEL|GAS') OR CATEGORY IS NULL",
+        f"WHERE (NOT regexp_matches(CATEGORY, 'FUEL|GAS') OR CATEGORY IS NULL) AND {kept}",
+    )
+    q["beverage_brands_filtered"] = q["beverage_brands"].replace("AND BRAND IS NOT NULL", f"AND BRAND IS NOT NULL AND {kept}")
+    q["payment_rows_filtered"] = q["payment_rows"] + f" AND {kept}"
+    q["payment_comparison_neither"] = _with(_page3(cash=False, credit=False), _CMP) + _CMP_SELECT
+    q["brand_top30"] = q["brand_top15"].replace("LIMIT 15", "LIMIT 30")
+    q["date_bounds_beverages"] = _with(_PAGE2) + """SELECT
+  CASE WHEN (SELECT count(*) FROM page2) > 0 THEN (SELECT min(date) FROM page2) ELSE min(date) END AS min_date,
+  CASE WHEN (SELECT count(*) FROM page2) > 0 THEN (SELECT max(date) FROM page2) ELSE max(date) END AS max_date
+FROM enriched"""
+    q["date_bounds_all"] = _with() + "SELECT min(date) AS min_date, max(date) AS max_date FROM enriched"
+    q["time_bounds"] = _with() + "SELECT min(DATE_TIME) AS min_time, max(DATE_TIME) AS max_time FROM enriched"
+    q["store_locations_shared_names"] = q["store_locations"].replace(
+        "SELECT DISTINCT STORE_ID, STORE_NAME, CITY, STATE FROM enriched",
+        "SELECT DISTINCT STORE_ID, 'Group#' || CAST(abs(CAST(STORE_ID AS BIGINT)) // 5 AS VARCHAR) AS STORE_NAME, CITY, STATE"
+        " FROM enriched WHERE STORE_NAME IS NOT NULL",
+    )
+    population = "CAST(count(CASE WHEN c_custkey % 1 = 0 THEN 1 END) AS VARCHAR) AS B01001_001E"
+    q["store_demographics_default"] = q["store_demographics"].replace(
+        population, population.replace("CAST(count", "CASE WHEN county = '019' THEN 'n/a' ELSE CAST(count")
+        .replace(" AS VARCHAR) AS B01", " AS VARCHAR) END AS B01")
+    )
+    q["category_breakdown_ordered"] = _with(_page3()) + f"""SELECT payment_group, CATEGORY, row_number() OVER (
+  ORDER BY payment_group ASC NULLS FIRST, round({_sum('total_sales')}, 2) DESC NULLS FIRST, CATEGORY ASC NULLS FIRST) AS place
+FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_group, CATEGORY"""
+    q["payment_weekly_ordered"] = _with(_page3()) + f"""SELECT payment_group, {_wl()} AS week_label,
+  row_number() OVER (ORDER BY year, week, payment_group) AS place
+FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY year, week, payment_group"""
+    q["store_names_ordered"] = _with() + """SELECT STORE_NAME, row_number() OVER (ORDER BY STORE_NAME ASC NULLS FIRST) AS place
+FROM (SELECT DISTINCT STORE_NAME FROM enriched) n"""
+    q["landed_weekly_sales"] = q["weekly_sales"]
+    return {name: _settled(sql) for name, sql in q.items()}

@@ -8,8 +8,7 @@ to keep the shared aggregate cached while the tables are read and written:
         page["kpis"].show(); sinks.write_brand_analysis(page["performance"], out, dates)
 
 Selections mirror the page widgets: date range, excluded stores or
-categories, thresholds, payment sides, and the store pair on page 4
-(defaults: the first two store names, as the select boxes open).
+categories, thresholds, payment sides, and the store or store pair on page 4.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from tillscope.operators import brands, demographics, payments, products, stores
 from tillscope.plans.enrich import enrich_weighted_tables
+from tillscope.plans.reuse import checkpointed
 
 class RetailTables(Protocol):
     """The inputs a page reads: ``sources.readers.load_retail`` for a data
@@ -48,14 +48,14 @@ def top_products_page(
     rows = products.page_rows(e, t.stores, date_range, excluded_store_names, excluded_categories)
     weekly = products.weekly_product_sales(rows)
     top = products.ranked(products.top_k(products.product_totals(weekly, from_weekly=True), k))
-    return {
+    return {  # the trend and the target rank the weekly rows themselves
         "date_bounds": stores.item_date_bounds(t.items),
         "store_list": stores.store_list(t.stores),
         "categories": products.category_list(t.items, t.catalog),
         "weekly": weekly,
         "top_products": top,
-        "trend": products.product_trend(weekly, top),
-        "target": products.product_target(weekly, top),
+        "trend": products.product_trend(weekly, k),
+        "target": products.product_target(weekly, k),
     }
 
 
@@ -70,6 +70,8 @@ def brand_page(
     rows = brands.page_rows(enrich_weighted_tables(t, catalog_first=True), t.stores, date_range, excluded_store_names)
     perf = brands.brand_performance(rows)
     return {
+        "date_bounds": stores.beverage_date_bounds(t.items, t.catalog),
+        "store_list": stores.store_list(t.stores),
         "performance": perf,
         "ranking": brands.ranking_view(perf),
         "kpis": brands.brand_kpis(perf, min_sales, min_transactions),
@@ -77,7 +79,7 @@ def brand_page(
         "drop_impact": brands.drop_impact(perf, min_sales, min_transactions),
         "top30": brands.top_brands(perf, 30),
         "top15": brands.top_brands(perf, 15),
-        "trend": brands.brand_trend(rows, perf, 10),
+        "trend": brands.brand_trend(rows, 10),
     }
 
 
@@ -87,12 +89,20 @@ def payments_page(
     excluded_store_names: Sequence[str] | None = None,
     cash: bool = True,
     credit: bool = True,
+    shared: bool = False,
 ) -> dict[str, DataFrame]:
-    """Page 3 (§3.3): comparison, deltas, shares, top products, weekly, daily max, breakdown."""
+    """Page 3 (§3.3): comparison, deltas, shares, top products, weekly, daily max, breakdown.
+
+    ``shared`` checkpoints the joined rows, pruned to the page's columns, so that
+    a caller who reads all tables runs the payment join once.
+    """
     e = enrich_weighted_tables(t, catalog_first=False)
     rows = payments.page_rows(e, date_range, excluded_store_names, cash, credit)
+    if shared:  # eight tables read the joined rows: join once, keep only what they use
+        rows = checkpointed(rows.select(*payments.PAGE_COLUMNS))
     cmp_ = payments.payment_comparison(rows)
     return {
+        "date_bounds": stores.item_date_bounds(t.items, fuel_code_filter=False),
         "store_names": stores.store_names(t.items, t.stores),
         "comparison": cmp_,
         "deltas": payments.payment_deltas(cmp_),
@@ -108,29 +118,36 @@ def payments_page(
 def demographics_page(
     t: RetailTables, first: str | None = None, second: str | None = None
 ) -> dict[str, DataFrame]:
-    """Page 4 (§3.4): locations, long table, families, pair views, profiles.
+    """Page 4 (§3.4): locations, long table, families, profiles; pair views when two stores are compared.
 
-    ``first``/``second`` name the compared stores; by default the first two
-    names in sorted order.
+    The page opens with one store, ``first`` (by default the first name in
+    sorted order): its table, and the names offered for comparison.  With
+    ``second`` the pair views are added.  ``selected`` has the rows of the
+    selected stores, which is what the page offers for download.
     """
     loc = demographics.store_locations(t.items, t.stores)
     prof = demographics.census_profiles(loc, t.census)
     long = demographics.demographics_long(prof)
-    if first and second:
-        pair = demographics.pair_of(first, second, t.items.sparkSession)
-        names = [first, second]
-    else:
-        pair, names = demographics.default_pair(loc), None
+    spark = t.items.sparkSession
+    one = demographics.chosen(spark, [first]) if first else demographics.default_pair(loc, 1)
+    pair = demographics.chosen(spark, [first, second]) if first and second else None
+    if second and not first:
+        pair = demographics.default_pair(loc, 1).unionByName(demographics.chosen(spark, [second], at=2))
     out = {
         "locations": loc,
         "profiles": prof,
         "long": long,
+        "selected": demographics.selected_rows(long, pair if pair is not None else one),
+        "single_store": demographics.first_store_rows(long, one),
+        "compare_options": demographics.compare_options(loc, one),
         "family_share": demographics.family_share(long),
-        "delta": demographics.demographic_delta(long, pair),
-        "normalised": demographics.demographic_normalised(long, pair),
-        "pivot": demographics.demographic_pivot(long, pair, names),
         "store_profile": demographics.store_profile(prof),
     }
+    if pair is not None:
+        out["delta"] = demographics.demographic_delta(long, pair)
+        out["normalised"] = demographics.demographic_normalised(long, pair)
+        if first:
+            out["pivot"] = demographics.demographic_pivot(long, pair, [first, second])
     for family in ("economic", "education", "housing", "race"):
         out[f"family_{family}"] = demographics.family_rows(long, family)
     return out

@@ -12,18 +12,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.functions.expr import settled
 from tillscope.operators import brands, demographics, payments, products, stores
 from tillscope.plans.enrich import enrich_weighted_tables, expand_weight
-from tillscope.plans.reuse import frames_for
-from tillscope.sources import fixtures
+from tillscope.plans.reuse import frames_for, landing_folder
+from tillscope.sources import fixtures, readers
 
 # Parameters of the keys that exercise the exclusion filters.
 EXCLUDED_STORE_NAMES = ["Supplier#000000001", "Supplier#000000002"]
 EXCLUDED_CATEGORIES = ["STANDARD"]
+# Column names of the registered pivot: the first two store names.
+PIVOT_STORES = ["Supplier#000000001", "Supplier#000000002"]
 # Slider positions (within the page's ranges) at which some brands fall
 # under the thresholds at sf0.01; the page defaults flag none there.
 TIGHT_MIN_SALES = 10000
@@ -36,11 +39,11 @@ def _finish(df: DataFrame, money: tuple = (), ratio: tuple = (), share: tuple =
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.name in money:
-            c = F.round(c, 2)
+            c = settled(c, 2)
         elif f.name in ratio:
-            c = F.round(c, 4)
+            c = settled(c, 4)
         elif f.name in share:
-            c = F.round(c, 6)
+            c = settled(c, 6)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         cols.append(c.alias(f.name))
@@ -82,22 +85,18 @@ def q_top_products(spark, sf_dir):
     return _finish(products.top_products(products.page_rows(e, t.stores)), money=("total_sales", "total_units"))
 
 
-def _weekly_and_top(spark, sf_dir):
+def _weekly(spark, sf_dir):
     t, e = _base(spark, sf_dir)
-    weekly = products.weekly_product_sales(products.page_rows(e, t.stores))
-    top = products.top_k(products.product_totals(weekly, from_weekly=True))
-    return weekly, top
+    return products.weekly_product_sales(products.page_rows(e, t.stores))
 
 
 def q_product_trend(spark, sf_dir):
-    weekly, top = _weekly_and_top(spark, sf_dir)
-    return _finish(products.product_trend(weekly, top), money=("weekly_sales", "units_sold"))
+    return _finish(products.product_trend(_weekly(spark, sf_dir)), money=("weekly_sales", "units_sold"))
 
 
 def q_product_target(spark, sf_dir):
-    weekly, top = _weekly_and_top(spark, sf_dir)
     return _finish(
-        products.product_target(weekly, top), money=("max_weekly_sales", "target_default", "target_max")
+        products.product_target(_weekly(spark, sf_dir)), money=("max_weekly_sales", "target_default", "target_max")
     )
 
 
@@ -179,8 +178,8 @@ def q_brand_drop_impact(spark, sf_dir):
 
 
 def q_brand_trend(spark, sf_dir):
-    rows, perf = _brand_perf(spark, sf_dir)
-    return _finish(brands.brand_trend(rows, perf), money=_BRAND_MONEY)
+    rows, _ = _brand_perf(spark, sf_dir)
+    return _finish(brands.brand_trend(rows), money=_BRAND_MONEY)
 
 
 _PAY_MONEY = ("total_sales", "total_items", "weekly_sales", "units_sold", "delta_sales", "max_daily_sales",
@@ -259,8 +258,8 @@ def q_store_demographics(spark, sf_dir):
 
 def q_demographic_pivot(spark, sf_dir):
     loc, _, long = _demo(spark, sf_dir)
-    piv = demographics.demographic_pivot(long, demographics.default_pair(loc))
-    return _finish(piv, ratio=tuple(c for c in piv.columns if c != "Variable"))
+    piv = demographics.demographic_pivot(long, demographics.default_pair(loc), PIVOT_STORES)
+    return _finish(piv, ratio=tuple(PIVOT_STORES))
 
 
 def q_demographic_delta(spark, sf_dir):
@@ -300,6 +299,97 @@ def q_store_profile(spark, sf_dir):
     )
 
 
+# Parameters of the keys that pass a store list and a date range.
+KEPT_STORES = ["1", "3", "4", "8"]
+DATES = ("1996-03-04", "1999-08-29")
+
+
+def q_weekly_sales_filtered(spark, sf_dir):
+    _, e = _base(spark, sf_dir, catalog_first=True)
+    return _finish(products.weekly_sales(e, True, KEPT_STORES, DATES), money=("weekly_sales", "units_sold"))
+
+
+def q_beverage_brands_filtered(spark, sf_dir):
+    _, e = _base(spark, sf_dir, catalog_first=True)
+    return _finish(brands.beverage_brands(e, KEPT_STORES, DATES), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+
+
+def q_payment_rows_filtered(spark, sf_dir):
+    _, e = _base(spark, sf_dir)
+    return _finish(expand_weight(payments.payment_rows(e, KEPT_STORES, DATES)))
+
+
+def q_payment_comparison_neither(spark, sf_dir):
+    rows = _pay_rows(spark, sf_dir, cash=False, credit=False)
+    return _finish(payments.payment_comparison(rows), money=_PAY_MONEY, ratio=_PAY_RATIO)
+
+
+def q_brand_top30(spark, sf_dir):
+    _, perf = _brand_perf(spark, sf_dir)
+    return _finish(brands.top_brands(perf, 30), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+
+
+def q_date_bounds_beverages(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return stores.beverage_date_bounds(t.items, t.catalog)
+
+
+def q_date_bounds_all(spark, sf_dir):
+    return stores.item_date_bounds(_tables(spark, sf_dir).items, fuel_code_filter=False)
+
+
+def q_time_bounds(spark, sf_dir):
+    return stores.time_bounds(_tables(spark, sf_dir).items)
+
+
+def q_store_locations_shared_names(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return demographics.store_locations(t.items, fixtures.shared_names(t.stores))
+
+
+def q_store_demographics_default(spark, sf_dir):
+    loc, _, _ = _demo(spark, sf_dir)
+    profiles = demographics.census_profiles(loc, fixtures.census(spark, sf_dir, bad_county="019"))
+    return _finish(demographics.demographics_long(profiles), ratio=("Value",))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """The sorted table with each row's place in it.
+
+    Ids that rise from task to task and within each follow the operator's own
+    order; the window turns them into 1, 2, ... over a small aggregated table.
+    """
+    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    return placed.withColumn("place", F.row_number().over(Window.orderBy("_id")).cast("bigint")).drop("_id")
+
+
+def q_category_breakdown_ordered(spark, sf_dir):
+    rows = payments.category_breakdown(_pay_rows(spark, sf_dir))
+    return _numbered(rows).select("place", "payment_group", "CATEGORY")
+
+
+def q_payment_weekly_ordered(spark, sf_dir):
+    rows = payments.weekly_by_group(_pay_rows(spark, sf_dir))
+    return _numbered(rows).select("place", "week_label", "payment_group")
+
+
+def q_store_names_ordered(spark, sf_dir):
+    return _numbered(q_store_names(spark, sf_dir))
+
+
+def q_landed_weekly_sales(spark, sf_dir):
+    """Weekly sales from landed files: the role tables are written as the data
+    folder's files in the session's checkpoint folder and read by the readers (S1-S5)."""
+    folder = landing_folder(spark)
+    t = _tables(spark, sf_dir)
+    t.items.write.parquet(f"{folder}/{readers.ITEMS_DIR}")
+    t.catalog.write.parquet(f"{folder}/{readers.CATALOG_FILE}")
+    t.payments.write.parquet(f"{folder}/{readers.PAYMENTS_FILE}")
+    t.stores.write.parquet(f"{folder}/{readers.STORES_FILE}")
+    e = enrich_weighted_tables(readers.load_retail(spark, folder))
+    return _finish(products.weekly_sales(e), money=("weekly_sales", "units_sold"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched": q_enriched,
     "weekly_sales": q_weekly_sales,
@@ -340,4 +430,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "demographic_single_store": q_demographic_single_store,
     "store_compare_options": q_store_compare_options,
     "store_profile": q_store_profile,
+    "weekly_sales_filtered": q_weekly_sales_filtered,
+    "beverage_brands_filtered": q_beverage_brands_filtered,
+    "payment_rows_filtered": q_payment_rows_filtered,
+    "payment_comparison_neither": q_payment_comparison_neither,
+    "brand_top30": q_brand_top30,
+    "date_bounds_beverages": q_date_bounds_beverages,
+    "date_bounds_all": q_date_bounds_all,
+    "time_bounds": q_time_bounds,
+    "store_locations_shared_names": q_store_locations_shared_names,
+    "store_demographics_default": q_store_demographics_default,
+    "category_breakdown_ordered": q_category_breakdown_ordered,
+    "payment_weekly_ordered": q_payment_weekly_ordered,
+    "store_names_ordered": q_store_names_ordered,
+    "landed_weekly_sales": q_landed_weekly_sales,
 }

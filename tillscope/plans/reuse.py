@@ -12,7 +12,9 @@ checkpoint folder, which cuts lineage and survives executor loss).
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -36,6 +38,8 @@ def frames_for(spark: SparkSession, key: str, build: Callable[[], T], ttl: float
     """
     slot = (spark.sparkContext.applicationId, id(spark), key)
     now = time.monotonic()
+    for old in [k for k, (at, _) in _FRAMES.items() if now - at >= ttl or k[0] != slot[0]]:
+        del _FRAMES[old]  # expired, or of an application that has ended
     hit = _FRAMES.get(slot)
     if hit is not None and now - hit[0] < ttl:
         return hit[1]  # type: ignore[return-value]
@@ -58,11 +62,15 @@ def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK)
         cached.unpersist()
 
 
+def can_checkpoint(spark: SparkSession) -> bool:
+    """Whether the session names a checkpoint folder."""
+    return bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the session's checkpoint folder and cut its lineage.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; it must be
-    set (``session.ensure_checkpoint_dir`` names one only for local runs).
+    Uses the folder the cluster names in ``spark.checkpoint.dir``; it must be set.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -71,3 +79,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir is not set; name the cluster's shared folder")
         sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def landing_folder(spark: SparkSession) -> str:
+    """A new folder for files that one query writes and reads, in the shared checkpoint folder.
+
+    A local session without one gets a temporary folder.
+    """
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set; name the cluster's shared folder")
+        base = tempfile.mkdtemp(prefix="tillscope-")
+    return f"{base.rstrip('/')}/landed-{uuid.uuid4().hex}"

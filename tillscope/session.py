@@ -1,15 +1,11 @@
 """Spark session settings for local runs and tests.
 
 On a cluster the platform's own settings win: ``local_session`` is for
-development, tests and the bench; ``ensure_checkpoint_dir`` only fills in
-``spark.checkpoint.dir`` where the cluster has not named a shared folder.
+development, tests and the bench.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 LOCAL_CONF = {
@@ -20,6 +16,8 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # partitions under this size are joined by a hash table instead of a sort
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -38,19 +36,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, naming a local one only when unset (tests)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tillscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
-
-
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
                  executor_memory_gb: float = 16.0) -> dict[str, str]:
     """Settings sized for a cluster run over ``input_bytes`` of Parquet input.
@@ -74,6 +59,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "256MB",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
         "spark.tillscope.broadcastMaxBytes": str(broadcast),

@@ -82,11 +82,12 @@ def master_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders → payment rows.
 
-    Priority picks the tender; 5-LOW orders get no payment row.  Urgent
+    Priority picks the tender; the rows of 5-LOW orders carry a transaction
+    id that no item has, so those transactions have no payment.  Urgent
     orders also get a second row: CHANGE when finished (status F), CREDIT
     when pending (status P) — the split tenders that multiply items.
     """
-    orders = _read(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "5-LOW")
+    orders = _read(spark, sf_dir, "orders")
     tender = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("CASH"))
         .when(F.col("o_orderpriority") == "2-HIGH", F.lit("CREDIT"))
@@ -101,7 +102,10 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # one scan of orders; the split tender is a second array element
     return orders.select(
-        F.col("o_orderkey").cast("string").alias("TRANSACTION_SET_ID"),
+        F.concat(
+            F.when(F.col("o_orderpriority") == "5-LOW", F.lit("UNMATCHED-")).otherwise(F.lit("")),
+            F.col("o_orderkey").cast("string"),
+        ).alias("TRANSACTION_SET_ID"),
         F.explode(tenders).alias("PAYMENT_TYPE"),
     )
 
@@ -110,9 +114,9 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier ⋈ nation → store table.
 
     STORE_ID stays numeric (the enrichment casts it).  Suppliers whose key
-    ends in 9 are left out so some items reference an unknown store.
+    ends in 9 carry its negative, so some items reference an unknown store.
     """
-    sup = _read(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 10 != 9)
+    sup = _read(spark, sf_dir, "supplier")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     bucket = F.col("n_nationkey") % 5
     city = (
@@ -123,16 +127,24 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("n_name"))
     )
     return sup.join(nation, sup["s_nationkey"] == nation["n_nationkey"], "inner").select(
-        F.col("s_suppkey").alias("STORE_ID"),
+        F.when(F.col("s_suppkey") % 10 == 9, -F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("STORE_ID"),
         F.col("s_name").alias("STORE_NAME"),
         city.alias("CITY"),
         F.lit("ID").alias("STATE"),
     )
 
 
-def census_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shared_names(stores: DataFrame) -> DataFrame:
+    """The store table with every five ids in a row under one name."""
+    group = F.expr("abs(STORE_ID) div 5").cast("string")
+    return stores.withColumn("STORE_NAME", F.concat(F.lit("Group#"), group))
+
+
+def census_documents(spark: SparkSession, sf_dir: str, bad_county: str | None = None) -> DataFrame:
     """customer → one census response text per county (the service's JSON layout).
 
+    ``bad_county`` names a county whose population cell is not a number.
+
     Measure number i (from 1) counts customers whose key is a multiple of i.
     Two cells carry the texts the census service uses for "no value": a
     '-666666666' home value for county 065 and a null commute time for 019.
@@ -146,6 +158,8 @@ def census_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = cust.groupBy(county.alias("county")).agg(*counts)
 
     def cell(code: str):
+        if code == "B01001_001E" and bad_county:
+            return F.when(F.col("county") == bad_county, F.lit("n/a")).otherwise(F.col(code))
         if code == "B25077_001E":
             return F.when(F.col("county") == S.COUNTY_OTHER, F.lit("-666666666")).otherwise(F.col(code))
         if code == "B08303_001E":
@@ -162,9 +176,9 @@ def census_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.select(F.to_json(F.array(header, row)).alias("value"))
 
 
-def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+def census(spark: SparkSession, sf_dir: str, bad_county: str | None = None) -> DataFrame:
     """Census table parsed from the derived response texts, as landed files would be."""
-    return readers.parse_census_documents(census_documents(spark, sf_dir))
+    return readers.parse_census_documents(census_documents(spark, sf_dir, bad_county))
 
 
 class RetailTables:

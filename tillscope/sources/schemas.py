@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 
 # Column contracts of the four retail inputs.  Types are the ones the
 # analyses rely on; readers cast where the file type may legitimately differ.
+# ``None`` is a key: it keeps its file type, so a code like "00012" stays as it
+# is; a join compares keys of different types as text (``plans.joins``).
 ITEM_COLUMNS = {
-    "TRANSACTION_SET_ID": T.StringType(),
-    "TRANSACTION_ITEM_ID": T.LongType(),
-    "GTIN": T.LongType(),
+    "TRANSACTION_SET_ID": None,
+    "TRANSACTION_ITEM_ID": None,
+    "GTIN": None,
     "STORE_ID": T.StringType(),
     "DATE_TIME": T.TimestampNTZType(),
     "POS_DESCRIPTION": T.StringType(),
@@ -24,16 +26,16 @@ ITEM_COLUMNS = {
     "UNIT_QUANTITY": T.DoubleType(),
 }
 CATALOG_COLUMNS = {
-    "GTIN": T.LongType(),
+    "GTIN": None,
     "CATEGORY": T.StringType(),
     "BRAND": T.StringType(),
 }
 PAYMENT_COLUMNS = {
-    "TRANSACTION_SET_ID": T.StringType(),
+    "TRANSACTION_SET_ID": None,
     "PAYMENT_TYPE": T.StringType(),
 }
 STORE_COLUMNS = {
-    "STORE_ID": T.LongType(),
+    "STORE_ID": None,
     "STORE_NAME": T.StringType(),
     "CITY": T.StringType(),
     "STATE": T.StringType(),
@@ -109,13 +111,14 @@ class SchemaError(ValueError):
 def require_columns(df: DataFrame, contract: dict, table: str) -> DataFrame:
     """Fail fast when ``df`` lacks a contracted column; cast to contract types.
 
-    Extra columns are kept (the enrichment keeps every item column).
+    Extra columns are kept (the enrichment keeps every item column), and so is
+    the file type of a column whose contract has none.
     """
     missing = [c for c in contract if c not in df.columns]
     if missing:
         raise SchemaError(f"{table}: missing column(s) {missing}; has {df.columns}")
     out = df
     for name, dtype in contract.items():
-        if out.schema[name].dataType != dtype:
+        if dtype is not None and out.schema[name].dataType != dtype:
             out = out.withColumn(name, out[name].cast(dtype))
     return out

@@ -32,6 +32,8 @@ def report_name(stem: str, date_range: tuple | None = None) -> str:
     """``stem`` or ``stem_<start>_<end>`` as the download file names it."""
     if not date_range:
         return stem
+    if None in date_range:
+        raise ValueError("a report's name needs both ends of its date range")
     return f"{stem}_{_stamp(date_range[0])}_{_stamp(date_range[1])}"
 
 
@@ -46,7 +48,8 @@ def write_report_csv(
 
 
 def write_top_products(df: DataFrame, out_dir: str, date_range: tuple | None = None, **kw) -> str:
-    """S9."""
+    """Product, sales and units of the top products."""
+    df = df.select("POS_DESCRIPTION", "total_sales", "total_units")
     return write_report_csv(df, out_dir, "top_products", date_range, **kw)
 
 
@@ -66,5 +69,5 @@ def write_category_breakdown(df: DataFrame, out_dir: str, **kw) -> str:
 
 
 def write_demographics(df: DataFrame, out_dir: str, **kw) -> str:
-    """S13."""
+    """The selected stores' rows."""
     return write_report_csv(df, out_dir, "demographic_analysis", **kw)
