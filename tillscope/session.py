@@ -16,6 +16,9 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Spark's own broadcasts for tiny sides only; larger ones are explicit,
+    # behind measured sizes (plans.joins)
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
     # partitions under this size are joined by a hash table instead of a sort
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -59,6 +62,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "1MB",
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "256MB",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
