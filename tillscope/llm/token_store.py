@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -204,29 +205,25 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 def read_documents(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """ids of the wanted documents only: ``doc_id, ids``.
 
-    Wanted ids go to the files whose id range may hold them, and only the frames
-    that hold them are decompressed.  An id that is not in the files gives no row.
+    The files' indexes are joined to the wanted ids, and only the frames that
+    hold those documents are decompressed.  An id that is not in the files gives
+    no row; one that several documents share gives a row for each.
     """
-    names = manifest.select("path")
-
-    def ranges(batches):
+    def index(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with files.random_access(path) as file:
-                    known = (r := Reader(file)).doc_ids[r.known]
-                if len(known):
-                    yield pa.RecordBatch.from_pydict({"path": [path], "low": [known[0]], "high": [known[-1]]})
-
-    held = names.mapInArrow(ranges, "path string, low long, high long")
-    asked = pick(wanted, want=id_col).where("want is not null").distinct()
-    pairs = asked.join(held, (F.col("want") >= F.col("low")) & (F.col("want") <= F.col("high")))
-
-    def fetch(key, group):
-        import pandas as pd
+                    reader = Reader(file)
+                at = np.flatnonzero(reader.known)
+                for k in range(0, len(at), 100_000):
+                    part = at[k:k + 100_000]
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(part), "n": part, "want": reader.doc_ids[part]})
 
+    def fetch(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         with files.random_access(key[0]) as file:
-            reader = Reader(file)
-            hit = np.flatnonzero(np.isin(reader.doc_ids, group["want"].to_numpy()) & reader.known)
-            return pd.DataFrame({"doc_id": reader.doc_ids[hit], "ids": [reader.document(int(k)) for k in hit]})
+            reader, own = Reader(file), sorted(group["n"])
+            return pd.DataFrame({"doc_id": reader.doc_ids[own], "ids": [reader.document(int(n)) for n in own]})
 
-    return pairs.groupBy("path").applyInPandas(fetch, "doc_id long, ids binary")
+    asked = pick(wanted, want=id_col).where("want is not null").distinct()
+    found = manifest.select("path").mapInArrow(index, "path string, n long, want long").join(asked, "want")
+    return found.groupBy("path").applyInPandas(fetch, "doc_id long, ids binary")
