@@ -20,6 +20,15 @@ def create(address: str):
     return store.open_output_stream(path, compression=None)
 
 
+def publish(written: str, address: str) -> None:
+    """Give a finished file its final name; the first of several attempts wins."""
+    (store, path), (_, source) = opened(address), opened(written)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        store.move(source, path)
+    else:
+        store.delete_file(source)
+
+
 def random_access(address: str):
     store, path = opened(address)
     return store.open_input_file(path)

@@ -16,6 +16,7 @@ that the model has not seen.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -73,9 +74,11 @@ def _to_files(rows: DataFrame, tag: str, columns: list[str]) -> str:
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         table = pa.table({c: group[c].to_numpy() for c in columns})
-        # a later attempt writes the same rows to the same place
-        with files.create(f"{folder}/{key[0]}") as out, pa.ipc.new_file(out, table.schema) as sink:
+        path = f"{folder}/{key[0]}"
+        own = f"{path}.{uuid.uuid4().hex}"  # every attempt of a task has the same rows
+        with files.create(own) as out, pa.ipc.new_file(out, table.schema) as sink:
             sink.write_table(table)
+        files.publish(own, path)
         return pd.DataFrame({"split": [key[0]]})
 
     rows.select("split", *columns).groupBy("split").applyInPandas(write, "split long").write.format("noop").mode(
