@@ -45,9 +45,9 @@ SYMBOL = 40
 #: Windows whose anchors are searched at once; bounds memory for long texts.
 BLOCK = 1 << 18
 #: Segment bytes of a bucket and of a shard; bytes of one anchor's segments from which they are cut again.
-BUCKET_BYTES = 1_500_000
+BUCKET_BYTES = 1_000_000
 SHARD_BYTES = 400_000
-HOT_BYTES = 3_000_000
+HOT_BYTES = 2_000_000
 #: Windows of the narrower segments that large groups are cut into, in turn.
 NARROW = (16, 1)
 FLUSH_ROWS = 50_000
@@ -353,21 +353,30 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     keyed = _keyed(docs, id_col, text_col)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one row for each anchor of a text, with all of its places
         for batch in batches:
-            keys, own = [], []
+            keys, names, places, sizes = [], [], [], []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("body")):
-                for found in anchors(text.as_py().encode(), length):
-                    own.append(found)
-                    keys.append((k, len(found[0])))
-            if own:
-                columns = [np.concatenate(x) for x in zip(*own)]
+                own = [np.concatenate(x) for x in zip(*anchors(text.as_py().encode(), length))]
+                order = np.argsort(own[0], kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(own[0][order]) != 0]))
+                keys += [k] * len(first)
+                names.append(own[0][order][first])
+                sizes.append(np.diff(np.append(first, len(order))))
+                places.append(np.stack(own[1:])[:, order])
+            if keys:
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k for k, n in keys for _ in range(n)], pa.binary()), pa.array(columns[0]),
-                    *(pa.array(x.astype(np.int32)) for x in columns[1:])], ["k", "anchor", "pos", "low", "high"])
+                    pa.array(keys, pa.binary()), pa.array(np.concatenate(names)),
+                    *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))
+                      for x in np.concatenate(places, axis=1))], ["k", "anchor", "pos", "low", "high"])
 
     long_enough = keyed.where(F.octet_length("body") >= length).select("k", "body")
-    placed = stored(long_enough.mapInArrow(find, "k binary, anchor long, pos int, low int, high int"), "anchors")
-    twice = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    placed = stored(long_enough.mapInArrow(
+        find, "k binary, anchor long, pos array<int>, low array<int>, high array<int>"), "anchors")
+    # a table of its own, so that the join below can be split where an anchor is hot
+    twice = stored(placed.groupBy("anchor").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("anchor"),
+                   "repeated-anchors")
     of_doc = placed.join(twice, "anchor").groupBy("k").agg(
         F.collect_list(F.struct("anchor", "pos", "low", "high")).alias("found"))
     touched = stored(long_enough.join(of_doc, "k").dropDuplicates(["k"]), "touched")
@@ -376,8 +385,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         for batch in batches:
             for k, text, found in zip(batch.column("k").to_pylist(), batch.column("body"), batch.column("found")):
                 body, rows = text.as_py().encode(), found.values
-                for anchor, pos, low, high in zip(*(rows.field(c).to_pylist() for c in ("anchor", "pos", "low", "high"))):
-                    yield k, low, (anchor, pos - low, body[low:high + length])
+                for anchor, *places in zip(*(rows.field(c).to_pylist() for c in ("anchor", "pos", "low", "high"))):
+                    for pos, low, high in zip(*places):
+                        yield k, low, (anchor, pos - low, body[low:high + length])
 
     def cut(batches):
         yield from _segment_batches(key for _, _, key in occurrences(batches))
