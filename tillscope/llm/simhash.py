@@ -29,7 +29,7 @@ from tillscope.llm.components import components
 
 SEED = 42
 #: Distinct fingerprints that a shard should hold.
-SHARD_SIZE = 100_000
+SHARD_SIZE = 25_000
 #: Most shards of a tree, and sampled fingerprints for each; this bounds what the driver gathers.
 MOST_SHARDS = 16_384
 SAMPLE_PER_SHARD = 32
