@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, id_col: s
     reached = rooted.join(classes, rooted["node"] == classes["fp"]).select("node", "root", "least")
     ids = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = cut(reached.join(ids, "root").select(F.col("node").alias("fp"), "component_id"))
-    by_class = classes.join(joined, "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    # a table of its own, so that the join below can be split where a fingerprint is hot
+    by_class = cut(classes.join(joined, "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id")))
     return own.join(by_class, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
