@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import pick
+from tillscope.llm.worker import kept
 
 #: Dimensions of a vector, letters of an n-gram, seed of the letters' vectors.
 DIMENSIONS = 512
@@ -32,20 +33,18 @@ KEPT_NGRAMS = 40_000
 GAP = 32
 UNKNOWN = "und"
 
-_letter_codes: list[np.ndarray] = []
-
-
 def _codes() -> np.ndarray:
     """For each code point: itself if it is a letter, else the gap."""
-    if not _letter_codes:
-        _letter_codes.append(np.array([c if chr(c).isalpha() else GAP for c in range(0x110000)], dtype=np.int64))
-    return _letter_codes[0]
+    own = kept("language")
+    if "codes" not in own:
+        own["codes"] = np.array([c if chr(c).isalpha() else GAP for c in range(0x110000)], dtype=np.int32)
+    return own["codes"]
 
 
 def letters(text: str) -> np.ndarray:
     """Lower-case letters of the text with one gap for each run of other characters, and at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    codes = np.concatenate([[GAP], _codes()[points], [GAP]])
+    codes = np.concatenate([[GAP], _codes()[points], [GAP]]).astype(np.int64)
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
     codes = codes[keep]
@@ -69,7 +68,7 @@ class Vectors:
         self.dimensions, self.seed = dimensions, seed
         self._letters: dict[int, np.ndarray] = {}
         self._known = np.zeros(0, np.int64)
-        self._rows = np.zeros((0, dimensions), np.float32)
+        self._rows = np.zeros((0, dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self._letters:
@@ -84,7 +83,7 @@ class Vectors:
         for place in range(NGRAM):
             codes, where = np.unique((grams >> (21 * place)) & 0x1FFFFF, return_inverse=True)
             out *= np.stack([np.roll(self.letter(int(c)), place) for c in codes])[where]
-        return out.astype(np.float32)
+        return out
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         """Vectors of sorted, distinct n-grams."""
@@ -108,13 +107,11 @@ class Vectors:
         return out
 
 
-_vectors: dict[tuple, Vectors] = {}
-
-
 def _worker_vectors(dimensions: int, seed: int) -> Vectors:
-    if (dimensions, seed) not in _vectors:
-        _vectors[dimensions, seed] = Vectors(dimensions, seed)
-    return _vectors[dimensions, seed]
+    own = kept("language")
+    if (dimensions, seed) not in own:
+        own[dimensions, seed] = Vectors(dimensions, seed)
+    return own[dimensions, seed]
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -134,7 +131,7 @@ def text_vectors(texts: list[str], vectors: Vectors) -> np.ndarray:
             grams, where = np.unique(np.concatenate(group), return_inverse=True)
             doc = np.repeat(np.arange(len(group)), [len(g) for g in group])
             counts = np.bincount(doc * len(grams) + where, minlength=len(group) * len(grams))
-            np.add.at(out, rows, counts.reshape(len(group), -1).astype(np.float32) @ vectors.of(grams))
+            np.add.at(out, rows, counts.reshape(len(group), -1).astype(np.float32) @ vectors.of(grams).astype(np.float32))
         group, rows, size = [], [], 0
 
     for n, text in enumerate(texts):

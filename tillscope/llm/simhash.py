@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tillscope.llm.common import cut, pick, stored
 from tillscope.llm.components import components
+from tillscope.llm.worker import kept
 
 SEED = 42
 #: Distinct fingerprints that a shard should hold.
@@ -70,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])

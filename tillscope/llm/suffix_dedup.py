@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import by_position, pick, stored, text_or_empty
+from tillscope.llm.worker import kept
 
 LENGTH = 400
 #: Bytes of an anchor (a power of two) and of a symbol (divides the length, a multiple of 8).
@@ -354,6 +355,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one row for each anchor of a text, with all of its places
+        kept("suffixes")
         for batch in batches:
             keys, names, places, sizes = [], [], [], []
             for k, text in zip(batch.column("k").to_pylist(), batch.column("body")):

@@ -19,6 +19,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from tillscope.llm.worker import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Split pattern of the rank files; a fixed value.
@@ -34,7 +36,6 @@ CALL_WORDS = 500
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _STEM = re.compile(r"[^\W\d_]+")
 _ODD = re.compile("[^\x00-ɏ]|[\x1c-\x1f]")
-_encoders: dict = {}
 
 
 def _packed(ids) -> bytes:
@@ -44,26 +45,31 @@ def _packed(ids) -> bytes:
 class _Known:
     """ids of the pieces met so far: two generations, so it stays bounded and keeps what recurs."""
 
-    def __init__(self, ask):
-        self.ask, self.new, self.old = ask, {}, {}
+    def __init__(self, ask, share: float = 1.0):
+        self.ask, self.share, self.new, self.old = ask, share, {}, {}
 
     def joined(self, pieces: list[str]) -> bytes:
-        if len(pieces) <= CALL_PIECES:
-            return b"".join(self.each(pieces))
-        return b"".join([b"".join(self.each(pieces[at:at + CALL_PIECES]))
-                         for at in range(0, len(pieces), CALL_PIECES)])
+        if len(pieces) > CALL_PIECES:
+            return b"".join([self.joined(pieces[at:at + CALL_PIECES]) for at in range(0, len(pieces), CALL_PIECES)])
+        got = list(map(self.new.get, pieces))
+        try:
+            return b"".join(got)
+        except TypeError:  # some piece is new
+            return b"".join(self._filled(pieces, got))
 
     def each(self, pieces: list[str]) -> list[bytes]:
-        got = list(map(self.new.get, pieces))
-        if None in got:
-            holes = [i for i, ids in enumerate(got) if ids is None]
+        return self._filled(pieces, list(map(self.new.get, pieces)))
+
+    def _filled(self, pieces: list[str], got: list[bytes | None]) -> list[bytes]:
+        holes = [i for i, ids in enumerate(got) if ids is None]
+        if holes:
             self._learn({pieces[i] for i in holes})
             for i in holes:
                 got[i] = self.new[pieces[i]]
         return got
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.new) > CACHE_ENTRIES:
+        if len(self.new) > CACHE_ENTRIES * self.share:
             self.old, self.new = self.new, {}
         missing = []
         for p in pieces:
@@ -112,18 +118,14 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        # for words already in lower case and NFC; new words are each asked for once
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.model._resize_cache(0)
-        # for words of letters only, which the split pattern leaves whole
+        # for new words of letters only, in lower case and NFC, which the split pattern leaves whole
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.model._resize_cache(0)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.stems = _Known(lambda words: _ask_words(self.letters, words))
-        self.tails = _Known(lambda words: _ask_words(self.words, words))
+        self.stems = _Known(lambda words: _ask_words(self.letters, words), share=1 / 2)
+        self.tails = _Known(lambda words: _ask_words(self.library, words), share=1 / 8)
         self.known = _Known(self._ask)
 
     def encode(self, text: str) -> bytes:
@@ -231,6 +233,7 @@ def byte_encoder(path: str) -> ByteEncoder:
 
 
 def _made(name: str, path: str, kind):
-    if (name, path) not in _encoders:
-        _encoders[name, path] = kind(path)
-    return _encoders[name, path]
+    own = kept("tokens")
+    if (name, path) not in own:
+        own[name, path] = kind(path)
+    return own[name, path]
