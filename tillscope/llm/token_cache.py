@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -113,18 +115,16 @@ class WordEncoder:
     """ids of ``word_bpe`` files: lower-cased words, white space dropped."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.model._resize_cache(0)  # this worker's dictionaries take its place
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        # for new words of letters only, in lower case and NFC, which the split pattern leaves whole
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.model._resize_cache(0)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.stems = _Known(lambda words: _ask_words(self.letters, words), share=1 / 2)
+        self.pack = _packed if sys.byteorder == "big" else (lambda ids: array("I", ids).tobytes())
+        self.spelled = {b: c for b, c in enumerate(byte_characters())}
+        self.stems = _Known(self._ask_model, share=1 / 2)
         self.tails = _Known(lambda words: _ask_words(self.library, words), share=1 / 8)
         self.known = _Known(self._ask)
 
@@ -138,6 +138,15 @@ class WordEncoder:
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         return self.known.joined(text.lower().split())
 
+    def _ask_model(self, words: list[str]) -> list[bytes]:
+        """ids of words of letters only, in lower case and NFC, which the split pattern leaves whole."""
+        ask, out = self.model.tokenize, []
+        for w in words:
+            if not w.isascii():  # the model's vocabulary has one character for each byte
+                w = w.encode().decode("latin-1").translate(self.spelled)
+            out.append(self.pack([t.id for t in ask(w)]))
+        return out
+
     def _ask(self, words: list[str]) -> list[bytes]:
         """New words: the letters that a word begins with are one piece, the rest is tokenized by itself."""
         cuts = [m.end() if (m := _STEM.match(w)) and m[0].isalpha() else 0 for w in words]
