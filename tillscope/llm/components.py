@@ -14,17 +14,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round points a node's larger neighbours, then its smaller ones, to the
     smallest neighbour.  A round is aggregations and joins on the node; rounds
     are checkpointed and grow with the logarithm of the graph's size, not with
-    its longest path.
+    its longest path.  The smallest neighbours are checkpointed too: a join of
+    two stored tables can be split where a node has very many neighbours.
     """
     links = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
         # large star: larger neighbours of u, and u's smallest neighbour or itself
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours of u (large links always point down) and u itself
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        small_least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(small_least, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
