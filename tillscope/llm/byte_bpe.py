@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import pick, text_or_empty
-from tillscope.llm.token_cache import byte_encoder
+from tillscope.llm.token_cache import byte_encoder, byte_table
 
 #: Ids or bytes of a task's output batches.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 1_000_000
 
 
 def _in_batches(items: Iterable[tuple], names: list[str], types: list, size) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     """``doc_id, ids, decoded``: the bytes that the ids stand for (null ids: empty)."""
 
     def run(batches):
-        table = byte_encoder(ranks).bytes_of
+        table = byte_table(ranks).bytes_of
 
         def rows_of():
             for batch in batches:
@@ -88,7 +88,7 @@ def decode_pieces(pieces: Iterable[Iterable[int]], ranks: str) -> Iterator[str]:
     A character whose bytes are split between two runs comes out whole with the
     run that completes it; bytes that end no character become U+FFFD.
     """
-    table, decoder = byte_encoder(ranks).bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+    table, decoder = byte_table(ranks).bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
     for ids in pieces:
         yield decoder.decode(b"".join([table[i] for i in ids]))
     if rest := decoder.decode(b"", final=True):

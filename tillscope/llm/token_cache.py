@@ -191,7 +191,26 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return pairs
 
 
-class ByteEncoder:
+class ByteTable:
+    """Bytes and lengths of the tokens of a rank file, by id."""
+
+    def __init__(self, path: str):
+        self.ranks = read_ranks(path)
+        size = max(self.ranks.values()) + 1
+        self.lengths, self.bytes_of = np.zeros(size, dtype=np.int64), [b""] * size
+        for token, rank in self.ranks.items():
+            self.lengths[rank], self.bytes_of[rank] = len(token), token
+
+    def offsets(self, ids: bytes) -> np.ndarray:
+        """Byte offset of each id's first byte in the encoded text, and the end."""
+        return np.concatenate([[0], np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])])
+
+    def decode(self, ids: bytes) -> bytes:
+        table = self.bytes_of
+        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+class ByteEncoder(ByteTable):
     """ids of a rank file through the tokenizers library, and back.
 
     The library's vocabulary is made of characters: each byte is written as
@@ -203,19 +222,15 @@ class ByteEncoder:
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
-        ranks, letters = read_ranks(path), byte_characters()
+        super().__init__(path)
+        letters = byte_characters()
         spell = lambda b: "".join(letters[x] for x in b)
-        self.library = Tokenizer(BPE(vocab={spell(t): r for t, r in ranks.items()},
-                                     merges=[(spell(a), spell(b)) for a, b in merges_of(ranks)]))
+        self.library = Tokenizer(BPE(vocab={spell(t): r for t, r in self.ranks.items()},
+                                     merges=[(spell(a), spell(b)) for a, b in merges_of(self.ranks)]))
         self.library.pre_tokenizer = Sequence([Split(Regex(pattern), "isolated"),
                                                ByteLevel(add_prefix_space=False, use_regex=False)])
         self.split = regex.compile(pattern)
-        self.known = _Known(lambda pieces: _ask_pieces(self.library, pieces))
-        size = max(ranks.values()) + 1
-        self.lengths = np.zeros(size, dtype=np.int64)
-        self.bytes_of = [b""] * size
-        for token, rank in ranks.items():
-            self.lengths[rank], self.bytes_of[rank] = len(token), token
+        self.known = _Known(lambda pieces: _ask_pieces(self.library, pieces), share=1 / 4)
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
@@ -223,14 +238,6 @@ class ByteEncoder:
             return _packed(self.library.encode(text, add_special_tokens=False).ids)
         return self.known.joined(self.split.findall(text))
 
-    def offsets(self, ids: bytes) -> np.ndarray:
-        """Byte offset of each id's first byte in the encoded text, and the end."""
-        return np.concatenate([[0], np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])])
-
-    def decode(self, ids: bytes) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
 
 def word_encoder(path: str) -> WordEncoder:
     """The worker's encoder for that file; made once in each Python worker."""
@@ -241,6 +248,10 @@ def byte_encoder(path: str) -> ByteEncoder:
     return _made("byte", path, ByteEncoder)
 
 
+def byte_table(path: str) -> ByteTable:
+    return _made("table", path, ByteTable)
+
+
 def _made(name: str, path: str, kind):
     own = kept("tokens")
     if (name, path) not in own:
