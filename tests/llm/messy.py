@@ -2,6 +2,8 @@
 
 import random
 
+from tillscope.llm.common import ship_package
+
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars", "TEXT", "Doc_ID", "k"]
 
 
@@ -24,6 +26,7 @@ def texts() -> list[str | None]:
 
 def documents(spark, rows=None):
     """Documents with clashing extra columns; ids may repeat or be null."""
+    ship_package(spark)
     if rows is None:
         rows = [(i, t) for i, t in enumerate(texts())] + [(5, "other text of five"), (None, "no id here"), (None, "one"),
                                                           (3, "one"), (-7, words(60, 10))]

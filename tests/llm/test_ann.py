@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 
 from tillscope.llm import ann, queries
+from tillscope.llm.common import ship_package
 
 NAMES = ["vec_id", "embedding", "label", "VEC_ID", "v"]
 
 
 def table(spark, rows):
+    ship_package(spark)
     return spark.createDataFrame([(i, v, 0, 1, "x") for i, v in rows],
                                  "a long, b array<float>, c int, d long, e string").toDF(*NAMES)
 
@@ -49,6 +51,7 @@ def test_recall_of_the_query(spark, sf, least):
 
 
 def test_recall_at_a_larger_size_over_shards(spark):
+    ship_package(spark)
     d = "/root/testdata/check_s"
     vectors = spark.read.parquet(f"{d}/embeddings.parquet")
     asked = vectors.where("vec_id % 500 = 0")

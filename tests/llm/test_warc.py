@@ -7,12 +7,14 @@ import hashlib
 import pytest
 
 from tillscope.llm import files, warc
+from tillscope.llm.common import ship_package
 
 DATE = "2024-01-01T00:00:00Z"
 NAMES = ["page_id", "url", "html", "URL", "path"]
 
 
 def pages(spark, rows):
+    ship_package(spark)
     return spark.createDataFrame([(*r, "clash", "p") for r in rows],
                                  "a long, b string, c string, d string, e string").toDF(*NAMES)
 
