@@ -7,7 +7,9 @@ descending a tree is a binary search for longer and longer prefixes.  A query
 starts at the longest prefixes and ascends all trees together, one bit a step,
 until the runs hold enough candidates; those are compared by exact cosine.
 
-Rows are dealt to shards, each with its own forest; the stated queries meet
+A vector that many rows share is indexed once, with its smallest ids beside it,
+so copies neither fill a query's candidates nor gather in one shard.  Vectors
+are dealt to shards, each with its own forest; the stated queries meet
 the shards in blocks, and each pair of block and shard returns its nearest
 rows for each query only.
 """
@@ -27,10 +29,10 @@ SEED = 77
 #: Trees of a forest and bits of a hash string.
 TREES = 96
 BITS = 32
-#: A query's candidates in a shard, repeats among the trees included, as a share of its rows, and at least.
+#: A query's candidates in a shard, each counted once, as a share of its distinct vectors, and at least.
 CANDIDATE_SHARE = 0.4
 LEAST_CANDIDATES = 2_000
-#: Rows of a shard and queries of a block.
+#: Distinct vectors of a shard and queries of a block.
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 4_096
 #: Queries searched at a time, which bounds a task's matrices.
@@ -61,7 +63,6 @@ class Forest:
         strings, n = self.strings(queries), len(self.unit)
         low = np.zeros((self.bits + 1, len(queries), self.trees), np.int32)
         high = np.full((self.bits + 1, len(queries), self.trees), n, np.int32)
-        depth = self.bits
         for t in range(self.trees):
             for x in range(1, self.bits + 1):  # descend by one bit
                 rest = np.uint64(self.bits - x)
@@ -70,10 +71,14 @@ class Forest:
                 high[x, :, t] = np.searchsorted(self.sorted[t], first | ((np.uint64(1) << rest) - np.uint64(1)), "right")
         found = (high - low).sum(axis=2, dtype=np.int64)
         for q in range(len(queries)):
-            depth = max((x for x in range(self.bits + 1) if found[x, q] >= wanted), default=0)  # ascend
-            mask = np.zeros(n, bool)
-            for t in range(self.trees):
-                mask[self.order[t][low[depth, q, t]:high[depth, q, t]]] = True
+            depth = max((x for x in range(self.bits + 1) if found[x, q] >= wanted), default=0)
+            while True:  # ascend; a row found by several trees counts once
+                mask = np.zeros(n, bool)
+                for t in range(self.trees):
+                    mask[self.order[t][low[depth, q, t]:high[depth, q, t]]] = True
+                if not depth or np.count_nonzero(mask) >= wanted:
+                    break
+                depth -= 1
             yield mask
 
 
@@ -89,6 +94,14 @@ def cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", rows, rows)) * np.sqrt(np.einsum("j,j->", query, query)))
 
 
+def shortlist(rough: np.ndarray, ids: list[np.ndarray], least: int) -> np.ndarray:
+    """Positions of the best rough scores that hold ``least`` distinct ids, or of all; what ties with the last is in."""
+    order, upto = np.argsort(-rough, kind="stable"), least
+    while upto < len(order) and len(np.unique(np.concatenate([ids[i] for i in order[:upto]]))) < least:
+        upto *= 2
+    return order if upto >= len(order) else np.flatnonzero(rough >= rough[order[upto - 1]] - 1e-9)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
             vector_col: str = "embedding", trees: int = TREES, share: float = CANDIDATE_SHARE) -> DataFrame:
     """The ``k`` nearest rows found for each query: ``query_id, rank, vec_id, score``.
@@ -107,20 +120,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     def clean(df: DataFrame) -> DataFrame:
         own = pick(df, vec_id=id_col, v=vector_col).select(
             F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
-        return own.where(usable("v") & F.col("vec_id").isNotNull()).withColumn("dims", F.size("v"))
+        return own.where(usable("v") & F.col("vec_id").isNotNull()).groupBy("vec_id", "v").agg(F.size("v").alias("dims"))
 
-    rows, asked = clean(vectors), clean(queries)
+    # of equal vectors the k + 1 smallest ids are enough: one may be the query's own, and ties go to the smaller
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    rows = clean(vectors).withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v", "dims").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = clean(queries)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    spot = lambda n, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(n)).cast("int")
-    dealt = rows.withColumn("shard", spot(shards, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    posed = asked.withColumn("block", spot(blocks, 2)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    spot = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    dealt = rows.withColumn("shard", spot(shards, "v", F.lit(1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    posed = asked.withColumn("block", spot(blocks, "vec_id", "v", F.lit(2))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(key: tuple, own: pd.DataFrame, posed: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
         if len(own) and len(posed):
-            own = own.sort_values("vec_id")
-            ids, matrix = own["vec_id"].to_numpy(), np.stack(own["v"].to_numpy())
+            ids, matrix = own["ids"].to_list(), np.stack(own["v"].to_numpy())
             # scaled by the largest component first, so that no square overflows or vanishes
             unit = matrix / np.abs(matrix).max(axis=1, keepdims=True)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
@@ -131,13 +147,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 asking = np.stack(part["v"].to_numpy())
                 scaled = asking / np.abs(asking).max(axis=1, keepdims=True)
                 for query_id, vector, mask in zip(part["vec_id"].to_numpy(), scaled, forest.candidates(scaled, wanted)):
-                    hit = np.flatnonzero(mask & (ids != query_id))
-                    if len(hit) > 4 * k:  # a plain product orders them; the best few are scored exactly
-                        rough = unit[hit] @ (vector / np.linalg.norm(vector))
-                        edge = np.partition(rough, len(rough) - 2 * k)[len(rough) - 2 * k]
-                        hit = hit[rough >= edge - 1e-9]
+                    hit = np.flatnonzero(mask)
+                    # a plain product orders them; the best few, one id more for the query's own, are scored exactly
+                    rough = unit[hit] @ (vector / np.linalg.norm(vector))
+                    hit = hit[shortlist(rough, [ids[i] for i in hit], 2 * k + 1)]
                     score = cosine(vector, matrix[hit] / np.abs(matrix[hit]).max(axis=1, keepdims=True))
-                    best = pd.DataFrame({"query_id": query_id, "vec_id": ids[hit], "score": score})
+                    held = [ids[i] for i in hit]
+                    best = pd.DataFrame({"query_id": query_id, "vec_id": np.concatenate(held),
+                                         "score": np.repeat(score, [len(x) for x in held])})
+                    best = best[best["vec_id"] != query_id]
                     best = best.sort_values(["score", "vec_id"], ascending=[False, True]).drop_duplicates("vec_id")
                     out.append(best.head(k))
         return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
