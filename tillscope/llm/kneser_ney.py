@@ -6,10 +6,10 @@ counts of counts, and the probability of a character is interpolated down to a
 uniform one.
 
 The counts stay in Spark tables, sharded by run.  Texts never cross the
-network: each file split of the documents asks for its distinct runs only, the
-count tables of all orders are joined to the distinct runs of the whole table,
-and each split gets the probabilities of its own runs back as one file in the
-shared folder, against which its texts are scored.  A document is kept if its
+network: each split of the documents (so many rows of a file) asks for its
+distinct runs only, the count tables of all orders are joined to the distinct
+runs of the whole table, and each split gets the probabilities of its own runs
+back as one file in the shared folder, against which its texts are scored.  A document is kept if its
 perplexity is not above the quantile of its language among trusted documents
 that the model has not seen.
 """
@@ -39,6 +39,8 @@ QUANTILE = 0.995
 #: Characters worked on at once, and runs gathered before they are merged.
 BLOCK = 1 << 20
 GATHERED = 6_000_000
+#: Rows of a file that make a split.
+SPLIT_ROWS = 8_192
 
 
 def symbols(text: str) -> np.ndarray:
@@ -64,8 +66,12 @@ def text_runs(text: str | None) -> Iterator[np.ndarray]:
 
 
 def split_key() -> Column:
-    """The file split that a scanned row comes from; the same in every scan of the same files."""
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    """A scanned row's split, by its file and place there.
+
+    It does not depend on how Spark cuts the files into tasks, which follows
+    the cores registered at planning time; so it is the same in every scan.
+    """
+    return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SPLIT_ROWS))
 
 
 def _to_files(rows: DataFrame, tag: str, columns: list[str]) -> str:
@@ -87,12 +93,9 @@ def _to_files(rows: DataFrame, tag: str, columns: list[str]) -> str:
 
 
 def _from_file(folder: str, split: int, columns: list[str]) -> list[np.ndarray]:
-    """Arrays of the split's file; empty ones if it has none."""
-    try:
-        with files.random_access(f"{folder}/{split}") as f:
-            table = pa.ipc.open_file(f).read_all()
-    except FileNotFoundError:
-        return [np.zeros(0) for _ in columns]
+    """Arrays of the split's file; every split has one, so a missing file raises."""
+    with files.random_access(f"{folder}/{split}") as f:
+        table = pa.ipc.open_file(f).read_all()
     return [table[c].to_numpy() for c in columns]
 
 
@@ -104,7 +107,10 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def runs_by_split(rows: DataFrame, trusted_folder: str) -> DataFrame:
-    """``split, run, n``: each split's distinct runs, and how often its trusted texts have them."""
+    """``split, run, n``: each split's distinct runs, and how often its trusted texts have them.
+
+    Tasks that share a split each give its runs, with their own counts.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, current, trusted, size, fresh = [], [], None, None, 0, []
@@ -138,7 +144,8 @@ def runs_by_split(rows: DataFrame, trusted_folder: str) -> DataFrame:
                                         batch.column("text")):
                 if split != current:
                     yield from flush()
-                    current, trusted = split, set(_from_file(trusted_folder, split, ["doc_id"])[0].tolist())
+                    ids, learn = _from_file(trusted_folder, split, ["doc_id", "learn"])
+                    current, trusted = split, set(ids[learn].tolist())
                 for runs in text_runs(text.as_py()):
                     fresh.append((runs, doc in trusted))
                     size += len(runs)
@@ -263,10 +270,12 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
         F.col("lang").cast("string").alias("lang"))
     if not plain_scan:
         table = stored(table, "documents")
-    rows = table.withColumn("split", split_key())
+    rows = table.select("*", split_key().alias("split"))
     ids = pick(trusted, doc_id=id_col).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    learn = rows.select("doc_id", "split").join(ids.where(~_held_out()), "doc_id", "left_semi")
-    asked = stored(runs_by_split(rows, _to_files(learn, "trusted", ["doc_id"])), "runs")
+    learn = rows.select("doc_id", "split").join(ids.where(~_held_out()), "doc_id", "left_semi").withColumn("learn", F.lit(True))
+    # a row for every split, so that one without trusted documents has its file too
+    every = rows.select("split").distinct().select(F.lit(0).cast("long").alias("doc_id"), "split", F.lit(False).alias("learn"))
+    asked = stored(runs_by_split(rows, _to_files(learn.unionByName(every), "trusted", ["doc_id", "learn"])), "runs")
     counts = stored(asked.groupBy("run").agg(F.sum("n").alias("n")), "run-counts")
     answers = asked.select("split", "run").join(log_probabilities(counts), "run")
     scored = stored(perplexities(rows, _to_files(answers, "answers", ["run", "logp"])), "perplexities")
