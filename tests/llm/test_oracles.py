@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     r = compare(spark, con, name, DIR, queries.QUERIES[name], queries.ORACLE_SQL[name])
     assert r["columns_match"] and r["values_match"] and r["spark_rows"] == r["oracle_rows"], r
@@ -20,4 +20,4 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
