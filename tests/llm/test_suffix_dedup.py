@@ -14,14 +14,14 @@ from tillscope.llm import suffix_dedup as S
 LENGTH = S.LENGTH
 
 
-def gone(bodies):
-    seen = collections.Counter(b[i:i + LENGTH] for b in bodies for i in range(len(b) - LENGTH + 1))
+def gone(bodies, length=LENGTH):
+    seen = collections.Counter(b[i:i + length] for b in bodies for i in range(len(b) - length + 1))
     out = []
     for b in bodies:
         flags = np.zeros(len(b), bool)
-        for i in range(len(b) - LENGTH + 1):
-            if seen[b[i:i + LENGTH]] > 1:
-                flags[i:i + LENGTH] = True
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                flags[i:i + length] = True
         out.append(flags)
     return out
 
@@ -93,6 +93,37 @@ def test_texts_without_repeats_keep_all_columns(spark):
     assert texts == {1: "é own ", 2: "ü", None: None, 4: "own"}
 
 
+def test_rows_that_repeat_id_and_text_are_searched_once(spark):
+    hot = messy.words(260, 5)
+    rows = [(7, hot)] * 3000 + [(None, hot)] * 40 + [(1, "own " + messy.words(90, 1)), (2, messy.words(300, 2))]
+    rows += [(3, "left " + hot[:900])]
+    docs = messy.documents(spark, rows)
+    once = S._once(S._keyed(docs, "doc_id", "text")).collect()
+    assert sorted(r.n for r in once) == [1, 1, 1, 40, 3000]
+    out = collections.Counter(tuple(r) for r in S.remove_repeats(docs).collect())
+    lost = {(r[0], r[1], r[2]) for r in out}
+    size = len(hot)
+    assert (7, size, size) in lost and (None, size, size) in lost and (2, len(rows[-2][1]), 0) in lost
+    assert sum(n for r, n in out.items() if r[0] == 7) == 3000 and (3, 905, 900) in lost
+
+
+@pytest.mark.parametrize("length", [40, 240, 320])
+def test_other_lengths(spark, length):
+    rows = list(enumerate(corpus(5, 20))) + [(900, "short"), (901, None)]
+    want = []
+    for (d, t), flags in zip(rows, gone([(t or "").encode() for _, t in rows], length)):
+        left = bytes(b for b, f in zip((t or "").encode(), flags) if not f).decode("utf-8", "ignore")
+        want.append((d, left if flags.any() else t))
+    out = S.without_repeats(messy.documents(spark, rows), length=length)
+    assert sorted(((r[0], r[1]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_lengths_that_symbols_do_not_fill_are_refused(spark):
+    for call in (S.without_repeats, S.remove_repeats):
+        with pytest.raises(ValueError):
+            call(messy.documents(spark), length=250)
+
+
 def in_memory(texts, shard_bytes, narrow=None):
     bodies, counts, places = [t.encode() for t in texts], collections.Counter(), []
     for d, b in enumerate(bodies):

@@ -3,8 +3,8 @@
 A byte goes if a string of ``length`` bytes that covers it also starts at any
 other place, in the same or another document.
 
-1.  Every window of ``length`` bytes has an anchor: the ``ANCHOR``-byte string
-    in it with the least hash, the first of equals.  Equal windows have equal
+1.  Every window of ``length`` bytes has an anchor: of the strings of
+    ``anchor_bytes`` in it, the one with the least hash, the first of equals.  Equal windows have equal
     anchors at equal places, so the windows can be dealt by anchor.  An anchor
     that occurs once has no repeated window; all others are candidates.
 2.  The consecutive windows of one anchor occurrence make a segment.  Equal
@@ -40,8 +40,7 @@ from tillscope.llm.common import by_position, pick, stored, text_or_empty
 from tillscope.llm.worker import kept
 
 LENGTH = 400
-#: Bytes of an anchor (a power of two) and of a symbol (divides the length, a multiple of 8).
-ANCHOR = 128
+#: Bytes of a symbol (divides the length, a multiple of 8).
 SYMBOL = 40
 #: Windows whose anchors are searched at once; bounds memory for long texts.
 BLOCK = 1 << 18
@@ -58,8 +57,14 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 _PLACE = np.uint64((1 << 20) - 1)
 
 
-def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+def anchor_bytes(length: int) -> int:
+    """Bytes of an anchor: the largest power of two up to a third of the length (128 of 400, 64 of 240)."""
+    return 1 << (length // 3).bit_length() - 1
+
+
+def anchors(text: bytes, length: int = LENGTH, anchor: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """``(hash, position, first window, last window)`` arrays of the text's runs of windows with one anchor."""
+    anchor = anchor or anchor_bytes(length)
     for at in range(0, len(text) - length + 1, BLOCK):
         yield tuple(x if n == 0 else x + at for n, x in enumerate(
             _anchors(text[at:at + BLOCK + length - 1], length, anchor)))
@@ -255,8 +260,8 @@ def _narrower(anchor: int, left: int, content: bytes, width: int, length: int) -
 _SEGMENT = "anchor long, seg binary, left int, content binary, n long"
 
 
-def _segment_batches(rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Equal segments counted within the task, in batches."""
+def _segment_batches(rows: Iterable[tuple[tuple[int, int, bytes], int]]) -> Iterator[pa.RecordBatch]:
+    """Equal segments counted within the task, in batches; a row is a segment and how often it counts."""
     counts: dict[tuple, int] = {}
     held = 0
 
@@ -268,11 +273,11 @@ def _segment_batches(rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.Reco
             pa.array([c for _, _, c in counts], pa.binary()),
             pa.array(counts.values(), pa.int64())], ["anchor", "seg", "left", "content", "n"])
 
-    for key in rows:
+    for key, n in rows:
         if key in counts:
-            counts[key] += 1
+            counts[key] += n
         else:
-            counts[key] = 1
+            counts[key] = n
             held += len(key[2]) + 200
         if held >= 48 << 20:
             yield batch()
@@ -324,9 +329,7 @@ def _search(segments: DataFrame, length: int, hot_bytes: int, widths: tuple[int,
 
     def narrow(batches):
         for anchor, left, content, n, _ in cuts(batches):
-            own = [(a, x, c) for a, x, _, c in _narrower(anchor, left, content, width, length)]
-            for batch in _segment_batches(own):
-                yield batch.set_column(4, "n", pa.array([n] * batch.num_rows, pa.int64()))
+            yield from _segment_batches(((a, x, c), n) for a, x, _, c in _narrower(anchor, left, content, width, length))
 
     def parts(batches):
         for anchor, left, content, _, seg in cuts(batches):
@@ -351,48 +354,51 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     ``k`` is ``row_key`` of the document, ``spans`` the removed byte ranges
     (begin, end), ``kept`` the remaining bytes (``as_text`` makes text of them).
     """
-    keyed = _keyed(docs, id_col, text_col)
+    if length % SYMBOL or length < SYMBOL:
+        raise ValueError(f"length is a multiple of {SYMBOL}")
+    long_enough = _once(_keyed(docs, id_col, text_col).where(F.octet_length("body") >= length).select("k", "body"))
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one row for each anchor of a text, with all of its places
         kept("suffixes")
         for batch in batches:
-            keys, names, places, sizes = [], [], [], []
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("body")):
+            keys, copies, names, places, sizes = [], [], [], [], []
+            for k, n, text in zip(batch.column("k").to_pylist(), batch.column("n").to_pylist(), batch.column("body")):
                 own = [np.concatenate(x) for x in zip(*anchors(text.as_py().encode(), length))]
                 order = np.argsort(own[0], kind="stable")
                 first = np.flatnonzero(np.concatenate([[True], np.diff(own[0][order]) != 0]))
                 keys += [k] * len(first)
+                copies += [n] * len(first)
                 names.append(own[0][order][first])
                 sizes.append(np.diff(np.append(first, len(order))))
                 places.append(np.stack(own[1:])[:, order])
             if keys:
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys, pa.binary()), pa.array(np.concatenate(names)),
+                    pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), pa.array(np.concatenate(names)),
                     *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))
-                      for x in np.concatenate(places, axis=1))], ["k", "anchor", "pos", "low", "high"])
+                      for x in np.concatenate(places, axis=1))], ["k", "n", "anchor", "pos", "low", "high"])
 
-    long_enough = keyed.where(F.octet_length("body") >= length).select("k", "body")
     placed = stored(long_enough.mapInArrow(
-        find, "k binary, anchor long, pos array<int>, low array<int>, high array<int>"), "anchors")
+        find, "k binary, n long, anchor long, pos array<int>, low array<int>, high array<int>"), "anchors")
     # a table of its own, so that the join below can be split where an anchor is hot
-    twice = stored(placed.groupBy("anchor").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("anchor"),
-                   "repeated-anchors")
+    twice = stored(placed.groupBy("anchor").agg(F.sum(F.size("pos") * F.col("n")).alias("n")).where("n > 1").select(
+        "anchor"), "repeated-anchors")
     of_doc = placed.join(twice, "anchor").groupBy("k").agg(
         F.collect_list(F.struct("anchor", "pos", "low", "high")).alias("found"))
-    touched = stored(long_enough.join(of_doc, "k").dropDuplicates(["k"]), "touched")
+    touched = stored(long_enough.join(of_doc, "k"), "touched")
 
     def occurrences(batches):
         for batch in batches:
-            for k, text, found in zip(batch.column("k").to_pylist(), batch.column("body"), batch.column("found")):
+            for k, n, text, found in zip(*(batch.column(c).to_pylist() for c in ("k", "n")), batch.column("body"),
+                                         batch.column("found")):
                 body, rows = text.as_py().encode(), found.values
                 for anchor, *places in zip(*(rows.field(c).to_pylist() for c in ("anchor", "pos", "low", "high"))):
                     for pos, low, high in zip(*places):
-                        yield k, low, (anchor, pos - low, body[low:high + length])
+                        yield k, low, (anchor, pos - low, body[low:high + length]), n
 
     def cut(batches):
-        yield from _segment_batches(key for _, _, key in occurrences(batches))
+        yield from _segment_batches((key, n) for _, _, key, n in occurrences(batches))
 
     def place(batches):
         rows = []
@@ -400,7 +406,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
         of = lambda r: pa.RecordBatch.from_arrays([
             pa.array([x[0] for x in r], pa.binary()), pa.array([x[1] for x in r], pa.binary()),
             pa.array([x[2] for x in r], pa.int32())], names)
-        for k, low, key in occurrences(batches):
+        for k, low, key, _ in occurrences(batches):
             rows.append((segment_key(*key), k, low))
             if len(rows) >= FLUSH_ROWS:
                 yield of(rows)
@@ -452,6 +458,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pick(docs, id=id_col, text=text_col).select("id", text_or_empty().alias("body")).withColumn("k", row_key())
 
 
+def _once(keyed: DataFrame) -> DataFrame:
+    """One row for each ``k`` with the count ``n`` of its rows.
+
+    Only the keys are grouped; texts move only where a key occurs twice or
+    more, and each task passes one copy on.
+    """
+    again = stored(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-rows")
+    if again.isEmpty():
+        return keyed.withColumn("n", F.lit(1).cast("long"))
+    alone = keyed.join(again, "k", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    copies = keyed.join(again.select("k"), "k", "left_semi").groupBy("k").agg(F.first("body").alias("body"))
+    return stored(alone.select("k", "body", "n").unionByName(copies.join(again, "k")), "distinct-rows")
+
+
 def as_text(kept: Column) -> Column:
     """Text of remaining bytes; what a cut has left of a character is dropped."""
 
@@ -467,6 +487,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     """``docs``, all of its columns, with the repeated bytes gone from the texts.
 
     Rows stay even if nothing is left of their text; a row that loses nothing is as it was.
+    Nulls, short and long texts, ties, repeated rows and empty tables are as in ``remove_repeats``.
     """
     names, plain = docs.columns, by_position(docs)
     at, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
@@ -484,10 +505,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     * rows that repeat a text of ``length`` bytes or more (with the same or
       another id, or a null one) lose all of it, each of them;
     * spans are of bytes and may cut a character; overlapping strings count;
+    * texts of any length are taken whole (their anchors are found in blocks);
     * an empty table gives an empty result; other columns are ignored.
     """
-    if length % SYMBOL:
-        raise ValueError(f"length is a multiple of {SYMBOL}")
     every = _keyed(docs, id_col, text_col).select(
         "id", "k", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("own_sha"))
     changed = repeats(docs, length, id_col, text_col, hot_bytes).select(
