@@ -5,7 +5,9 @@ the last return the columns of documents.  ``run`` writes each stage's result
 to the shared folder and reads it again.
 
 Both dedup stages keep one row of each group, whether ids are unique, repeated
-or null.
+or null.  In every stage an empty table gives an empty result, texts of any
+length are taken whole, and other columns, also of clashing names, go along
+unread.
 """
 
 from __future__ import annotations
@@ -16,25 +18,28 @@ from pyspark.sql import functions as F
 from tillscope.llm import exact_dedup, language_id, packing, queries, simhash, suffix_dedup
 from tillscope.llm.common import by_position, ship_package, stored, table, text_or_empty
 
-#: Documents whose best cosine is lower are rejected besides those of no language.
-LEAST_SCORE = 0.0
+#: Bytes from which a repeated string is cut: some 40 words of this corpus, so that passages of over 50 words
+#: that repeat go whole.  Longer than its boilerplate lines, which stay.
+REPEAT_BYTES = 240
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is found."""
+    """Rejects documents in which no language is found: null texts and texts without a letter.
+
+    All others stay, each row of repeated ones too: a low cosine is no proof against a document.
+    """
     ship_package(spark)
     names, plain = docs.columns, by_position(docs)
     own_id, text, lang = (f"c{names.index(c)}" for c in ("doc_id", "text", "lang"))
     model = language_id.train(plain.where(~language_id.held_out(own_id)), own_id, text, lang)
     found = plain.withColumn("found", language_id.language_of(F.col(text).cast("string"), model))
-    kept = found.where((F.col("found.lang_pred") != language_id.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE))
-    return kept.drop("found").toDF(*names)
+    return found.where(F.col("found.lang_pred") != language_id.UNKNOWN).drop("found").toDF(*names)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row stays: that of the largest doc_id, a null one only where the class has no other.
 
-    The rows' other columns go through the grouping with their text, which
+    A null text equals an empty one.  The rows' other columns go through the grouping with their text, which
     each map task sends once; so no row has to be found again by its id.
     """
     ship_package(spark)
@@ -52,6 +57,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints, one row stays: that of the smallest doc_id, a null one only if all are null.
 
+    Null and empty texts have fingerprint zero and are linked like any other.
     Rows are told apart by a number of their own; the numbered table is stored,
     so that a row has the same number in every scan.
     """
@@ -66,10 +72,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the bytes of 400-byte strings that start at several places; ``n_chars`` follows the text."""
+    """Removes the bytes of strings of ``REPEAT_BYTES`` that start at several places; ``n_chars`` follows the text.
+
+    Every row stays, null texts and shorter ones as they are.
+    """
     ship_package(spark)
     names = docs.columns
-    cut = suffix_dedup.without_repeats(docs, length=400)
+    cut = suffix_dedup.without_repeats(docs, length=REPEAT_BYTES)
     if "n_chars" not in names:
         return cut
     plain, size, text = by_position(cut), f"c{names.index('n_chars')}", f"c{names.index('text')}"
@@ -78,7 +87,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
+    """Pieces of all documents in sequences of at most 2048 ids; a null or empty text is its end id alone."""
     ship_package(spark)
     return packing.pack(docs, queries.WORDS, length=2048, end_id=1)
 
