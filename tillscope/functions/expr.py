@@ -98,17 +98,20 @@ def county_from_city(c="CITY") -> Column:
     )
 
 
-def census_cell(c) -> Column:
+def _no_value(c: str) -> str:
+    texts = ", ".join(f"'{x}'" for x in S.CENSUS_EMPTY_CELLS)
+    return f"(`{c}` IS NULL OR `{c}` IN ({texts}))"
+
+
+def census_cell(c: str) -> Column:
     """Census response text → number; null and no-value texts read as 0.0.
 
     Any other text that is not a number gives null, which marks the whole
     county as failed (see ``cell_ok``).
     """
-    c = _col(c)
-    return F.when(c.isNull() | c.isin(*S.CENSUS_EMPTY_CELLS), F.lit(0.0)).otherwise(c.try_cast("double"))
+    return F.expr(f"CASE WHEN {_no_value(c)} THEN 0.0D ELSE try_cast(`{c}` AS DOUBLE) END")
 
 
-def cell_ok(c) -> Column:
+def cell_ok(c: str) -> Column:
     """True when ``census_cell(c)`` is a number."""
-    c = _col(c)
-    return c.isNull() | c.isin(*S.CENSUS_EMPTY_CELLS) | c.try_cast("double").isNotNull()
+    return F.expr(f"{_no_value(c)} OR try_cast(`{c}` AS DOUBLE) IS NOT NULL")

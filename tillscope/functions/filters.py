@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions.expr import money
+from tillscope.plans.joins import fits
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -79,20 +80,24 @@ def date_between(date_range: tuple | None, column: str = "date") -> Transform:
 def exclude_stores_by_name(stores: DataFrame, names: Sequence[str] | None) -> Transform:
     """Resolve store names to ids on the store table, anti-join them.
 
-    One plan, no job while it is built: if no id was found, nothing is
-    excluded, null ids included (an empty ``~is_in``, N6); otherwise a null
-    ``STORE_ID`` is dropped as ``~is_in`` drops it (N7).
+    If no id was found, nothing is excluded, null ids included (an empty
+    ``~is_in``, N6); otherwise a null ``STORE_ID`` is dropped as ``~is_in`` drops
+    it (N7): every id found brings a null along, and nulls match nulls.  The
+    ids are part of the store table, so they are broadcast when that is under
+    the limit (its measured size, whatever the names); beyond it, Spark
+    chooses the join.
     """
     if not names:
         return _identity
-    excluded = (
-        stores.where(F.col("STORE_NAME").isin(list(names)))
-        .select(F.col("STORE_ID").cast("string").alias("STORE_ID"))
-        .where(F.col("STORE_ID").isNotNull())
-        .distinct()
-    )
-    found = excluded.agg(F.count(F.lit(1))).scalar()
-    return lambda df: df.join(excluded, "STORE_ID", "left_anti").where(F.col("STORE_ID").isNotNull() | (found == 0))
+    ids = stores.select(F.col("STORE_ID").cast("string").alias("_excluded"), "STORE_NAME")
+    excluded = ids.where(F.col("STORE_NAME").isin(list(names)) & F.col("_excluded").isNotNull()).select(
+        F.explode(F.array("_excluded", F.lit(None).cast("string"))).alias("_excluded"))
+    excluded = F.broadcast(excluded) if fits(ids) else excluded.distinct()
+
+    def apply(df: DataFrame) -> DataFrame:
+        return df.join(excluded, df["STORE_ID"].eqNullSafe(excluded["_excluded"]), "left_anti")
+
+    return apply
 
 
 def exclude_store_names(names: Sequence[str] | None) -> Transform:

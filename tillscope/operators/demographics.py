@@ -58,20 +58,18 @@ def census_profiles(locations: DataFrame, census: DataFrame) -> DataFrame:
         F.lit(True).alias("_found"),
     )
     joined = locations.join(cen, ["state", "county"], "left")
-    ok = F.coalesce(F.col("_found"), F.lit(False)) & F.coalesce(F.col("_complete"), F.lit(False))
+    ok = F.expr("coalesce(_found, false) AND coalesce(_complete, false)")
     for code in S.CENSUS_CODES:
         ok = ok & cell_ok(code)
-    return joined.select(
-        "Store",
-        "STORE_ID",
-        "CITY",
-        "state",
-        "county",
+    store = ["Store", "STORE_ID", "CITY", "state", "county"]
+    return joined.select(*store, *S.CENSUS_CODES, ok.alias("census_ok")).select(
+        *store,
         *[
-            F.when(ok, census_cell(code)).otherwise(F.lit(S.CENSUS_DEFAULTS[S.CENSUS_LABELS[code]])).alias(code)
+            F.when(F.col("census_ok"), census_cell(code))
+            .otherwise(F.lit(S.CENSUS_DEFAULTS[S.CENSUS_LABELS[code]])).alias(code)
             for code in S.CENSUS_CODES
         ],
-        ok.alias("census_ok"),
+        "census_ok",
     )
 
 

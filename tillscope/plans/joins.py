@@ -4,8 +4,8 @@ Spark's own planner guesses a dimension's size from file sizes and, for a
 derived dimension, multiplies the sizes of its inputs, so a small derived
 table can miss the broadcast and cost a full shuffle of the fact side.
 ``checked_broadcast`` and ``prepare_dimension`` measure the dimension
-instead: one aggregate job counts its rows and adds up the bytes of its
-strings.  Under the limit the side is broadcast; over it the join is left to
+instead (``plans.measure``): its rows and the bytes of its strings, once for
+each version of its files.  Under the limit the side is broadcast; over it the join is left to
 Spark, which sort-merge joins it with AQE skew handling.
 ``prepare_dimension`` also folds repeated dimension rows into a copy count,
 so a group of copies cannot multiply rows inside the join.
@@ -13,62 +13,48 @@ so a group of copies cannot multiply rows inside the join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tillscope.plans.measure import measure
 
 # Default limit on the in-memory size of a broadcast side; a session can
 # set ``spark.tillscope.broadcastMaxBytes`` to change it.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 CONF_KEY = "spark.tillscope.broadcastMaxBytes"
 
-_WIDTH = {
-    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
-    T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
-    T.DecimalType: 16,
-}
-# hash-relation and row-header overhead per broadcast row, as a factor
-_OVERHEAD = 2
-
-
-def measured_bytes(schema: T.StructType) -> Column:
-    """Aggregate: bytes of all rows of ``schema``; strings and binaries by their real length."""
-    fixed, total = 8, F.lit(0)
-    for f in schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            fixed += 8
-            total = total + F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0))
-        elif type(f.dataType) in _WIDTH:
-            fixed += _WIDTH[type(f.dataType)]
-        else:  # arrays, maps, structs: by the length of their JSON text
-            total = total + F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))), F.lit(0))
-    return (total + F.count(F.lit(1)) * fixed) * _OVERHEAD
-
 
 def broadcast_limit(df: DataFrame) -> int:
     value = df.sparkSession.conf.get(CONF_KEY, None)
     return int(value) if value else BROADCAST_MAX_BYTES
 
 
+def fits(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether the frame's measured size is under the limit for broadcasts."""
+    return measure(df).bytes <= (max_bytes if max_bytes is not None else broadcast_limit(df))
+
+
 def checked_broadcast(dim: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``broadcast(dim)`` when its measured size is under the limit, else ``dim`` unchanged."""
-    limit = max_bytes if max_bytes is not None else broadcast_limit(dim)
-    size = dim.agg(measured_bytes(dim.schema).alias("bytes")).first()["bytes"]
-    return F.broadcast(dim) if size <= limit else dim
+    return F.broadcast(dim) if fits(dim, max_bytes) else dim
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key``; keys of different types are compared as text."""
-    if left.schema[key].dataType == right.schema[key].dataType:
-        return left.join(right, key, "left")
-    text = right.withColumn("_key_text", F.col(key).cast("string")).drop(key)
-    return left.join(text, left[key].cast("string") == text["_key_text"], "left").drop("_key_text")
+def left_join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Left join on ``keys``; keys of different types are compared as text."""
+    text = {k: f"_text_{k}" for k in keys if left.schema[k].dataType != right.schema[k].dataType}
+    if not text:
+        return left.join(right, list(keys), "left")
+    for k, name in text.items():
+        right = right.withColumn(name, F.col(k).cast("string")).drop(k)
+        left = left.withColumn(name, F.col(k).cast("string"))
+    return left.join(right, [text.get(k, k) for k in keys], "left").drop(*text.values())
 
 
 def prepare_dimension(dim: DataFrame, key: str, copies_col: str, check: bool = True) -> tuple[DataFrame, bool]:
     """Ready a dimension for a left join on ``key``: collapse copies, size the broadcast.
 
-    One aggregate job measures the rows and whether ``key`` is unique.  A
+    Size and uniqueness of ``key`` are measured once for each version of the
+    dimension's files.  A
     dimension with repeated keys is reduced to one row per distinct row with
     its count in ``copies_col`` (the join's fan-out then travels as a weight
     instead of repeated rows, like the payment weight), and the side is
@@ -81,11 +67,6 @@ def prepare_dimension(dim: DataFrame, key: str, copies_col: str, check: bool = T
 
     if not check:
         return collapse(dim), True
-    stats = dim.agg(
-        measured_bytes(dim.schema).alias("bytes"),
-        F.count(F.col(key)).alias("keyed"),
-        F.count_distinct(F.col(key)).alias("keys"),
-    ).first()
-    out, added = (collapse(dim), True) if stats["keyed"] != stats["keys"] else (dim, False)
-    fits = stats["bytes"] <= broadcast_limit(dim)
-    return (F.broadcast(out) if fits else out), added
+    found = measure(dim, key)
+    out, added = (collapse(dim), True) if found.keyed != found.keys else (dim, False)
+    return (F.broadcast(out) if found.bytes <= broadcast_limit(dim) else out), added
