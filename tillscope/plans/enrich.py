@@ -25,12 +25,18 @@ filters into the item scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.functions import filters as flt
 from tillscope.functions.expr import WEIGHT
 from tillscope.plans.joins import left_join, prepare_dimension
+from tillscope.plans.measure import largest, measure
+from tillscope.plans.reduce import reduced
 from tillscope.sources.fixtures import RetailTables
+from tillscope.sources.readers import RetailInputs
 
 
 def _suffix_clashes(left_columns: list[str], right: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,8 +52,11 @@ def payment_weights(payments: DataFrame) -> DataFrame:
     """One row per (TRANSACTION_SET_ID, PAYMENT_TYPE) with its row count.
 
     Partial aggregation runs map-side, so a hot transaction shrinks to one
-    row per input partition before the shuffle.
+    row per input partition before the shuffle.  Payments that come as weights
+    (``sources.layout``) stay as they are.
     """
+    if WEIGHT in payments.columns:
+        return payments
     return payments.groupBy("TRANSACTION_SET_ID", "PAYMENT_TYPE").agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
@@ -86,8 +95,10 @@ def enrich_weighted(
     )
     weights += ["_catalog_copies"] if copies else []
     cat_cols = [c for c in cat.columns if c != "GTIN" and c not in weights]
-    pay = _suffix_clashes(items.columns + cat_cols, payment_weights(payments), ["TRANSACTION_SET_ID"])
-    pay_cols = [c for c in pay.columns if c not in ("TRANSACTION_SET_ID", WEIGHT)]
+    # inputs laid out by day are joined within the day
+    by_day = [DAY] if DAY in payments.columns and DAY in items.columns else []
+    pay = _suffix_clashes(items.columns + cat_cols, payment_weights(payments), ["TRANSACTION_SET_ID", *by_day])
+    pay_cols = [c for c in pay.columns if c not in ("TRANSACTION_SET_ID", WEIGHT, *by_day)]
     weights.append(WEIGHT)
     out = left_join(items, cat, "GTIN") if catalog_first else items
     # Payments grow with transactions and are never date-pruned.  The strategy
@@ -95,7 +106,7 @@ def enrich_weighted(
     # partitions are small enough for a hash table
     # (spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold) or the whole
     # side is under the broadcast threshold.
-    out = left_join(out, pay, "TRANSACTION_SET_ID")
+    out = left_join(out, pay, "TRANSACTION_SET_ID", *by_day)
     if not catalog_first:
         out = left_join(out, cat, "GTIN")
     st = stores.select(F.col("STORE_ID").cast("string").alias("STORE_ID"), "STORE_NAME", "CITY", "STATE")
@@ -108,9 +119,10 @@ def enrich_weighted(
     weight = F.lit(1).cast("long")
     for w in weights:
         weight = weight * F.coalesce(F.col(w), F.lit(1)).cast("long")
-    day = F.to_date(F.col("DATE_TIME"))
+    # the stored day prunes partitions where a date is asked for
+    day = F.nullif(F.col(DAY), no_day()) if by_day else F.to_date(F.col("DATE_TIME"))
     return out.select(
-        *items.columns,
+        *(c for c in items.columns if c not in by_day),
         *cat_cols,
         *pay_cols,
         *st_cols,
@@ -127,17 +139,57 @@ def enrich_weighted_tables(t: RetailTables, catalog_first: bool = True) -> DataF
     return enrich_weighted(t.items, t.catalog, t.payments, t.stores, catalog_first=catalog_first)
 
 
+def enrich_selected(t: RetailTables, stores: Sequence[str] | None = None, date_range: tuple | None = None,
+                    catalog_first: bool = True) -> DataFrame:
+    """``enrich_weighted_tables`` of the items of some stores and days, with only their payments.
+
+    The filters run on the items, and payments that cannot belong to one of
+    them are dropped before their shuffle (``plans.reduce``).  Inputs laid out
+    by day need no reduction: the days prune their payments.
+    """
+    items = t.items.transform(flt.keep_stores(stores))
+    if DAY in items.columns:
+        items = items.transform(flt.date_between(date_range, DAY))
+    else:
+        items = items.withColumn(DAY, F.to_date("DATE_TIME")).transform(flt.date_between(date_range, DAY)).drop(DAY)
+    payments = t.payments
+    if (stores or date_range) and DAY not in payments.columns:
+        payments = reduced(payments, "TRANSACTION_SET_ID", items)
+    return enrich_weighted(items, t.catalog, payments, t.stores, catalog_first=catalog_first)
+
+
+# Day of the items where inputs are laid out by day, and the day of those without a time (``sources.layout``).
+DAY = "item_date"
+
+
+def no_day() -> Column:
+    return F.expr("DATE'0001-01-01'")
+
+
 # Copies of a row that one step of ``expand_weight`` makes.
 COPIES = 10_000
 
 
+def has_heavy_rows(t: RetailTables) -> bool:
+    """Whether a row may have so large a weight that one task should not write all of its copies.
+
+    The largest number of payment rows of one transaction and type is measured
+    once for each version of the payments; copies in the catalog or store table
+    multiply it, so a table with repeated keys counts as heavy.
+    """
+    if largest(payment_weights(t.payments), WEIGHT) > COPIES:
+        return True
+    stores = t.stores.select("STORE_ID")
+    return any(m.keyed != m.keys for m in (measure(t.catalog, "GTIN"), measure(stores, "STORE_ID")))
+
+
 def expand_weight(weighted: DataFrame, spread: bool = False) -> DataFrame:
     """Repeat each row ``payment_weight`` times and drop the weight column.
 
     Rows are repeated in blocks of at most ``COPIES``, so no array is as long as
-    a weight.  ``spread`` deals the blocks to tasks in between, for inputs with
-    weights so large that one task should not write all copies of a row; it
-    costs a shuffle of the blocks.
+    a weight.  ``spread`` deals the blocks to tasks in between, by row and block;
+    it costs a shuffle of the blocks, so callers choose it by the measured
+    weights (``has_heavy_rows``).
     """
     cols = [c for c in weighted.columns if c != WEIGHT]
     last = F.expr(f"({WEIGHT} - 1) div {COPIES}")
@@ -150,8 +202,8 @@ def expand_weight(weighted: DataFrame, spread: bool = False) -> DataFrame:
 
 def enrich(items: DataFrame, catalog: DataFrame, payments: DataFrame, stores: DataFrame) -> DataFrame:
     """The dashboard's enriched frame, one row per item and payment row."""
-    return expand_weight(enrich_weighted(items, catalog, payments, stores))
+    return enrich_tables(RetailInputs(items, catalog, payments, stores))
 
 
 def enrich_tables(t: RetailTables) -> DataFrame:
-    return enrich(t.items, t.catalog, t.payments, t.stores)
+    return expand_weight(enrich_weighted_tables(t), spread=has_heavy_rows(t))
