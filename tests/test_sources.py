@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillscope.operators import demographics
@@ -35,12 +36,72 @@ def test_csv_to_parquet_and_sales_csv(spark, scratch):
 def test_report_csv_name_and_content(spark, scratch):
     df = spark.createDataFrame([(1, "A", "A", 1.5, 2.0)],
                                "rank int, POS_DESCRIPTION string, label string, total_sales double, total_units double")
-    path = sinks.write_top_products(df, scratch, (dt.date(2023, 1, 1), dt.date(2023, 12, 31)), single_file=True)
-    assert path.endswith("top_products_2023-01-01_2023-12-31")
+    path = sinks.write_top_products(df, scratch, (dt.date(2023, 1, 1), dt.date(2023, 12, 31)))
+    assert path.endswith("top_products_2023-01-01_2023-12-31.csv") and os.path.isfile(path)
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["POS_DESCRIPTION", "total_sales", "total_units"]
     assert back.collect()[0]["POS_DESCRIPTION"] == "A"
-    assert sinks.write_payment_summary(df, scratch).endswith("payment_comparison_summary")
+    assert sinks.write_payment_summary(df, scratch).endswith("payment_comparison_summary.csv")
+    folder = sinks.write_payment_summary(df, scratch, single_file=False)
+    assert folder.endswith("payment_comparison_summary") and os.path.isdir(folder)
+
+
+def test_a_download_is_replaced_whole_or_not_at_all(spark, scratch):
+    good = spark.range(3).select(F.lit("A").alias("payment_group"), "id")
+    path = sinks.write_payment_summary(good, scratch)
+    first = open(path).read()
+    assert first.splitlines()[0] == "payment_group,id" and len(first.splitlines()) == 4
+    broken = spark.range(3).select(F.expr("raise_error('stop')").cast("string").alias("payment_group"), "id")
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_payment_summary(broken, scratch)
+    assert open(path).read() == first
+    assert sinks.write_payment_summary(good.limit(1), "file://" + scratch) == "file://" + path
+    assert len(open(path).read().splitlines()) == 2
+    assert [f for f in os.listdir(scratch) if f.startswith("payment")] == ["payment_comparison_summary.csv"]
+
+
+def test_conversion_reads_the_input_once(spark, scratch):
+    src, out = os.path.join(scratch, "in.csv"), os.path.join(scratch, "out.parquet")
+    _write(src, "date,store,product_name,category,quantity,sales_amount,payment_type\n"
+                + "2021-07-09,Elm Street,Pear Fizz,Fizzy,4,9.20,Debit\n" * 500)
+    spark.sparkContext.setJobGroup("convert", "one write")
+    try:
+        assert sinks.csv_to_parquet(spark, src, out, schema=schemas.SALES_CSV_SCHEMA) == 500
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("convert")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    assert spark.read.parquet(out).schema == schemas.SALES_CSV_SCHEMA
+    assert sinks.csv_to_parquet(spark, src, out, infer_schema=False) == 500
+    assert {t for _, t in spark.read.parquet(out).dtypes} == {"string"}
+
+
+_FILE = ("TRANSACTION_SET_ID string, TRANSACTION_ITEM_ID {item}, GTIN {gtin}, STORE_ID {store}, DATE_TIME timestamp_ntz, "
+         "POS_DESCRIPTION string, NONSCAN_CATEGORY string, UNIT_PRICE {price}, UNIT_QUANTITY {price}{more}")
+
+
+def _item_file(spark, folder, rows, more="", **types):
+    schema = _FILE.format(more=more, **{"item": "bigint", "gtin": "bigint", "store": "string", "price": "double", **types})
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_item_files_of_different_columns_and_types(spark, scratch):
+    day, folder = dt.datetime(2024, 1, 2), os.path.join(scratch, "a")
+    _item_file(spark, folder, [("t1", 1, 12, "7", day, "P", "NONE", 1.5, 2.0)])
+    _item_file(spark, folder, [("t2", 2, 13, "8", day, "Q", "NONE", 2.5, 1.0, "x")], more=", CLERK string")
+    rows = {r.POS_DESCRIPTION: (r.GTIN, r.CLERK) for r in readers.read_transaction_items(spark, folder).collect()}
+    assert rows == {"P": (12, None), "Q": (13, "x")}
+    # codes as text in one file, as numbers in others; whole prices; numeric store ids
+    _item_file(spark, folder, [("t3", "3", "00012", 9, day, "R", "NONE", 3, 4)], item="string", gtin="string", store="int", price="int")
+    found = readers.read_transaction_items(spark, folder)
+    assert dict(found.dtypes)["GTIN"] == "string" and dict(found.dtypes)["UNIT_PRICE"] == "double"
+    rows = {r.POS_DESCRIPTION: (r.GTIN, r.STORE_ID, r.TRANSACTION_ITEM_ID, r.UNIT_PRICE, r.CLERK) for r in found.collect()}
+    assert rows == {"P": ("12", "7", "1", 1.5, None), "Q": ("13", "8", "2", 2.5, "x"), "R": ("00012", "9", "3", 3.0, None)}
+    # a mixture without a common type is an error that names it
+    _item_file(spark, folder, [("t4", 4, 14, "8", day, "S", "NONE", 2.5, 1.0, [1])], more=", EXTRA array<int>")
+    _item_file(spark, folder, [("t5", 5, 14, "8", day, "S", "NONE", 2.5, 1.0, True)], more=", EXTRA boolean")
+    with pytest.raises(schemas.SchemaError, match="EXTRA"):
+        readers.read_transaction_items(spark, folder)
 
 
 def _response(cells: dict, drop=(), short=False):

@@ -13,7 +13,6 @@ import argparse
 import sys
 
 from tillscope.plans import pages
-from tillscope.plans.reuse import can_checkpoint
 from tillscope.sources import fixtures, readers, sinks
 
 # Which table of a page is the dashboard's CSV download, and its writer.
@@ -44,7 +43,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
     ap.add_argument("--no-credit", action="store_true")
     ap.add_argument("--first")
     ap.add_argument("--second")
-    ap.add_argument("--single-file", action="store_true", help="one CSV part per report (small results only)")
+    ap.add_argument("--parts", action="store_true", help="a folder of CSV parts per report instead of one file")
     return ap.parse_args(argv)
 
 
@@ -68,14 +67,14 @@ def run(spark, args: argparse.Namespace) -> list[str]:
     elif args.page == "brands":
         page = pages.brand_page(inputs, dates, args.exclude_store, args.min_sales, args.min_transactions)
     elif args.page == "payments":
-        page = pages.payments_page(inputs, dates, args.exclude_store, not args.no_cash, not args.no_credit, shared=can_checkpoint(spark))
+        page = pages.payments_page(inputs, dates, args.exclude_store, not args.no_cash, not args.no_credit)
     else:
         page = pages.demographics_page(inputs, args.first, args.second)
     written = []
     with pages.page_session(page) as p:
         for table, writer, dated in DOWNLOADS[args.page]:
             extra = {"date_range": _named_range(p, dates)} if dated else {}
-            written.append(writer(p[table], args.out, single_file=args.single_file, **extra))
+            written.append(writer(p[table], args.out, single_file=not args.parts, **extra))
     return written
 
 

@@ -6,8 +6,13 @@ the columns and filters a later analysis needs.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
+from pyarrow import parquet as pq
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +34,70 @@ def read_payments(spark: SparkSession, path: str) -> DataFrame:
     return S.require_columns(spark.read.parquet(path), S.PAYMENT_COLUMNS, "payments")
 
 
-def read_transaction_items(spark: SparkSession, directory: str) -> DataFrame:
-    """Scan every Parquet file under ``directory`` (one logical table)."""
-    df = spark.read.option("pathGlobFilter", "*.parquet").parquet(directory)
+def read_transaction_items(spark: SparkSession, directory: str, one_schema: bool = False) -> DataFrame:
+    """Scan every Parquet file under ``directory`` (one logical table).
+
+    Files may differ: the table has the columns of all of them, null where a file
+    lacks one.  A column that has several types takes its contract's type; a key,
+    or one that some file has as text, becomes text; numbers become doubles; any
+    other mixture is an error that names the column and its types.  With
+    ``one_schema`` the caller vouches that all files are alike, and only one
+    file's schema is read.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.parquet")
+    try:
+        df = reader.option("mergeSchema", not one_schema).parquet(directory)
+    except (PySparkException, Py4JJavaError) as e:  # Spark passes this one on as the JVM raised it
+        if one_schema or "CANNOT_MERGE_SCHEMAS" not in str(e):
+            raise
+        df = _reconciled(spark, directory)
     return S.require_columns(df, S.ITEM_COLUMNS, "transaction_items")
 
 
+def _reconciled(spark: SparkSession, directory: str) -> DataFrame:
+    """The files of ``directory`` as one table, those of each schema read together."""
+    listed = spark.read.option("pathGlobFilter", "*.parquet").schema("GTIN string").parquet(directory).inputFiles()
+
+    def layout(batches):
+        for paths in batches:
+            own = []
+            for path in paths["path"]:
+                store, plain = fs.FileSystem.from_uri(path)
+                own.append(str([(f.name, str(f.type)) for f in pq.read_schema(plain, filesystem=store)]))
+            yield paths.assign(layout=own)
+
+    # the footers are read by tasks; a schema and its files come back
+    tasks = max(1, min(len(listed), 4 * spark.sparkContext.defaultParallelism))
+    files = spark.createDataFrame([(p,) for p in listed], "path string").repartition(tasks)
+    groups = files.mapInPandas(layout, "path string, layout string").groupBy("layout").agg(
+        F.sort_array(F.collect_list("path")).alias("paths")).orderBy("layout").collect()
+    frames = [spark.read.parquet(g["paths"][0]).schema for g in groups]
+    types: dict[str, set[str]] = {}
+    for schema in frames:
+        for f in schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    target = {name: _common_type(name, found) for name, found in types.items()}
+    out = None
+    for g, schema in zip(groups, frames):
+        own = spark.read.schema(schema).parquet(*g["paths"])
+        own = own.select(*(F.col(f"`{c}`").cast(target[c]).alias(c) for c in own.columns))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def _common_type(name: str, types: set[str]) -> str:
+    if len(types) == 1:
+        return next(iter(types))
+    contract = S.ITEM_COLUMNS.get(name)
+    if contract is not None:
+        return contract.simpleString()
+    if name in S.ITEM_COLUMNS or "string" in types:
+        return "string"
+    if all(re.match(r"(tinyint|smallint|int|bigint|float|double|decimal)", t) for t in types):
+        return "double"
+    raise S.SchemaError(f"transaction_items: column {name} has types {sorted(types)} in different files")
+
+
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     """Flat sales CSV with a header, read against a declared schema."""
     return spark.read.schema(S.SALES_CSV_SCHEMA).option("header", True).csv(path)
@@ -69,23 +132,14 @@ def parse_census_documents(docs: DataFrame, column: str = "value") -> DataFrame:
         F.try_element_at(doc, F.lit(2)).alias("row"),
     )
 
-    def cell(name: str):
-        pos = F.array_position(F.col("header"), name)  # 0 when absent
-        return F.when(pos > 0, F.try_element_at(F.col("row"), pos.cast("int")))
-
-    def present(name: str):
-        pos = F.coalesce(F.array_position(F.col("header"), name), F.lit(0))
-        return (pos > 0) & (pos <= F.coalesce(F.size(F.col("row")), F.lit(0)))
-
-    complete = F.lit(True)
-    for code in S.CENSUS_CODES:
-        complete = complete & present(code)
-    return parsed.select(
-        cell("state").alias("state"),
-        cell("county").alias("county"),
-        *[cell(code).alias(code) for code in S.CENSUS_CODES],
-        complete.alias("complete"),
-    )
+    def cell(name: str) -> str:  # array_position is 0 when absent
+        return f"CASE WHEN array_position(header, '{name}') > 0 THEN " \
+               f"try_element_at(row, CAST(array_position(header, '{name}') AS INT)) END AS `{name}`"
+
+    codes = ", ".join(f"'{code}'" for code in S.CENSUS_CODES)
+    complete = f"""forall(array({codes}), code -> coalesce(array_position(header, code), 0)
+                   BETWEEN 1 AND coalesce(size(row), 0)) AS complete"""
+    return parsed.selectExpr(*(cell(c) for c in ("state", "county", *S.CENSUS_CODES)), complete)
 
 
 # --- Fixed values: file layout of the dashboard's data folder -------------

@@ -1,25 +1,60 @@
 """Sinks: CSV → Parquet conversion and the dashboard's CSV downloads.
 
-Writers are distributed (one part file per task); nothing passes through
-the driver.  ``single_file=True`` coalesces to one part, meant only for the
-small, already-aggregated report tables.
+Writers are distributed; nothing passes through the driver.  A download is one
+file of the stated name: a task writes it beside its place, and it is renamed
+when it is whole, so a failed write leaves the old file.  ``single_file=False``
+writes a folder of parts instead, for results that are not small.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def csv_to_parquet(spark: SparkSession, input_path: str, output_path: str, infer_schema: bool = True) -> int:
+def csv_to_parquet(spark: SparkSession, input_path: str, output_path: str, infer_schema: bool = True,
+                   schema: T.StructType | str | None = None) -> int:
     """Read a CSV with a header, write Parquet, return the rows written.
 
-    The count is taken from the written files, so it reports what landed.
+    The count is observed while the rows are written, so the output is not read
+    again.  With ``schema`` (or ``infer_schema=False``, all columns as text) the
+    input is read once; inferring types reads it one more time.
     """
-    df = spark.read.option("header", True).option("inferSchema", infer_schema).csv(input_path)
-    df.write.mode("overwrite").parquet(output_path)
-    return spark.read.parquet(output_path).count()
+    reader = spark.read.option("header", True)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer_schema)
+    written = Observation()
+    rows = reader.csv(input_path).observe(written, F.count(F.lit(1)).alias("rows"))
+    rows.write.mode("overwrite").parquet(output_path)
+    return written.get["rows"]
+
+
+def _store(address: str) -> tuple[fs.FileSystem, str]:
+    if re.match(r"[a-z][a-z0-9+.-]*:", address):
+        return fs.FileSystem.from_uri(address)
+    return fs.LocalFileSystem(), address
+
+
+def _publish(folder: str, path: str) -> None:
+    """Give the one part file of ``folder`` its name; an older file of that name is replaced."""
+    store, staged = _store(folder)
+    _, target = _store(path)
+    parts = [f.path for f in store.get_file_info(fs.FileSelector(staged)) if re.match(r"part-.*\.csv$", f.base_name)]
+    if len(parts) != 1:
+        raise RuntimeError(f"{folder}: {len(parts)} part files where one was written")
+    if store.get_file_info(target).type == fs.FileType.Directory:
+        raise IsADirectoryError(f"{path} is a folder")
+    try:
+        store.move(parts[0], target)
+    except FileExistsError:  # stores whose rename does not replace
+        store.delete_file(target)
+        store.move(parts[0], target)
+    store.delete_dir(staged)
 
 
 def _stamp(d) -> str:
@@ -38,13 +73,20 @@ def report_name(stem: str, date_range: tuple | None = None) -> str:
 
 
 def write_report_csv(
-    df: DataFrame, out_dir: str, stem: str, date_range: tuple | None = None, single_file: bool = False
+    df: DataFrame, out_dir: str, stem: str, date_range: tuple | None = None, single_file: bool = True
 ) -> str:
-    """Write a result table as CSV with a header under ``out_dir/<report name>``; return the path."""
-    path = f"{out_dir.rstrip('/')}/{report_name(stem, date_range)}"
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
-    return path
+    """Write a result table as CSV with a header; return its path.
+
+    ``out_dir/<report name>.csv``, or the folder ``out_dir/<report name>`` with ``single_file=False``.
+    """
+    base = f"{out_dir.rstrip('/')}/{report_name(stem, date_range)}"
+    if not single_file:
+        df.write.mode("overwrite").option("header", True).csv(base)
+        return base
+    staged = f"{out_dir.rstrip('/')}/.{report_name(stem, date_range)}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).csv(staged)
+    _publish(staged, f"{base}.csv")
+    return f"{base}.csv"
 
 
 def write_top_products(df: DataFrame, out_dir: str, date_range: tuple | None = None, **kw) -> str:
