@@ -5,6 +5,11 @@ from tillscope.plans import pages
 from tillscope.sources import fixtures
 
 
+def _near(df):
+    """Rows with doubles as they are shown: sums depend on the order of their terms in the last bits."""
+    return sorted(tuple(repr(round(v, 4) if isinstance(v, float) else v) for v in r) for r in df.collect())
+
+
 def _rows(df):
     return sorted((tuple(repr(v) for v in r) for r in df.collect()))
 
@@ -53,12 +58,15 @@ def test_command_line_pages_write_downloads(spark, tmp_path):
 
     out = str(tmp_path)
     paths = run(spark, parse(["brands", "--driver-tables", SF_SMALL, "--out", out,
-                              "--from", "1996-01-01", "--to", "1999-12-31", "--single-file"]))
-    assert paths == [os.path.join(out, "beverage_brand_analysis_1996-01-01_1999-12-31")]
+                              "--from", "1996-01-01", "--to", "1999-12-31"]))
+    assert paths == [os.path.join(out, "beverage_brand_analysis_1996-01-01_1999-12-31.csv")]
+    parts = run(spark, parse(["brands", "--driver-tables", SF_SMALL, "--out", out, "--parts",
+                              "--from", "1996-01-01", "--to", "1999-12-31"]))
+    assert parts == [os.path.join(out, "beverage_brand_analysis_1996-01-01_1999-12-31")] and os.path.isdir(parts[0])
     back = spark.read.option("header", True).csv(paths[0])
     assert back.count() > 0 and "BRAND" in back.columns
     paths = run(spark, parse(["payments", "--driver-tables", SF_SMALL, "--out", out, "--no-cash"]))
-    assert [os.path.basename(p) for p in paths] == ["payment_comparison_summary", "category_breakdown"]
+    assert [os.path.basename(p) for p in paths] == ["payment_comparison_summary.csv", "category_breakdown.csv"]
     assert {r.payment_group for r in spark.read.option("header", True).csv(paths[0]).collect()} == {"CREDIT/DEBIT"}
 
 
@@ -70,7 +78,7 @@ def test_command_line_open_range_and_selected_stores(spark, tmp_path):
     out = str(tmp_path)
     (path,) = run(spark, parse(["top-products", "--driver-tables", SF_SMALL, "--out", out, "--to", "1996-12-31"]))
     low = fixtures.load(spark, SF_SMALL).items.selectExpr("min(to_date(DATE_TIME))").first()[0]
-    assert os.path.basename(path) == f"top_products_{low}_1996-12-31"
+    assert os.path.basename(path) == f"top_products_{low}_1996-12-31.csv"
     assert spark.read.option("header", True).csv(path).columns == ["POS_DESCRIPTION", "total_sales", "total_units"]
     (path,) = run(spark, parse(["demographics", "--driver-tables", SF_SMALL, "--out", out,
                                 "--first", "Supplier#000000003", "--second", "Supplier#000000001"]))
@@ -84,9 +92,17 @@ def test_single_store_page_and_shared_payment_rows(spark):
     assert "delta" not in page and page["single_store"].count() == 14
     first = page["selected"].first().Store
     assert page["selected"].count() == 14 and first not in {r.Store for r in page["compare_options"].collect()}
-    plain, shared = pages.payments_page(t), pages.payments_page(t, shared=True)
-    assert all(_rows(plain[k]) == _rows(shared[k]) for k in plain)
-    assert "FileScan" not in shared["weekly"]._jdf.queryExecution().executedPlan().toString()
+    plain = pages.payments_page(t, shared=False)
+    with pages.page_session(pages.payments_page(t)) as shared:
+        assert shared.keys() == plain.keys()
+        for k in plain:
+            assert shared[k].columns == plain[k].columns, k
+            assert _near(shared[k]) == _near(plain[k]), k
+        # every table reads the kept aggregate: the payments are joined once
+        for k in set(plain) - {"date_bounds", "store_names"}:
+            assert "InMemoryTableScan" in shared[k]._jdf.queryExecution().executedPlan().toString(), k
+        assert shared.kept.is_cached
+    assert not shared.kept.is_cached
 
 
 def test_frame_reuse_is_per_session(spark):

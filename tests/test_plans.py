@@ -50,14 +50,46 @@ def test_trends_scan_the_items_once(spark):
 
 
 def test_plans_are_built_without_jobs(spark):
-    reports.q_enriched(spark, SF_SMALL)  # the dimensions are measured once
+    """Of every query but the one that lands files, once the tables' version has been measured."""
+    from tillscope.plans import measure, reuse
+
+    names = [n for n in reports.QUERIES if n != "landed_weekly_sales"]
+    for n in names:
+        reports.QUERIES[n](spark, SF_SMALL)
     tracker = spark.sparkContext.statusTracker()
-    for query in (reports.q_demographic_pivot, reports.q_weekly_sales_page, reports.q_store_exclusion_by_name):
-        query(spark, SF_SMALL)
-        spark.sparkContext.setJobGroup("built", "plan only")
-        query(spark, SF_SMALL)
-        assert not tracker.getJobIdsForGroup("built")
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # with the process's measurements, then with the ones kept beside the checkpoints
+    for again in ("memory", "folder"):
+        if again == "folder":
+            measure.forget()
+        for n in names:
+            reuse.clear()
+            spark.sparkContext.setJobGroup(f"built-{again}-{n}", "plan only")
+            reports.QUERIES[n](spark, SF_SMALL)
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            assert not tracker.getJobIdsForGroup(f"built-{again}-{n}"), n
+
+
+def test_a_changed_file_is_measured_again(spark, scratch):
+    from tillscope.plans import measure
+
+    path = os.path.join(scratch, "dim.parquet")
+    spark.range(10).select(F.col("id").alias("k")).write.parquet(path)
+    assert measure.measure(spark.read.parquet(path), "k") == measure.measure(spark.read.parquet(path), "k")
+    assert measure.measure(spark.read.parquet(path), "k").keys == 10
+    spark.range(30).select((F.col("id") % 20).alias("k")).write.mode("overwrite").parquet(path)
+    found = measure.measure(spark.read.parquet(path), "k")
+    assert (found.keyed, found.keys) == (30, 20)
+    other = measure.measure(spark.read.parquet(path).where("k < 5"), "k")  # another frame of the same files
+    assert other.keys == 5
+    assert measure.largest(spark.read.parquet(path), "k") == 19
+
+
+def test_excluded_stores_do_not_shuffle_the_items(spark):
+    df = reports.q_weekly_sales_page(spark, SF_SMALL)
+    plan = _plan(df)
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan.split("LeftAnti")[0]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(STORE_ID" in x or "Exchange hashpartitioning(coalesce(STORE" in x]
+    assert plan.count("Exchange hashpartitioning") <= 3, plan
 
 
 def test_a_wide_text_column_counts_in_a_broadcast_side(spark):

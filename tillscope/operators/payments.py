@@ -14,13 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import filters as flt
-from tillscope.functions.expr import WEIGHT, distinct_with_null, money, payment_category, payment_group, week_label, wmean, wsum
+from tillscope.functions.expr import distinct_with_null, money, payment_category, payment_group, week_label, wmean, wsum
 
 GROUPS = ["CASH", "CREDIT/DEBIT"]
 DAILY_TARGET = 5000.0
-# What the page's tables read of its rows.
-PAGE_COLUMNS = ["payment_group", "year", "week", "date", "POS_DESCRIPTION", "CATEGORY", "TRANSACTION_ITEM_ID",
-                "total_sales", "UNIT_QUANTITY", WEIGHT]
 
 
 def payment_rows(
@@ -139,6 +136,10 @@ def top_products_by_group(rows: DataFrame, k: int = 10) -> DataFrame:
             wsum("total_sales").alias("total_sales"),
         )
     )
+    return _top_products(agg, k)
+
+
+def _top_products(agg: DataFrame, k: int) -> DataFrame:
     return _top_per_group(
         agg, [F.col("purchase_count").desc_nulls_first(), F.col("POS_DESCRIPTION").asc_nulls_first()], k
     )
@@ -156,6 +157,10 @@ def product_detail(rows: DataFrame, k: int = 20) -> DataFrame:
             distinct_with_null("TRANSACTION_ITEM_ID").alias("transactions"),
         )
     )
+    return _best_selling(agg, k)
+
+
+def _best_selling(agg: DataFrame, k: int) -> DataFrame:
     return _top_per_group(
         agg, [money("total_sales").desc_nulls_first(), F.col("POS_DESCRIPTION").asc_nulls_first()], k
     )
@@ -164,14 +169,20 @@ def product_detail(rows: DataFrame, k: int = 20) -> DataFrame:
 def weekly_by_group(rows: DataFrame, daily_target: float = DAILY_TARGET) -> DataFrame:
     """A8 + P8 + P18: (year, week, group) → weekly_sales, transaction_count,
     week_label and the weekly target (7 × daily target)."""
-    return (
+    return _weekly(
         _in_groups(rows)
         .groupBy("year", "week", "payment_group")
         .agg(
             wsum("total_sales").alias("weekly_sales"),
             distinct_with_null("TRANSACTION_ITEM_ID").alias("transaction_count"),
-        )
-        .withColumn("week_label", week_label())
+        ),
+        daily_target,
+    )
+
+
+def _weekly(agg: DataFrame, daily_target: float) -> DataFrame:
+    return (
+        agg.withColumn("week_label", week_label())
         .withColumn("weekly_target", F.lit(daily_target) * 7)
         .orderBy("year", "week", "payment_group")
     )
@@ -181,6 +192,10 @@ def daily_max(rows: DataFrame) -> DataFrame:
     """M3: highest (date, group) sales sum; one row with the input bound
     (the max, or 10000 when there is none or it is zero)."""
     daily = rows.groupBy("date", "payment_group").agg(wsum("total_sales").alias("s"))
+    return _daily_max(daily)
+
+
+def _daily_max(daily: DataFrame) -> DataFrame:
     mx = daily.agg(F.max("s").alias("max_daily_sales"))
     has = F.col("max_daily_sales").isNotNull() & (F.col("max_daily_sales") != 0)
     return mx.select(
@@ -190,21 +205,76 @@ def daily_max(rows: DataFrame) -> DataFrame:
 
 def category_breakdown(rows: DataFrame) -> DataFrame:
     """A9 + T6: (group, category) → total_sales, transactions; group asc, sales desc."""
-    return (
+    return _by_sales(
         _in_groups(rows)
         .groupBy("payment_group", "CATEGORY")
         .agg(
             wsum("total_sales").alias("total_sales"),
             distinct_with_null("TRANSACTION_ITEM_ID").alias("transactions"),
         )
-        .orderBy(
-            F.col("payment_group").asc_nulls_first(),
-            money("total_sales").desc_nulls_first(),
-            F.col("CATEGORY").asc_nulls_first(),
-        )
     )
 
 
+def _by_sales(agg: DataFrame) -> DataFrame:
+    return agg.orderBy(
+        F.col("payment_group").asc_nulls_first(),
+        money("total_sales").desc_nulls_first(),
+        F.col("CATEGORY").asc_nulls_first(),
+    )
+
+
+# Groupings of the page's tables, besides the payment group.
+CUBE_SETS = {"group": (), "product": ("POS_DESCRIPTION",), "category": ("CATEGORY",), "week": ("year", "week"), "day": ("date",)}
+_CUBE_KEYS = ["payment_group", "POS_DESCRIPTION", "CATEGORY", "year", "week", "date"]
+
+
+def page_cube(rows: DataFrame) -> DataFrame:
+    """All aggregates of page 3 from one pass over its rows, by GROUPING SETS.
+
+    Columns: the keys (null where a set lacks them), ``part`` (a name of
+    ``CUBE_SETS``), sums, means and the exact distinct count of item ids.  One
+    distinct column keeps Spark on partial aggregation by keys, set and id, so
+    a hot group is spread before the final shuffle.
+    """
+    sets = [["payment_group", *more] for more in CUBE_SETS.values()]
+    # grouping_id has a bit for each key that a set lacks, the first key's the highest
+    ids = [sum(1 << (len(_CUBE_KEYS) - 1 - i) for i, k in enumerate(_CUBE_KEYS) if k not in keys) for keys in sets]
+    cube = rows.groupingSets(sets, *_CUBE_KEYS).agg(
+        F.grouping_id(*_CUBE_KEYS).alias("_id"),
+        distinct_with_null("TRANSACTION_ITEM_ID").alias("transactions"),
+        wsum("total_sales").alias("total_sales"), wmean("total_sales").alias("avg_transaction"),
+        wsum("UNIT_QUANTITY").alias("units"), wmean("UNIT_QUANTITY").alias("avg_items"),
+    )
+    part = F.create_map(*(F.lit(x) for name, i in zip(CUBE_SETS, ids) for x in (i, name)))
+    return cube.withColumn("part", part[F.col("_id").cast("int")]).drop("_id")
+
+
+def cube_tables(cube: DataFrame, top: int = 10, detail: int = 20, daily_target: float = DAILY_TARGET) -> dict[str, DataFrame]:
+    """Page 3's tables from its cube; rows and columns are those of the functions above."""
+    def part(name: str) -> DataFrame:
+        return cube.where(F.col("part") == name)
+
+    group, product = _in_groups(part("group")), _in_groups(part("product"))
+    comparison = group.select(
+        "payment_group", F.col("transactions").alias("transaction_count"), "total_sales", "avg_transaction",
+        F.col("units").alias("total_items"), F.col("avg_items").alias("avg_items_per_transaction")).orderBy("payment_group")
+    return {
+        "comparison": comparison,
+        "deltas": payment_deltas(comparison),
+        "share": payment_share(comparison),
+        "top_products": _top_products(product.select(
+            "payment_group", "POS_DESCRIPTION", F.col("transactions").alias("purchase_count"), "total_sales"), top),
+        "weekly": _weekly(_in_groups(part("week")).select(
+            "year", "week", "payment_group", F.col("total_sales").alias("weekly_sales"),
+            F.col("transactions").alias("transaction_count")), daily_target),
+        "daily_max": _daily_max(part("day").select(F.col("total_sales").alias("s"))),
+        "category_breakdown": _by_sales(_in_groups(part("category")).select(
+            "payment_group", "CATEGORY", "total_sales", "transactions")),
+        "product_detail": _best_selling(product.select(
+            "payment_group", "POS_DESCRIPTION", "total_sales", F.col("units").alias("units_sold"), "transactions"), detail),
+    }
+
+
 def group_summary(rows: DataFrame, group: str) -> DataFrame:
     """one group's row of the comparison table."""
     return payment_comparison(rows).where(F.col("payment_group") == group)

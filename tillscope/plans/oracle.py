@@ -443,5 +443,7 @@ FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY payment_grou
 FROM page3 WHERE payment_group IN ('CASH', 'CREDIT/DEBIT') GROUP BY year, week, payment_group"""
     q["store_names_ordered"] = _with() + """SELECT STORE_NAME, row_number() OVER (ORDER BY STORE_NAME ASC NULLS FIRST) AS place
 FROM (SELECT DISTINCT STORE_NAME FROM enriched) n"""
+    q["store_compare_options_ordered"] = _with(*demo) + """SELECT Store, row_number() OVER (ORDER BY Store) AS place FROM locations
+WHERE Store <> (SELECT Store FROM pair WHERE position = 1)"""
     q["landed_weekly_sales"] = q["weekly_sales"]
     return {name: _settled(sql) for name, sql in q.items()}

@@ -22,7 +22,12 @@ from pyspark.sql import DataFrame
 
 from tillscope.operators import brands, demographics, payments, products, stores
 from tillscope.plans.enrich import enrich_weighted_tables
-from tillscope.plans.reuse import checkpointed
+
+class Page(dict):
+    """A page's tables by name; ``kept`` is an aggregate that was marked to be kept for them."""
+
+    kept: DataFrame | None = None
+
 
 class RetailTables(Protocol):
     """The inputs a page reads: ``sources.readers.load_retail`` for a data
@@ -89,21 +94,26 @@ def payments_page(
     excluded_store_names: Sequence[str] | None = None,
     cash: bool = True,
     credit: bool = True,
-    shared: bool = False,
+    shared: bool = True,
 ) -> dict[str, DataFrame]:
     """Page 3 (§3.3): comparison, deltas, shares, top products, weekly, daily max, breakdown.
 
-    ``shared`` checkpoints the joined rows, pruned to the page's columns, so that
-    a caller who reads all tables runs the payment join once.
+    The eight tables come from one aggregation over the joined rows
+    (``payments.page_cube``), which is kept in memory or on disk once the first
+    table is read: the payment join runs once for the page.  ``page_session``
+    lets it go.  With ``shared=False`` each table is a plan of its own, for a
+    caller who reads one.
     """
     e = enrich_weighted_tables(t, catalog_first=False)
     rows = payments.page_rows(e, date_range, excluded_store_names, cash, credit)
-    if shared:  # eight tables read the joined rows: join once, keep only what they use
-        rows = checkpointed(rows.select(*payments.PAGE_COLUMNS))
+    page = Page(date_bounds=stores.item_date_bounds(t.items, fuel_code_filter=False),
+                store_names=stores.store_names(t.items, t.stores))
+    if shared:
+        page.kept = payments.page_cube(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        page.update(payments.cube_tables(page.kept))
+        return page
     cmp_ = payments.payment_comparison(rows)
-    return {
-        "date_bounds": stores.item_date_bounds(t.items, fuel_code_filter=False),
-        "store_names": stores.store_names(t.items, t.stores),
+    page.update({
         "comparison": cmp_,
         "deltas": payments.payment_deltas(cmp_),
         "share": payments.payment_share(cmp_),
@@ -112,7 +122,8 @@ def payments_page(
         "daily_max": payments.daily_max(rows),
         "category_breakdown": payments.category_breakdown(rows),
         "product_detail": payments.product_detail(rows, 20),
-    }
+    })
+    return page
 
 
 def demographics_page(
@@ -171,5 +182,6 @@ def page_session(
     try:
         yield page
     finally:
-        if cached is not None:
-            cached.unpersist()
+        for frame in (cached, getattr(page, "kept", None)):
+            if frame is not None:
+                frame.unpersist()

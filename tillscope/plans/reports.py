@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillscope.functions.expr import settled
+from tillscope.functions.expr import money, settled
 from tillscope.operators import brands, demographics, payments, products, stores
-from tillscope.plans.enrich import enrich_weighted_tables, expand_weight
+from tillscope.plans.enrich import enrich_selected, enrich_weighted_tables, expand_weight, has_heavy_rows
+from tillscope.plans.order import numbered
 from tillscope.plans.reuse import frames_for, landing_folder
 from tillscope.sources import fixtures, readers
 
@@ -63,8 +64,8 @@ def _base(spark: SparkSession, sf_dir: str, catalog_first: bool = False):
 
 
 def q_enriched(spark, sf_dir):
-    _, e = _base(spark, sf_dir)
-    return _finish(expand_weight(e))
+    t, e = _base(spark, sf_dir)
+    return _finish(expand_weight(e, has_heavy_rows(t)))
 
 
 def q_weekly_sales(spark, sf_dir):
@@ -202,8 +203,8 @@ def q_store_exclusion_by_name(spark, sf_dir):
 
 
 def q_payment_rows(spark, sf_dir):
-    _, e = _base(spark, sf_dir)
-    return _finish(expand_weight(payments.payment_rows(e)))
+    t, e = _base(spark, sf_dir)
+    return _finish(expand_weight(payments.payment_rows(e), has_heavy_rows(t)))
 
 
 def q_payment_deltas(spark, sf_dir):
@@ -236,34 +237,39 @@ def q_category_breakdown(spark, sf_dir):
     return _finish(payments.category_breakdown(_pay_rows(spark, sf_dir)), money=_PAY_MONEY)
 
 
-def _demo(spark, sf_dir):
+def _locations(spark, sf_dir):
     def build():
         t = _tables(spark, sf_dir)
-        loc = demographics.store_locations(t.items, t.stores)
-        prof = demographics.census_profiles(loc, t.census)
-        return loc, prof, demographics.demographics_long(prof)
+        return demographics.store_locations(t.items, t.stores)
+
+    return frames_for(spark, f"locations:{sf_dir}", build)
 
-    return frames_for(spark, f"demographics:{sf_dir}", build)
+
+def _profiles(spark, sf_dir):
+    return frames_for(spark, f"profiles:{sf_dir}", lambda: demographics.census_profiles(
+        _locations(spark, sf_dir), _tables(spark, sf_dir).census))
+
+
+def _long(spark, sf_dir):
+    return frames_for(spark, f"long:{sf_dir}", lambda: demographics.demographics_long(_profiles(spark, sf_dir)))
 
 
 def q_store_locations(spark, sf_dir):
-    loc, _, _ = _demo(spark, sf_dir)
-    return loc
+    return _locations(spark, sf_dir)
 
 
 def q_store_demographics(spark, sf_dir):
-    _, _, long = _demo(spark, sf_dir)
-    return _finish(long, ratio=("Value",))
+    return _finish(_long(spark, sf_dir), ratio=("Value",))
 
 
 def q_demographic_pivot(spark, sf_dir):
-    loc, _, long = _demo(spark, sf_dir)
+    loc, long = _locations(spark, sf_dir), _long(spark, sf_dir)
     piv = demographics.demographic_pivot(long, demographics.default_pair(loc), PIVOT_STORES)
     return _finish(piv, ratio=tuple(PIVOT_STORES))
 
 
 def q_demographic_delta(spark, sf_dir):
-    loc, _, long = _demo(spark, sf_dir)
+    loc, long = _locations(spark, sf_dir), _long(spark, sf_dir)
     return _finish(
         demographics.demographic_delta(long, demographics.default_pair(loc)),
         ratio=("first_value", "second_value", "delta"),
@@ -271,31 +277,29 @@ def q_demographic_delta(spark, sf_dir):
 
 
 def q_demographic_normalised(spark, sf_dir):
-    loc, _, long = _demo(spark, sf_dir)
+    loc, long = _locations(spark, sf_dir), _long(spark, sf_dir)
     return _finish(
         demographics.demographic_normalised(long, demographics.default_pair(loc)), ratio=("Value", "normalised")
     )
 
 
 def q_demographic_family_share(spark, sf_dir):
-    _, _, long = _demo(spark, sf_dir)
-    return _finish(demographics.family_share(long), ratio=("Value",), share=("share",))
+    return _finish(demographics.family_share(_long(spark, sf_dir)), ratio=("Value",), share=("share",))
 
 
 def q_demographic_single_store(spark, sf_dir):
-    loc, _, long = _demo(spark, sf_dir)
+    loc, long = _locations(spark, sf_dir), _long(spark, sf_dir)
     return _finish(demographics.first_store_rows(long, demographics.default_pair(loc)), ratio=("Value",))
 
 
 def q_store_compare_options(spark, sf_dir):
-    loc, _, _ = _demo(spark, sf_dir)
+    loc = _locations(spark, sf_dir)
     return demographics.compare_options(loc, demographics.default_pair(loc))
 
 
 def q_store_profile(spark, sf_dir):
-    _, prof, _ = _demo(spark, sf_dir)
     return _finish(
-        demographics.store_profile(prof), ratio=("population", "median_age", "median_income")
+        demographics.store_profile(_profiles(spark, sf_dir)), ratio=("population", "median_age", "median_income")
     )
 
 
@@ -305,18 +309,19 @@ DATES = ("1996-03-04", "1999-08-29")
 
 
 def q_weekly_sales_filtered(spark, sf_dir):
-    _, e = _base(spark, sf_dir, catalog_first=True)
-    return _finish(products.weekly_sales(e, True, KEPT_STORES, DATES), money=("weekly_sales", "units_sold"))
+    e = enrich_selected(_tables(spark, sf_dir), KEPT_STORES, DATES)
+    return _finish(products.weekly_sales(e), money=("weekly_sales", "units_sold"))
 
 
 def q_beverage_brands_filtered(spark, sf_dir):
-    _, e = _base(spark, sf_dir, catalog_first=True)
-    return _finish(brands.beverage_brands(e, KEPT_STORES, DATES), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
+    e = enrich_selected(_tables(spark, sf_dir), KEPT_STORES, DATES)
+    return _finish(brands.beverage_brands(e), money=_BRAND_MONEY, ratio=_BRAND_RATIO)
 
 
 def q_payment_rows_filtered(spark, sf_dir):
-    _, e = _base(spark, sf_dir)
-    return _finish(expand_weight(payments.payment_rows(e, KEPT_STORES, DATES)))
+    t = _tables(spark, sf_dir)
+    e = enrich_selected(t, KEPT_STORES, DATES, catalog_first=False)
+    return _finish(expand_weight(payments.payment_rows(e), has_heavy_rows(t)))
 
 
 def q_payment_comparison_neither(spark, sf_dir):
@@ -348,33 +353,28 @@ def q_store_locations_shared_names(spark, sf_dir):
 
 
 def q_store_demographics_default(spark, sf_dir):
-    loc, _, _ = _demo(spark, sf_dir)
-    profiles = demographics.census_profiles(loc, fixtures.census(spark, sf_dir, bad_county="019"))
+    profiles = demographics.census_profiles(_locations(spark, sf_dir), fixtures.census(spark, sf_dir, bad_county="019"))
     return _finish(demographics.demographics_long(profiles), ratio=("Value",))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """The sorted table with each row's place in it.
-
-    Ids that rise from task to task and within each follow the operator's own
-    order; the window turns them into 1, 2, ... over a small aggregated table.
-    """
-    placed = df.withColumn("_id", F.monotonically_increasing_id())
-    return placed.withColumn("place", F.row_number().over(Window.orderBy("_id")).cast("bigint")).drop("_id")
-
-
 def q_category_breakdown_ordered(spark, sf_dir):
     rows = payments.category_breakdown(_pay_rows(spark, sf_dir))
-    return _numbered(rows).select("place", "payment_group", "CATEGORY")
+    return numbered(rows, [F.col("payment_group"), -money("total_sales"), F.col("CATEGORY")]).select(
+        "place", "payment_group", "CATEGORY")
 
 
 def q_payment_weekly_ordered(spark, sf_dir):
     rows = payments.weekly_by_group(_pay_rows(spark, sf_dir))
-    return _numbered(rows).select("place", "week_label", "payment_group")
+    return numbered(rows, [F.col("year"), F.col("week"), F.col("payment_group")]).select(
+        "place", "week_label", "payment_group")
 
 
 def q_store_names_ordered(spark, sf_dir):
-    return _numbered(q_store_names(spark, sf_dir))
+    return numbered(q_store_names(spark, sf_dir), [F.col("STORE_NAME")])
+
+
+def q_store_compare_options_ordered(spark, sf_dir):
+    return numbered(q_store_compare_options(spark, sf_dir), [F.col("Store")])
 
 
 def q_landed_weekly_sales(spark, sf_dir):
@@ -443,5 +443,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_breakdown_ordered": q_category_breakdown_ordered,
     "payment_weekly_ordered": q_payment_weekly_ordered,
     "store_names_ordered": q_store_names_ordered,
+    "store_compare_options_ordered": q_store_compare_options_ordered,
     "landed_weekly_sales": q_landed_weekly_sales,
 }
