@@ -51,6 +51,8 @@ HOT_BYTES = 2_000_000
 #: Windows of the narrower segments that large groups are cut into, in turn.
 NARROW = (16, 1)
 FLUSH_ROWS = 50_000
+#: Bytes of an anchor's place: its position, its first and its last window.
+PLACE_BYTES = 12
 
 _BYTE_HASH = np.random.default_rng(400).integers(1, 2**64, 256, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -371,21 +373,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 copies += [n] * len(first)
                 names.append(own[0][order][first])
                 sizes.append(np.diff(np.append(first, len(order))))
-                places.append(np.stack(own[1:])[:, order])
+                places.append(np.stack(own[1:], axis=1).astype("<i4")[order])
             if keys:
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * PLACE_BYTES
+                packed = pa.Array.from_buffers(pa.binary(), len(keys), [
+                    None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(places).tobytes())])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), pa.array(np.concatenate(names)),
-                    *(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))
-                      for x in np.concatenate(places, axis=1))], ["k", "n", "anchor", "pos", "low", "high"])
+                    pa.array(keys, pa.binary()), pa.array(copies, pa.int64()), pa.array(np.concatenate(names)), packed],
+                    ["k", "n", "anchor", "places"])
 
-    placed = stored(long_enough.mapInArrow(
-        find, "k binary, n long, anchor long, pos array<int>, low array<int>, high array<int>"), "anchors")
+    placed = stored(long_enough.mapInArrow(find, "k binary, n long, anchor long, places binary"), "anchors")
     # a table of its own, so that the join below can be split where an anchor is hot
-    twice = stored(placed.groupBy("anchor").agg(F.sum(F.size("pos") * F.col("n")).alias("n")).where("n > 1").select(
-        "anchor"), "repeated-anchors")
+    twice = stored(placed.groupBy("anchor").agg(F.sum(F.octet_length("places") * F.col("n")).alias("n")).where(
+        F.col("n") > PLACE_BYTES).select("anchor"), "repeated-anchors")
     of_doc = placed.join(twice, "anchor").groupBy("k").agg(
-        F.collect_list(F.struct("anchor", "pos", "low", "high")).alias("found"))
+        F.collect_list(F.struct("anchor", "places")).alias("found"))
     touched = stored(long_enough.join(of_doc, "k"), "touched")
 
     def occurrences(batches):
@@ -393,8 +395,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             for k, n, text, found in zip(*(batch.column(c).to_pylist() for c in ("k", "n")), batch.column("body"),
                                          batch.column("found")):
                 body, rows = text.as_py().encode(), found.values
-                for anchor, *places in zip(*(rows.field(c).to_pylist() for c in ("anchor", "pos", "low", "high"))):
-                    for pos, low, high in zip(*places):
+                for anchor, places in zip(*(rows.field(c).to_pylist() for c in ("anchor", "places"))):
+                    for pos, low, high in np.frombuffer(places, "<i4").reshape(-1, 3).tolist():
                         yield k, low, (anchor, pos - low, body[low:high + length]), n
 
     def cut(batches):
