@@ -74,10 +74,10 @@ def _take(df: DataFrame, key: str | None) -> Measured:
     return Measured(int(row["bytes"]), int(row["keyed"]), int(row["keys"]))
 
 
-def file_version(df: DataFrame) -> tuple | None:
-    """``(path, length, time)`` of the files that the frame reads; None without files or times."""
+def file_version(paths: list[str]) -> tuple | None:
+    """``(path, length, time)`` of the files; None without files or times."""
     found = []
-    for path in sorted(df.inputFiles()):
+    for path in sorted(paths):
         try:
             store, plain = fs.FileSystem.from_uri(path)
             info = store.get_file_info(plain)
@@ -140,7 +140,7 @@ def measure(df: DataFrame, key: str | None = None) -> Measured:
     files = df.inputFiles()
     if not files:
         return _take(df, key)
-    version = file_version(df)
+    version = file_version(files)
     slot = (df.semanticHash(), key, version or tuple(sorted(files)))
     now, hit = time.monotonic(), _KNOWN.get(slot)
     if hit and (version or now - hit[0] < TTL_SECONDS):
@@ -158,10 +158,11 @@ def measure(df: DataFrame, key: str | None = None) -> Measured:
 def largest(df: DataFrame, column: str) -> int:
     """The greatest value of a column (0 without rows), measured once for each version of the frame's files."""
     top = df.agg(F.max(column).alias("top")).select(F.coalesce("top", F.lit(0)).cast("long").alias("top"))
-    if not df.inputFiles():
+    files = df.inputFiles()
+    if not files:
         return int(top.first()["top"])
     # kept like a dimension's measurement, as the number of its keys
-    version = file_version(df)
+    version = file_version(files)
     slot = (df.semanticHash(), f"max:{column}", version)
     if version is None or slot not in _KNOWN:
         address = _address(df, f"max:{column}", version) if version else None
