@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 from tillscope.llm import files, warc
-from tillscope.llm.common import ship_package
+from tillscope.llm.common import ship_package, stored
 
 DATE = "2024-01-01T00:00:00Z"
 NAMES = ["page_id", "url", "html", "URL", "path"]
@@ -85,3 +85,36 @@ def test_a_damaged_record_is_found(tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(record + record[:-9])
     with files.random_access(str(tmp_path / "a.warc.gz")) as f, pytest.raises(ValueError):
         list(warc.records(f))
+
+
+def test_a_hot_digest_is_split(spark):
+    """A third of the headers share a digest; their join with the responses that stay is dealt to several tasks."""
+    ship_package(spark)
+    rows = spark.range(30_000).selectExpr(
+        "'p' AS path", "id AS at", "10L AS size", "'response' AS record_type", "concat('r', id) AS record_id", "id AS page_id",
+        "repeat('u', 50) AS uri", "CASE WHEN id % 3 = 0 THEN 'HOT' ELSE concat('D', id) END AS payload_digest",
+        "5L AS payload_bytes", "CAST(NULL AS STRING) AS refers_to_record")
+    headers = stored(rows.repartition(8), "headers")
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = warc.resolve(headers)
+        targets = {r.page_id: r.target and r.target.page_id for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan or "isSkewJoin=true" in plan
+    assert targets == {i: 29_997 if i % 3 == 0 and i != 29_997 else None for i in range(30_000)}
+
+
+def test_archives_of_empty_pages_close_too(spark, monkeypatch):
+    ship_package(spark)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000)
+    pages = spark.createDataFrame([(i, None, None) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, "2024-01-01T00:00:00Z")
+    assert manifest.count() > 3 and sum(r.records for r in manifest.collect()) == 60

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tillscope.llm import files
 from tillscope.llm.common import fresh_folder, pick, stored, text_or_empty
 
-#: Payload bytes after which a task starts a new archive.
+#: Bytes after which a task starts a new archive, of payloads or of (empty) records, whichever are more.
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 HEADER_ROWS = 20_000
@@ -147,8 +147,9 @@ def write_archives(pages: DataFrame, date: str, folder: str | None = None, id_co
                     stream.write(info_record(date))
                 payload = html.as_py().encode()
                 safe = None if uri is None else quote(uri, safe="%/:=&?~#+!$,;'@()*[]")
-                stream.write(response_record(f"urn:uuid:{uuid.uuid4()}", page_id, safe, date, payload))
-                n, held = n + 1, held + len(payload)
+                record = response_record(f"urn:uuid:{uuid.uuid4()}", page_id, safe, date, payload)
+                stream.write(record)
+                n, held = n + 1, held + max(len(record), len(payload))
                 if held >= ARCHIVE_BYTES:
                     close()
                     stream = None
@@ -209,8 +210,9 @@ def resolve(headers: DataFrame, min_bytes: int = 0, keep: str = "largest") -> Da
     """
     best = F.max if keep == "largest" else F.min
     facts = F.struct("page_id", "record_id", "uri")
-    winners = headers.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy(
-        "payload_digest", "payload_bytes").agg(best(facts).alias("target"))
+    # a table of its own, so that the join below can be split where a digest is hot
+    winners = stored(headers.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy(
+        "payload_digest", "payload_bytes").agg(best(facts).alias("target")), "warc-winners")
     return headers.join(winners, ["payload_digest", "payload_bytes"], "left").withColumn(
         "target", F.when(~F.col("page_id").eqNullSafe(F.col("target.page_id")), F.col("target")))
 
@@ -266,8 +268,9 @@ def deduplicate(pages: DataFrame, date: str, min_bytes: int = 0, keep: str = "la
 
     One row per page: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
+    * payloads are equal if their SHA-1 and their lengths are;
     * null html is an empty payload (compared like any other); null url is
-      left out of the record;
+      left out of the record; pages of any length are one record each;
     * a page with a null id becomes a revisit if a page with an id has its
       payload, else it is a response; pages that share the winning id and
       payload are all responses;
