@@ -245,10 +245,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2, id_col: s
     classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     # roots are fingerprints; a component's id is the least document of its fingerprints
     rooted = components(links(classes.select("fp"), reach, shard_size))
-    reached = rooted.join(classes, rooted["node"] == classes["fp"]).select("node", "root", "least")
-    ids = reached.groupBy("root").agg(F.min("least").alias("component_id"))
+    reached = cut(rooted.join(classes, rooted["node"] == classes["fp"]).select("node", "root", "least"))
+    # tables of their own, so that the joins can be split where a component or a fingerprint is hot
+    ids = cut(reached.groupBy("root").agg(F.min("least").alias("component_id")))
     joined = cut(reached.join(ids, "root").select(F.col("node").alias("fp"), "component_id"))
-    # a table of its own, so that the join below can be split where a fingerprint is hot
     by_class = cut(classes.join(joined, "fp", "left").select(
         "fp", F.coalesce("component_id", "least").alias("component_id")))
     return own.join(by_class, "fp").select(
