@@ -68,3 +68,15 @@ def test_long_texts_are_taken_whole():
     whole = L.text_vectors([head + tail], vectors)[0]
     parts = L.text_vectors([head, tail], vectors).sum(axis=0)
     assert np.abs(whole - parts).max() <= 8 and np.abs(whole).sum() > 0
+
+
+def test_cuts_lose_and_add_no_ngram(monkeypatch):
+    texts = [t or "" for t in messy.texts()] + ["ΟΔΟΣ ΣΑΣ", "a", " - a - b", "x" * 50 + "  y"]
+    want = [np.sort(L.ngrams(L.letters(t))) for t in texts]
+    whole = L.text_vectors(texts, L.Vectors(32))
+    for block in (1, 2, 7, 100):
+        monkeypatch.setattr(L, "BLOCK", block)
+        for text, grams in zip(texts, want):
+            if len(text) < 2000 or block > 2:
+                assert np.array_equal(np.sort(np.concatenate(list(L.text_ngrams(text)))), grams)
+    assert np.array_equal(L.text_vectors(texts, L.Vectors(32)), whole)

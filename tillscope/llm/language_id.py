@@ -28,6 +28,8 @@ NGRAM = 3
 SEED = 20_240
 #: Characters worked on at once; longer texts are taken in parts of this size.
 BLOCK = 200_000
+#: Texts worked on together: with a block of n-grams, this bounds the table of their counts.
+MOST_TEXTS = 64
 #: n-gram vectors that a worker keeps.
 KEPT_NGRAMS = 40_000
 GAP = 32
@@ -114,10 +116,16 @@ def _worker_vectors(dimensions: int, seed: int) -> Vectors:
     return own[dimensions, seed]
 
 
-def _parts(text: str) -> Iterator[str]:
-    for at in range(0, max(len(text), 1), BLOCK):
-        # parts overlap so that each n-gram is in one of them; a gap at a cut adds a few n-grams of its own
-        yield text[at:at + BLOCK]
+def text_ngrams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of ``letters(text)``, in parts: each part goes on with the last codes of the one before."""
+    lower, before = text.lower(), np.array([GAP])
+    for at in range(0, max(len(lower), 1), BLOCK):
+        points = np.frombuffer(lower[at:at + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
+        after = [GAP] if at + BLOCK >= len(lower) else []
+        codes = np.concatenate([before, _codes()[points], after]).astype(np.int64)
+        codes = codes[np.concatenate([[True], (codes[1:] != GAP) | (codes[:-1] != GAP)])]
+        yield ngrams(codes)
+        before = codes[1 - NGRAM:]
 
 
 def text_vectors(texts: list[str], vectors: Vectors) -> np.ndarray:
@@ -135,13 +143,12 @@ def text_vectors(texts: list[str], vectors: Vectors) -> np.ndarray:
         group, rows, size = [], [], 0
 
     for n, text in enumerate(texts):
-        for part in _parts(text):
-            grams = ngrams(letters(part))
+        for grams in text_ngrams(text):
             if len(grams):
                 group.append(grams)
                 rows.append(n)
                 size += len(grams)
-            if size >= BLOCK or len(group) >= 256:
+            if size >= BLOCK or len(group) >= MOST_TEXTS:
                 flush()
     flush()
     return out
@@ -164,9 +171,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             held: dict[str, list] = {}
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                for part in _parts(text.as_py()):
+                for grams in text_ngrams(text.as_py()):
                     own = held.setdefault(lang, [])
-                    own.append(ngrams(letters(part)))
+                    own.append(grams)
                     if sum(map(len, own[-64:])) > 4 * BLOCK or len(own) >= 64:
                         _add(total, lang, held.pop(lang), vectors)
             for lang, own in held.items():
@@ -218,6 +225,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
       ``und`` and score 0;
     * equal cosines go to the language first in alphabetical order;
     * null and repeated ids are carried as they are, one row out per row in;
+    * texts of any length are taken whole, in parts that lose no n-gram;
     * an empty table gives an empty result; other columns are ignored.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
