@@ -78,8 +78,8 @@ def enrich_weighted(
     ``year`` (calendar, N9) and ``payment_weight``: how many rows the
     dashboard's join makes of this one — payment rows of the transaction
     (1 when none) times identical copies of the catalog and store rows.
-    ``check_sizes`` runs one aggregate job per dimension (key uniqueness and
-    size; see ``plans.joins.prepare_dimension``); with False the dimensions
+    ``check_sizes`` takes key uniqueness and size of the dimensions from their
+    measurements (see ``plans.joins.prepare_dimension``); with False the dimensions
     are always collapsed and the join strategy is left to Spark.
 
     ``catalog_first`` picks the join order (left joins on different keys

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from tillscope.operators import brands, demographics, payments, products, stores
 from tillscope.plans.enrich import enrich_weighted_tables
 
+
 class Page(dict):
     """A page's tables by name; ``kept`` is an aggregate that was marked to be kept for them."""
 
