@@ -24,7 +24,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
