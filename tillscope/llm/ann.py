@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.llm.common import pick
+from tillscope.llm.common import pick, stored
 
 SEED = 77
 #: Trees of a forest and bits of a hash string.
 TREES = 96
 BITS = 32
 #: A query's candidates in a shard, each counted once, as a share of its distinct vectors, and at least.
-CANDIDATE_SHARE = 0.4
+CANDIDATE_SHARE = 0.3
 LEAST_CANDIDATES = 2_000
 #: Distinct vectors of a shard and queries of a block.
 SHARD_ROWS = 16_384
@@ -124,9 +124,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     # of equal vectors the k + 1 smallest ids are enough: one may be the query's own, and ties go to the smaller
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    rows = clean(vectors).withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v", "dims").agg(
-        F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = clean(queries)
+    rows = stored(clean(vectors).withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v", "dims").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
+    asked = stored(clean(queries), "asked-vectors")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     spot = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
