@@ -6,8 +6,8 @@ counts of counts, and the probability of a character is interpolated down to a
 uniform one.
 
 The counts stay in Spark tables, sharded by run.  Texts never cross the
-network: each split of the documents (so many rows of a file) asks for its
-distinct runs only, the count tables of all orders are joined to the distinct
+network: each split of the documents (so many rows of a file, fewer of longer
+texts) asks for its distinct runs only, the count tables of all orders are joined to the distinct
 runs of the whole table, and each split gets the probabilities of its own runs
 back as one file in the shared folder, against which its texts are scored.  A document is kept if its
 perplexity is not above the quantile of its language among trusted documents
@@ -39,39 +39,72 @@ QUANTILE = 0.995
 #: Characters worked on at once, and runs gathered before they are merged.
 BLOCK = 1 << 20
 GATHERED = 6_000_000
-#: Rows of a file that make a split.
+#: Rows of a file that make a split, and characters up to which a text counts as one row; both are powers of two.
 SPLIT_ROWS = 8_192
+ROW_CHARS = 32_768
+
+# Symbols below DIRECT are the characters of that code point.  A character from there on is two symbols, a lead
+# with its upper bits and a trail with its lower eleven, so that none shares its symbols with another.
+DIRECT, TRAIL = 1_504, 2_048
 
 
 def symbols(text: str) -> np.ndarray:
-    """The text's characters as symbols; white space is one symbol, rare scripts share symbols by remainder."""
+    """The text's characters as symbols, one or two each; white space is one symbol."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    out = np.where(points < SYMBOLS, points, 3000 + points % (SYMBOLS - 3000))
-    out[(points < 33) | (points == 0x85) | (points == 0xA0)] = SPACE
+    points[(points < 33) | (points == 0x85) | (points == 0xA0)] = SPACE
+    wide = points >= DIRECT
+    if not wide.any():
+        return points
+    out = np.empty(len(points) + np.count_nonzero(wide), np.int64)
+    at = np.arange(len(points)) + np.cumsum(wide) - wide
+    out[at] = np.where(wide, DIRECT + (points >> 11), points)
+    out[at[wide] + 1] = TRAIL + (points[wide] & 2_047)
     return out
 
 
 def text_runs(text: str | None) -> Iterator[np.ndarray]:
-    """The runs that predict each character and the text's end, packed, in blocks."""
-    text = text or ""
+    """The runs that predict each symbol and the text's end, packed, in blocks."""
+    text, before = text or "", np.full(ORDER - 1, BEGIN, np.int64)
     for at in range(0, len(text) + 1, BLOCK):
-        own = symbols(text[max(0, at - ORDER + 1):at + BLOCK])
-        before = np.full(max(0, ORDER - 1 - at), BEGIN, np.int64)
         after = np.full(int(at + BLOCK > len(text)), END, np.int64)
-        own = np.concatenate([before, own, after])
+        own = np.concatenate([before, symbols(text[at:at + BLOCK]), after])
         runs = np.zeros(len(own) - ORDER + 1, np.int64)
         for k in range(ORDER):
             runs = (runs << BITS) | own[k:len(own) - ORDER + 1 + k]
         yield runs
+        before = own[1 - ORDER:]
+
+
+def length_class() -> Column:
+    """How many times the text's length in rows of ``ROW_CHARS`` can be halved: 0 for most texts."""
+    rows = F.greatest(F.lit(1), F.floor(F.length("text") / ROW_CHARS))
+    return F.least(F.lit(SPLIT_ROWS.bit_length() - 1), F.coalesce(F.floor(F.log2(rows)), F.lit(0))).cast("int")
 
 
 def split_key() -> Column:
-    """A scanned row's split, by its file and place there.
+    """A scanned row's split, by its file, its text's length class and its place in the file.
 
+    Texts of a class share a split with fewer rows the longer they are, so a
+    split has at most ``2 * SPLIT_ROWS * ROW_CHARS`` characters, or a single text.
     It does not depend on how Spark cuts the files into tasks, which follows
     the cores registered at planning time; so it is the same in every scan.
     """
-    return F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SPLIT_ROWS))
+    rows = F.expr(f"shiftright({SPLIT_ROWS}, class)")
+    return F.xxhash64(F.col("_metadata.file_path"), "class", F.floor(F.col("_metadata.row_index") / rows))
+
+
+def _by_split(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, list[int]]]:
+    """``(split, common, rows)`` of a batch: splits of longer texts, then the common ones in the order of their rows.
+
+    A common split goes on in the next batch, so it comes last.
+    """
+    split, common = batch.column("split").to_numpy(), batch.column("class").to_numpy() == 0
+    for wanted in (False, True):
+        rows = np.flatnonzero(common == wanted)
+        rows = rows if wanted else rows[np.argsort(split[rows], kind="stable")]
+        edges = np.flatnonzero(np.diff(split[rows])) + 1
+        for own in np.split(rows, edges) if len(rows) else ():
+            yield int(split[own[0]]), wanted, own.tolist()
 
 
 def _to_files(rows: DataFrame, tag: str, columns: list[str]) -> str:
@@ -106,6 +139,47 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, total
 
 
+def _trusted_in(folder: str, split: int) -> set[int]:
+    ids, learn = _from_file(folder, split, ["doc_id", "learn"])
+    return set(ids[learn].tolist())
+
+
+class _Gathered:
+    """Distinct runs of a split's texts, and how often its trusted texts have them."""
+
+    def __init__(self):
+        self.keys, self.counts, self.fresh, self.size = [], [], [], 0
+
+    def add(self, text: str | None, trusted: bool) -> None:
+        for runs in text_runs(text):
+            self.fresh.append((runs, trusted))
+            self.size += len(runs)
+            if self.size >= BLOCK:
+                self._gather()
+
+    def _gather(self) -> None:
+        for learn in (True, False):
+            own = [r for r, t in self.fresh if t == learn]
+            if own:
+                run, n = np.unique(np.concatenate(own), return_counts=True)
+                self.keys.append(run)
+                self.counts.append(n if learn else np.zeros(len(run), np.int64))
+        self.fresh, self.size = [], 0
+        if sum(map(len, self.keys)) > GATHERED:
+            run, n = _merged(self.keys, self.counts)
+            self.keys, self.counts = [run], [n]
+
+    def batches(self, split: int | None) -> Iterator[pa.RecordBatch]:
+        """What was gathered, which then starts anew."""
+        self._gather()
+        if self.keys:
+            run, n = _merged(self.keys, self.counts)
+            self.keys, self.counts = [], []
+            for at in range(0, len(run), 200_000):
+                part = run[at:at + 200_000]
+                yield pa.RecordBatch.from_pydict({"split": np.full(len(part), split), "run": part, "n": n[at:at + 200_000]})
+
+
 def runs_by_split(rows: DataFrame, trusted_folder: str) -> DataFrame:
     """``split, run, n``: each split's distinct runs, and how often its trusted texts have them.
 
@@ -113,45 +187,22 @@ def runs_by_split(rows: DataFrame, trusted_folder: str) -> DataFrame:
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, current, trusted, size, fresh = [], [], None, None, 0, []
-
-        def gather():
-            nonlocal fresh, size
-            for learn in (True, False):
-                own = [r for r, t in fresh if t == learn]
-                if own:
-                    run, n = np.unique(np.concatenate(own), return_counts=True)
-                    keys.append(run)
-                    counts.append(n if learn else np.zeros(len(run), np.int64))
-            fresh, size = [], 0
-            if sum(map(len, keys)) > GATHERED:
-                run, n = _merged(keys, counts)
-                keys[:], counts[:] = [run], [n]
-
-        def flush():
-            gather()
-            if keys:
-                run, n = _merged(keys, counts)
-                keys.clear()
-                counts.clear()
-                for at in range(0, len(run), 200_000):
-                    part = run[at:at + 200_000]
-                    yield pa.RecordBatch.from_pydict({"split": np.full(len(part), current), "run": part,
-                                                      "n": n[at:at + 200_000]})
-
+        current, trusted, gathered = None, set(), _Gathered()
         for batch in batches:
-            for split, doc, text in zip(batch.column("split").to_pylist(), batch.column("doc_id").to_pylist(),
-                                        batch.column("text")):
+            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for split, common, own in _by_split(batch):
+                if not common:
+                    alone, ids = _Gathered(), _trusted_in(trusted_folder, split)
+                    for n in own:
+                        alone.add(texts[n].as_py(), docs[n] in ids)
+                    yield from alone.batches(split)
+                    continue
                 if split != current:
-                    yield from flush()
-                    ids, learn = _from_file(trusted_folder, split, ["doc_id", "learn"])
-                    current, trusted = split, set(ids[learn].tolist())
-                for runs in text_runs(text.as_py()):
-                    fresh.append((runs, doc in trusted))
-                    size += len(runs)
-                    if size >= BLOCK:
-                        gather()
-        yield from flush()
+                    yield from gathered.batches(current)
+                    current, trusted = split, _trusted_in(trusted_folder, split)
+                for n in own:
+                    gathered.add(texts[n].as_py(), docs[n] in trusted)
+        yield from gathered.batches(current)
 
     return rows.mapInArrow(count, "split long, run long, n long")
 
@@ -218,27 +269,36 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 def perplexities(rows: DataFrame, folder: str) -> DataFrame:
     """``doc_id, lang, n_symbols, perplexity`` of the texts, from their splits' files of probabilities."""
 
+    def probabilities(split: int) -> tuple[np.ndarray, np.ndarray]:
+        table, logp = _from_file(folder, split, ["run", "logp"])
+        order = np.argsort(table)
+        return table[order], logp[order]
+
+    def scored(text: str | None, table: np.ndarray, logp: np.ndarray) -> tuple[int, float]:
+        size, total = 0, 0.0
+        for runs in text_runs(text):
+            distinct, n = np.unique(runs, return_counts=True)
+            at = np.minimum(np.searchsorted(table, distinct), len(table) - 1)
+            if not np.array_equal(table[at], distinct):
+                raise ValueError("a split's file lacks runs of its texts; was the table changed meanwhile?")
+            size, total = size + len(runs), total + float(logp[at] @ n)
+        return size, float(np.exp(-total / size))
+
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, table, logp = None, None, None
+        current, held = None, None
         for batch in batches:
-            sizes, values = [], []
-            for split, text in zip(batch.column("split").to_pylist(), batch.column("text")):
-                if split != current:
-                    table, logp = _from_file(folder, split, ["run", "logp"])
-                    order = np.argsort(table)
-                    current, table, logp = split, table[order], logp[order]
-                size, total = 0, 0.0
-                for runs in text_runs(text.as_py()):
-                    distinct, n = np.unique(runs, return_counts=True)
-                    at = np.minimum(np.searchsorted(table, distinct), len(table) - 1)
-                    if not np.array_equal(table[at], distinct):
-                        raise ValueError("a split's file lacks runs of its texts; was the table changed meanwhile?")
-                    size, total = size + len(runs), total + float(logp[at] @ n)
-                sizes.append(size)
-                values.append(float(np.exp(-total / size)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.int64()),
-                                              pa.array(values, pa.float64())],
-                                             ["doc_id", "lang", "n_symbols", "perplexity"])
+            texts, values = batch.column("text"), [(0, 0.0)] * batch.num_rows
+            for split, common, own in _by_split(batch):
+                if common and split != current:
+                    current, held = split, probabilities(split)
+                tables = held if common else probabilities(split)
+                for n in own:
+                    values[n] = scored(texts[n].as_py(), *tables)
+            if values:
+                sizes, found = zip(*values)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.int64()),
+                                                  pa.array(found, pa.float64())],
+                                                 ["doc_id", "lang", "n_symbols", "perplexity"])
 
     return rows.mapInArrow(score, "doc_id long, lang string, n_symbols long, perplexity double")
 
@@ -263,6 +323,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
       without such rows takes the quantile of all; without any trusted rows every
       document is kept, with a null threshold;
     * equal perplexities fall on the same side, since the threshold itself is kept;
+    * texts of any length are scored whole, in blocks; the longer, the fewer share a split;
     * an empty table gives an empty result; other columns are ignored.
     """
     table = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(
@@ -270,7 +331,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
         F.col("lang").cast("string").alias("lang"))
     if not plain_scan:
         table = stored(table, "documents")
-    rows = table.select("*", split_key().alias("split"))
+    rows = table.withColumn("class", length_class()).withColumn("split", split_key())
     ids = pick(trusted, doc_id=id_col).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     learn = rows.select("doc_id", "split").join(ids.where(~_held_out()), "doc_id", "left_semi").withColumn("learn", F.lit(True))
     # a row for every split, so that one without trusted documents has its file too
