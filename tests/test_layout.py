@@ -113,6 +113,17 @@ def test_places_equal_a_sort(spark):
     assert order.numbered(df.limit(0), [F.col("c")]).count() == 0
 
 
+def test_ranges_are_taken_of_groups_not_of_their_rows(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(100)], "a long, b long")
+    ids = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "b long")
+    for df in (rows.join(ids, "b").groupBy("a").agg(F.sum("b").alias("s")), rows.join(ids, "b").select("a").distinct()):
+        numbered = order.numbered(df, [-F.col("a")])
+        assert [(r.a, r.place) for r in numbered.orderBy("place").collect()] == [(6 - i, i + 1) for i in range(7)]
+        plan = numbered._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("array_position" in x for x in plan)
+        assert not [x for x in plan if "array_position" in x and ("Filter" in x or "Join" in x)]
+
+
 def test_a_heavy_row_is_spread_by_default(spark):
     items = [item("hot", 1, 1, "1", "2024-01-02 00:00:00", "P", price=1.0, qty=1.0),
              item("t2", 2, 1, "1", "2024-01-02 00:00:00", "P", price=1.0, qty=1.0)]

@@ -27,10 +27,12 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "place", ranges
     keyed = df.withColumn("_order", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order))))
     # the keys of least hash: a sample of the distinct keys, the same in every run
     sample = keyed.select("_order").distinct().orderBy(F.xxhash64("_order"), "_order").limit(ranges)
-    borders = sample.agg(F.collect_list("_order")).scalar()
+    borders = sample.agg(F.sort_array(F.collect_list("_order"))).scalar()
     # the key's place among the borders: one more than the borders below it
     at = F.array_position(F.sort_array(F.array_append(borders, F.col("_order"))), F.col("_order"))
-    dealt = keyed.withColumn("_range", at)
+    # Never null, and said so: Spark would test a range that may be null before the
+    # join, and push that test below df's aggregates, onto each of their input rows.
+    dealt = keyed.withColumn("_range", F.coalesce(at, F.lit(0)))
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # over at most RANGES + 1 rows
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
